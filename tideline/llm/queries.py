@@ -18,6 +18,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.url_rules import filter_urls, site_rule
 
@@ -41,6 +53,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
+        "op4_decontamination": op4_decontamination,
+        "op5_line_dedup": op5_line_dedup,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
         "op9_byte_bpe": op9_byte_bpe,
