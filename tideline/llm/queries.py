@@ -50,6 +50,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("ids")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.store import new_folder
+    from tideline.llm.warc import read_records, write_archives
+
+    folder = new_folder(spark, "warc")
+    return read_records(write_archives(_read(spark, sf_dir, "pages"), folder), folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
@@ -58,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_warc": op10_warc,
     }
 
 
