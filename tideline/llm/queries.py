@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.html_extract import extract
+
+    return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.token_counts import count_tokens
 
@@ -60,6 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
