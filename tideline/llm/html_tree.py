@@ -39,7 +39,7 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
 CONTENT_WORDS = frozenset("article articlebody post entry content story main text body prose copy paragraph blogpost richtext page maincontent".split())
 OTHER_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead topbar footer foot bottom sidebar side aside rail ad ads adv advert advertisement adslot adsense banner promo promotion sponsor sponsored sponsors "
-    "cookie cookies consent gdpr notice notices notification alert warning disclaimer popup modal overlay dialog comment comments commentlist reply replies respond disqus discussion feedback reader share sharing social "
+    "cookie cookies consent gdpr notice notices notification alert warning disclaimer popup modal overlay dialog comment comments commentlist reply replies respond disqus discussion feedback responses response reader share sharing social "
     "follow related recommended recommendations more popular trending breadcrumb breadcrumbs crumbs pagination pager paging widget widgets subscribe subscription newsletter signup login register search form toolbar copyright legal "
     "complementary contentinfo hidden skip links tags tagcloud toc outbrain taboola teaser paywall donate announcement".split()
 )
