@@ -18,6 +18,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.token_counts import count_tokens
 
@@ -67,6 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_near_dedup": op2_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Texts that are worked on together at most.
+MOST_ROWS = 2000
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 2**63, 256, dtype=U64)
 _BYTE_FOLDED = _BYTE.copy()
@@ -124,11 +126,11 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
 
 
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch by rows so that each piece has few bytes of text; a longer text stands alone."""
+    """Cut a batch so that each piece has few rows and few bytes of text; a longer text may exceed the bytes."""
     if batch.num_rows == 0:
         return
     sizes = np.diff(column_bytes(batch.column(batch.schema.get_field_index(text)))[1])
-    piece = np.cumsum(sizes) // most_bytes
+    piece = np.cumsum(sizes) // most_bytes + np.arange(batch.num_rows) // MOST_ROWS
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(piece)) + 1, [batch.num_rows]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
