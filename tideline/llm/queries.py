@@ -42,6 +42,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.language_model import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.url_rules import filter_urls, site_rule
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
         "op9_byte_bpe": op9_byte_bpe,
