@@ -1,10 +1,79 @@
-"""Cleaning pipeline of a training corpus: quality rules, line dedup, near-dedup, decontamination, encoding."""
+"""Cleaning pipeline of a training corpus: quality rules, line dedup, near-dedup, decontamination, encoding.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``. All but the
+last return the columns of ``documents``, with ``n_chars`` kept true.
+
+Null ids are never dropped as copies or leaks, since nothing can name them;
+null texts fail the quality rules. Of rows that repeat an id one stays after
+the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm.bpe import encode_documents
+from tideline.llm.decontaminate import find_leaks
+from tideline.llm.line_dedup import dedup_lines
+from tideline.llm.near_dedup import near_duplicates
+from tideline.llm.quality import judge
+from tideline.llm.store import materialize
+
+#: Ids up to which they are broadcast to the documents; beyond, the same join is by shuffle.
+BROADCAST_ROWS = 2_000_000
+#: SQL has no tokenizer, no sketches and no alignment; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` without (or, by ``left_semi``, with only) the rows whose id is in ``ids``."""
+    ids = materialize(ids.select("doc_id").distinct(), "pipeline-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return judge(docs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; documents of which nothing stays go too."""
+    cleaned = dedup_lines(docs).where("not emptied")
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays."""
+    kept = _without(docs, near_duplicates(docs).where("not kept"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = materialize(repeated.select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    return _without(kept, repeated).unionByName(_without(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, find_leaks(docs, benchmark))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs, keep=["doc_id"])
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
