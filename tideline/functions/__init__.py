@@ -1 +1 @@
-
+"""Column expressions and driver-side statistics shared by the operators."""

@@ -1 +1 @@
-
+"""Analytic operators over points, windows, scores and segments."""

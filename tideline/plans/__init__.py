@@ -1 +1 @@
-
+"""Detection pipelines, their configuration, and the registered queries."""

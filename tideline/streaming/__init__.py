@@ -1 +1 @@
-
+"""Structured Streaming with frozen models; an extension."""
