@@ -16,7 +16,10 @@ from pyspark.sql.window import Window
 from tideline.functions.stats import grubbs_critical
 
 KEY = ["series_id", "win"]
-BY_WINDOW = Window.partitionBy(*KEY)
+
+
+def by_window():
+    return Window.partitionBy(*KEY)
 
 
 # --- against a forecast -------------------------------------------------------
@@ -54,7 +57,7 @@ def z_scores(windows: DataFrame, stats: DataFrame, bound: float = 3.0) -> DataFr
 
 def grubbs(windows: DataFrame, width: int, alpha: float = 0.05) -> DataFrame:
     """Grubbs' outlier test; the critical value is a constant of the window width."""
-    mean, sd = F.avg("x").over(BY_WINDOW), F.stddev_samp("x").over(BY_WINDOW)
+    mean, sd = F.avg("x").over(by_window()), F.stddev_samp("x").over(by_window())
     rows = windows.withColumns({"sd": sd, "dev": F.abs(F.col("x") - mean)})
     g = rows.groupBy(*KEY).agg(F.max("sd").alias("sd"), F.max(F.struct(F.col("dev"), (-F.col("pos")).alias("at"))).alias("top"), F.count("x").alias("n"))
     flat = F.col("sd") < 1e-10
@@ -118,7 +121,7 @@ def wasserstein(windows: DataFrame, train: DataFrame) -> DataFrame:
     test = windows.join(sized, KEY).select(*KEY, "x", (1.0 / F.col("m")).alias("w"))
     base = sized.select(*KEY).join(train.groupBy("series_id", "x").agg(F.count("x").alias("k")), "series_id").join(own, "series_id").select(*KEY, "x", (-F.col("k") / F.col("n")).alias("w"))
     merged = test.unionByName(base).groupBy(*KEY, "x").agg(F.sum("w").alias("w"))
-    ordered = BY_WINDOW.orderBy("x")
+    ordered = by_window().orderBy("x")
     step = merged.withColumns({"d": F.abs(F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, 0))), "gap": F.lead("x").over(ordered) - F.col("x")})
     total = step.groupBy(*KEY).agg(F.sum(F.col("d") * F.col("gap")).alias("wasserstein_distance"))
     return total.join(own.select("series_id", "sd"), "series_id").select(*KEY, "wasserstein_distance", (F.col("wasserstein_distance") / F.greatest("sd", F.lit(1e-10))).alias("normalized_wasserstein"))
@@ -150,7 +153,7 @@ def acf_break(windows: DataFrame, train: DataFrame, width: int, lags: int = 20)
 
 def volatility(windows: DataFrame, stats: DataFrame, width: int = 10) -> DataFrame:
     """Deviation against the training deviation, and the greatest trailing deviation."""
-    trailing = BY_WINDOW.orderBy("pos").rowsBetween(-(width - 1), 0)
+    trailing = by_window().orderBy("pos").rowsBetween(-(width - 1), 0)
     rows = windows.withColumn("r", F.stddev_pop("x").over(trailing))
     ratio = F.col("sd") / F.greatest("std", F.lit(1e-10))
     out = rows.groupBy(*KEY).agg(F.stddev_pop("x").alias("sd"), F.max("r").alias("max_rolling_std")).join(stats.select("series_id", "std"), "series_id")

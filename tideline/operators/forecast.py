@@ -20,7 +20,9 @@ from pyspark.sql.window import Window
 from tideline.operators.evidence import autocorrelation
 from tideline.sources.series import series_lengths
 
-BY_SERIES = Window.partitionBy("series_id")
+
+def by_series():
+    return Window.partitionBy("series_id")
 
 
 # --- period -------------------------------------------------------------------
@@ -31,7 +33,7 @@ def detect_period(points: DataFrame, most_lag: int = 500, least: float = 0.1) ->
     n = series_lengths(points)
     lags = points.groupBy("series_id").agg(F.var_pop("x").alias("v"), F.least(F.floor(F.count("x") / 2), F.lit(most_lag)).alias("top"))
     acf = autocorrelation(points, ["series_id"], "t", most_lag).join(lags, "series_id").where("lag <= top and v >= 1e-10")
-    order = BY_SERIES.orderBy("lag")
+    order = by_series().orderBy("lag")
     seen = acf.withColumns({"before": F.lag("acf").over(order), "after": F.lead("acf").over(order)})
     peaks = seen.where((F.col("lag") >= 1) & (F.col("acf") > F.col("before")) & (F.col("acf") > F.col("after")) & (F.col("acf") >= least)).groupBy("series_id").agg(F.min("lag").alias("peak"))
     fallback = F.greatest(F.lit(2), F.floor(F.col("n") / 10))
@@ -53,7 +55,7 @@ def linear_trend(points: DataFrame) -> DataFrame:
 
 def centred_average(points: DataFrame, period: int) -> DataFrame:
     """``trend`` by a centred moving average over one period (with half weights at the ends if it is even), null at the ends."""
-    order, half = BY_SERIES.orderBy("t"), period // 2
+    order, half = by_series().orderBy("t"), period // 2
     inner = F.sum("x").over(order.rowsBetween(-half, half))
     whole = F.count("x").over(order.rowsBetween(-half, half)) == 2 * half + 1
     ends = (F.lag("x", half).over(order) + F.lead("x", half).over(order)) / 2
@@ -65,7 +67,7 @@ def decompose(points: DataFrame, period: int) -> DataFrame:
     """Classical additive decomposition: ``trend``, ``seasonal`` (phase means that sum to zero), ``resid``."""
     t = centred_average(points, period).withColumn("phase", F.pmod("t", F.lit(period)))
     phase = t.groupBy("series_id", "phase").agg(F.avg(F.col("x") - F.col("trend")).alias("m"))
-    seasonal = phase.withColumn("seasonal", F.col("m") - F.avg("m").over(BY_SERIES)).select("series_id", "phase", "seasonal")
+    seasonal = phase.withColumn("seasonal", F.col("m") - F.avg("m").over(by_series())).select("series_id", "phase", "seasonal")
     return t.join(seasonal, ["series_id", "phase"]).withColumn("resid", F.col("x") - F.col("trend") - F.col("seasonal")).drop("phase")
 
 
@@ -97,7 +99,7 @@ def residual_quantiles(pairs: DataFrame, shares: list[float]) -> DataFrame:
 
 def bootstrap_samples(forecasts: DataFrame, residuals: DataFrame, count: int = 50, seed: int = 7) -> DataFrame:
     """``count`` sampled paths per forecast row, each the forecast plus a residual picked by a hash."""
-    ranked = residuals.select("series_id", "e", (F.row_number().over(BY_SERIES.orderBy("t")) - 1).alias("i"))
+    ranked = residuals.select("series_id", "e", (F.row_number().over(by_series().orderBy("t")) - 1).alias("i"))
     sizes = residuals.groupBy("series_id").agg(F.count("e").alias("size"))
     rows = forecasts.join(sizes, "series_id").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     keys = [c for c in ("series_id", "win", "pos", "step", "t") if c in forecasts.columns]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators.scoring import BY_SERIES, at_thresholds, extract_segments, f1, precision, recall
+from tideline.operators.scoring import at_thresholds, by_series, extract_segments, f1, precision, recall
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def pr_area(scored: DataFrame, count: int = 200) -> DataFrame:
     value = F.when(F.col("k") == count - 1, F.col("b")).otherwise(F.col("a") + F.col("k") * ((F.col("b") - F.col("a")) / (count - 1)))
     at = at_thresholds(scored, steps.select("series_id", "k", value.alias("threshold")))
     curve = at.select("series_id", "k", precision(F.col("tp"), F.col("fp")).alias("pr"), recall(F.col("tp"), F.col("fn")).alias("re"))
-    order = BY_SERIES.orderBy("re", F.col("k").desc())
+    order = by_series().orderBy("re", F.col("k").desc())
     part = (F.col("re") - F.lag("re").over(order)) * (F.col("pr") + F.lag("pr").over(order)) / 2
     area = curve.withColumn("part", part).groupBy("series_id").agg(F.sum("part").alias("area"))
     out = F.when(F.col("p") == 0, F.when(F.col("s") == 0, 1.0).otherwise(0.0)).when(F.col("a") == F.col("b"), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("area"))))
@@ -84,7 +84,7 @@ def score_profile(scores: DataFrame) -> DataFrame:
 
 def series_records(rows: DataFrame, segments: DataFrame, window_scores: DataFrame, k: int = 5, most: int = 20) -> DataFrame:
     """One nested record per series for a JSON log: metrics, first segments, top windows."""
-    first = segments.withColumn("r", F.row_number().over(BY_SERIES.orderBy("seg_start")))
+    first = segments.withColumn("r", F.row_number().over(by_series().orderBy("seg_start")))
     seg = first.groupBy("series_id").agg(F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.struct("seg_start", "seg_end")))).alias("segments"), (F.count(F.lit(1)) > most).alias("more_segments"))
     ranked = window_scores.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("score").desc(), "win"))).where(F.col("r") <= k)
     top = ranked.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("r", "win", "score"))).alias("top_windows"))

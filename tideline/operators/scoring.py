@@ -9,8 +9,13 @@ from pyspark.sql.window import Window
 from tideline.functions.stats import gaussian_kernel
 from tideline.operators.evidence import cusum_paths
 
-BY_SERIES = Window.partitionBy("series_id")
-IN_ORDER = BY_SERIES.orderBy("t")
+
+def by_series():
+    return Window.partitionBy("series_id")
+
+
+def in_order():
+    return by_series().orderBy("t")
 
 
 def _covering(scores: DataFrame, width: int, step: int) -> DataFrame:
@@ -44,7 +49,7 @@ def smooth_gaussian(point_scores: DataFrame, sigma: float = 2.0) -> DataFrame:
     """Gaussian smoothing with the ends reflected; every value goes to the places that its weight reaches."""
     kernel = gaussian_kernel(sigma)
     radius = len(kernel) // 2
-    sized = point_scores.withColumn("n", F.count("score").over(BY_SERIES))
+    sized = point_scores.join(point_scores.groupBy("series_id").agg(F.count("score").alias("n")), "series_id")
     weights = F.array(*[F.lit(w) for w in kernel])
     reach = sized.select("series_id", "t", "n", F.posexplode(weights).alias("k", "w"))
     u = F.col("t") + F.col("k") - radius
@@ -61,7 +66,7 @@ def derived_signals(points: DataFrame, slack: float = 3.0, width: int = 50) -> D
     """Points with ``std``, ``cusum`` and ``rmdev``, the trailing mean less the mean."""
     stats = points.groupBy("series_id").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(1e-10)).alias("std"))
     paths = cusum_paths(points.join(stats, "series_id"), F.col("mean"), F.col("std"), slack, ["series_id"], "t")
-    trailing = IN_ORDER.rowsBetween(-(width - 1), 0)
+    trailing = in_order().rowsBetween(-(width - 1), 0)
     return paths.withColumns({"cusum": F.greatest("up", "down"), "rmdev": F.avg("x").over(trailing) - F.col("mean")}).drop("up", "down")
 
 
@@ -130,7 +135,7 @@ def counts_above(scored: DataFrame) -> DataFrame:
     Scores are first counted, so the running sums are over distinct values.
     """
     each = scored.groupBy("series_id", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    above = BY_SERIES.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    above = by_series().orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return each.select("series_id", "score", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"))
 
 
@@ -139,7 +144,7 @@ def at_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     marks = counts_above(scored).select("series_id", F.col("score").alias("v"), F.lit(1).alias("kind"), "tp", "fp", F.lit(None).cast("int").alias("k"))
     asks = thresholds.select("series_id", F.col("threshold").alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("tp"), F.lit(None).cast("long").alias("fp"), "k")
     # From the greatest value down, a threshold comes after the scores that reach it.
-    falling = BY_SERIES.orderBy(F.col("v").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    falling = by_series().orderBy(F.col("v").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
     total = scored.groupBy("series_id").agg(F.sum("y").alias("p"))
     found = marks.unionByName(asks).withColumns({"tp": F.last("tp", True).over(falling), "fp": F.last("fp", True).over(falling)}).where("k is not null")
     return found.join(total, "series_id").select("series_id", "k", F.col("v").alias("threshold"), F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), (F.col("p") - F.coalesce("tp", F.lit(0))).alias("fn"))
@@ -179,7 +184,7 @@ def predict(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def extract_segments(rows: DataFrame, flag: str = "pred") -> DataFrame:
     """Half-open runs of flagged points."""
-    island = F.col("t") - F.row_number().over(IN_ORDER)
+    island = F.col("t") - F.row_number().over(in_order())
     runs = rows.where(F.col(flag) == 1).withColumn("island", island)
     return runs.groupBy("series_id", "island").agg(F.min("t").alias("seg_start"), (F.max("t") + 1).alias("seg_end")).drop("island")
 
@@ -190,7 +195,7 @@ def drop_short(segments: DataFrame, least: int) -> DataFrame:
 
 def merge_close(segments: DataFrame, gap: int) -> DataFrame:
     """Segments joined where the next begins at most ``gap`` after the last end."""
-    order = BY_SERIES.orderBy("seg_start")
+    order = by_series().orderBy("seg_start")
     opens = F.when(F.col("seg_start") - F.lag("seg_end").over(order) <= gap, 0).otherwise(1)
     group = segments.withColumn("o", opens).withColumn("g", F.sum("o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return group.groupBy("series_id", "g").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end")).drop("g")
