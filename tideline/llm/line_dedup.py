@@ -1,19 +1,21 @@
 """Line deduplication across documents by a deletion-neighbourhood join.
 
-Lines are compared as sequences of lower-cased words ``[^\\x20\\x09-\\x0D]+``.
-Equal lines are found by hash. Lines of at least ``near_words`` words are also
-compared within an edit bound of one word: each emits, as hashed keys, itself
-and all variants with one word deleted; lines that share a key are joined, the
-edit distance is verified on the words, and only the earliest line stays.
-"Earliest" is by document id, then place in the document.
-
-An edit of one word leaves half a line untouched, so lines that share neither
-a first nor a last half with another line emit nothing: a lossless cut before
-the variants are made. Inside a group of lines that share a variant every line
-is joined with the group's earliest only, never with each other. Two lines
-that differ in one word share the variant without it at the same place; a
-line with a word more has the shorter one among its variants. These two kinds
-of group are kept apart, so the earliest of a group is a true neighbour.
+Lines are trimmed of white space at both ends; words are what single spaces
+separate. Equal lines are found by hash. Lines of at least ``near_words`` words
+are also compared within an edit bound of one word: each emits, as hashed keys,
+itself and all variants with one word deleted; lines that share a key are
+joined, the edit distance is verified on the words, and only the earliest line
+stays. "Earliest" is by document id, then place in the document.
+
+An edit of one word leaves half a line untouched, and of four quarters all but
+one, so lines that share neither half with another line, or then no three
+quarters, emit nothing, and only words of a quarter whose rest is shared are
+deleted: lossless cuts before the variants are made. Inside a
+group of lines that share a variant every line is joined with the group's
+earliest only, never with each other. Two lines that differ in one word share
+the variant without it at the same place; a line with a word more has the
+shorter one among its variants. These two kinds of group are kept apart, so
+the earliest of a group is a true neighbour.
 
 All of it is DataFrame code.
 
@@ -33,12 +35,17 @@ from tideline.llm.store import materialize
 #: Rows of line ids (16 bytes each) up to which they are broadcast to the scan; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
-_SPACE = r"[\x20\x09-\x0D]+"
+#: White space that is trimmed from a line's ends.
+_ENDS = " \t\r\x0b\x0c"
 _BLOCK = 64
 
 
 def words_in(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), _SPACE), lambda w: w != "")
+    return F.split(line, " ")
+
+
+def n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _let(value: Column, body) -> Column:
@@ -97,19 +104,36 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), different <= 1).when(F.size(a) == F.size(b) + 1, one_more(a, b)).when(F.size(b) == F.size(a) + 1, one_more(b, a)).otherwise(F.lit(False))
 
 
-def _half_keys(words: Column) -> Column:
+def _half_keys(line: Column, n: Column) -> Column:
     """Hashes of both halves of a line, at both lengths that a line one word longer or shorter would use."""
-    n = F.size(words)
     sizes = [F.floor(n / F.lit(2)).cast("int"), F.floor((n - 1) / F.lit(2)).cast("int")]
-    return F.array_distinct(F.array(*[x for k in sizes for x in (F.xxhash64(F.lit("first"), F.slice(words, F.lit(1), k)), F.xxhash64(F.lit("last"), F.slice(words, n - k + 1, k)))]))
+    return F.array_distinct(F.array(*[x for k in sizes for x in (F.xxhash64(F.lit("first"), F.call_function("substring_index", line, F.lit(" "), k)), F.xxhash64(F.lit("last"), F.call_function("substring_index", line, F.lit(" "), -k)))]))
+
+
+def _gaps(words: Column) -> Column:
+    """A line without one of its quarters, at both lengths that a line one word longer or shorter would use: hash, and first and last place of the quarter."""
+    n = F.size(words)
+
+    def gap(m: Column, j: int) -> Column:
+        before = F.floor(m * j / F.lit(4)).cast("int")
+        after = m - F.floor(m * (j + 1) / F.lit(4)).cast("int")
+        key = F.xxhash64(F.lit(j), m, F.slice(words, F.lit(1), before), F.slice(words, n - after + 1, after))
+        return F.struct(key.alias("key"), (before + 1).alias("low"), (n - after).alias("high"))
+
+    return F.array(*[gap(m, j) for m in (n, n - 1) for j in range(4)])
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
-    """One row per line with enough words: document (``d``, ``th``), place ``p``, ``words``, hashes ``h1``, ``h2``."""
+    """One row per line with enough words: document (``d``, ``th``), place ``p``, ``line``, its words ``n``, hashes ``h1``, ``h2``."""
     at = F.col(f"`{text}`")
     source = docs.where(at.isNotNull()).select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(at).alias("th"), F.posexplode(F.split(at, "\n")).alias("p", "line"))
-    source = source.select("d", "th", "p", words_in(F.col("line")).alias("words")).where(F.size("words") >= least_words)
-    return source.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit("second"), F.col("words"))})
+    source = source.withColumn("line", F.trim("line", F.lit(_ENDS))).withColumn("n", n_words(F.col("line"))).where(F.col("n") >= least_words)
+    return source.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` whose ``key`` another line has too."""
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key")
 
 
 def _only(lines: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
@@ -120,13 +144,18 @@ def _only(lines: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, least_words: int, near_words: int) -> DataFrame:
     """Lines (``h1``, ``h2``) that are within one word of an earlier line."""
-    halves = distinct.where(F.col("n") >= near_words).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    mates = materialize(halves.join(shared, "half").select("h1", "h2").distinct(), "line-mates")
+    halves = distinct.where(F.col("n") >= near_words).select("h1", "h2", F.explode("halves").alias("key"))
+    mates = materialize(_shared(halves).select("h1", "h2").distinct(), "line-mates")
     lines = _only(lines_of(docs, key, text, max(least_words, near_words)), mates, ["h1", "h2"])
-    mine = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "p", "th")).alias("o"), F.first("words").alias("words")), "line-words")
-
-    emitted = mine.select(F.struct("o", "h1", "h2").alias("me"), F.explode(deletion_keys(F.col("words"))).alias("k")).select("me", "k.key", "k.place")
+    mine = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "p", "th")).alias("o"), F.first("line").alias("line"))
+    mine = materialize(mine.select("h1", "h2", "o", words_in(F.col("line")).alias("words")), "line-words")
+
+    # The quarters that a line shares the rest with another line: at most eight, and only words in them need deleting.
+    gaps = mine.select("h1", "h2", F.explode(_gaps(F.col("words"))).alias("g")).select("h1", "h2", "g.key", "g.low", "g.high")
+    gaps = _shared(gaps).groupBy("h1", "h2").agg(F.collect_set(F.struct("low", "high")).alias("gaps"))
+    mine = materialize(mine.join(gaps, ["h1", "h2"]), "line-near")
+    wanted = lambda k: (k["place"] == 0) | F.exists("gaps", lambda g: (k["place"] >= g["low"]) & (k["place"] <= g["high"]))
+    emitted = mine.select(F.struct("o", "h1", "h2").alias("me"), F.explode(F.filter(deletion_keys(F.col("words")), wanted)).alias("k")).select("me", "k.key", "k.place")
     emitted = materialize(emitted, "line-variants")
     earliest = emitted.groupBy("key", "place").agg(F.min("me").alias("other"), F.count(F.lit(1)).alias("c"))
     same_size = emitted.join(earliest.where("c > 1 and place > 0").select("key", "place", "other"), ["key", "place"]).where(F.col("other") < F.col("me"))
@@ -142,8 +171,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, least_
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 3, near_words: int = 8) -> DataFrame:
     """One row per document (``d``, ``th``) that loses lines: their places ``gone`` and how many were near copies."""
     lines = lines_of(docs, key, text, least_words)
-    halves = F.when(F.size("words") >= near_words, _half_keys(F.col("words")))
-    distinct = lines.withColumns({"halves": halves, "n": F.size("words")}).groupBy("h1", "h2").agg(
+    halves = F.when(F.col("n") >= near_words, _half_keys(F.col("line"), F.col("n")))
+    lines = materialize(lines.select("d", "th", "p", "n", "h1", "h2", halves.alias("halves")), "line-places")
+    distinct = lines.groupBy("h1", "h2").agg(
         F.min(F.struct("d", "p", "th")).alias("o"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("halves").alias("halves")
     )
     distinct = materialize(distinct, "lines")
