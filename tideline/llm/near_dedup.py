@@ -2,16 +2,20 @@
 
 A document's set is its distinct five-word shingles. 128 MinHash samples give
 32 bands of four; documents that share a band are candidates. The samples are
-also folded into an odd sketch, a bitmap of 512 bits in which each sample
+also folded into an odd sketch, a bitmap of 2,048 bits in which each sample
 flips one bit, so the XOR of two sketches has few bits exactly when the sets
-are very similar; candidates with too many are dropped. What remains is
-confirmed on the full sets: 100 * intersection >= threshold * union.
-
-Documents with equal sets are one class from the start. In a band's bucket the
-smallest class is compared with every other one, which joins nearly all of a
-group of copies; only members that are still apart from it are then compared
-with the rest of their bucket, so no candidate link between components is
-left out and no group is expanded into all its pairs.
+are very similar; candidates with too many are dropped. So are those whose
+parity bitmaps, in which every shingle of the set flips one bit, differ in
+more bits than the sets may differ in shingles; that bound is exact. What
+remains is confirmed on the full sets: 100 * intersection >= threshold * union.
+
+Documents with equal sets are one class from the start. In some rounds, one
+class of each band's bucket, drawn by hash, is compared with the members that
+are not yet in its component; as a document is in many buckets, this joins
+nearly all of a group of copies. Only members that are still outside their
+bucket's largest component are then compared with the rest of the bucket, so
+no candidate link between components is left out and no group is expanded
+into all its pairs.
 
 Cases: texts without words have an empty set, are linked with nothing and
 form their own component; a null id cannot be named by others, so the row has
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from tideline.llm.words import mix, segments, slices, window_hashes, words_of
 U64 = np.uint64
 #: Ids up to which the candidates' ids are broadcast to the scan; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 2_000_000
-_WORDS = 8  # 64-bit words of a sketch
+_WORDS = 32  # 64-bit words of a sketch
 
 
 @dataclass(frozen=True)
@@ -47,9 +50,11 @@ class NearRules:
     shingle: int = 5
     bands: int = 32
     rows: int = 4
-    #: The most differing bits of two sketches of 512 bits. At a similarity of
-    #: 0.75 about 57 differ, with a deviation of 9; unrelated sets differ in 162.
-    most_bits: int = 115
+    #: The most differing bits of two sketches of 2,048 bits. At a similarity of
+    #: 0.75 about 62 differ, with a deviation of 9; unrelated sets differ in 226.
+    most_bits: int = 106
+    #: Rounds of comparisons with one pivot per bucket, before the exhaustive one.
+    rounds: int = 3
 
 
 def _samples(rules: NearRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +89,14 @@ def signatures(sets: np.ndarray, first: np.ndarray, rules: NearRules) -> dict[st
     """Per text: set size, two fingerprints of the set, band keys and odd sketch."""
     n = len(first) - 1
     full, begin = segments(first)
-    out = {"n": np.diff(first), "f1": np.zeros(n, U64), "f2": np.zeros(n, U64), "bands": np.zeros((n, rules.bands), U64), "sketch": np.zeros((n, _WORDS), U64)}
+    out = {"n": np.diff(first), "f1": np.zeros(n, U64), "f2": np.zeros(n, U64), "bands": np.zeros((n, rules.bands), U64), "sketch": np.zeros((n, _WORDS), U64), "parity": np.zeros((n, _WORDS), U64)}
     if not len(full):
         return out
     h = mix(sets)
     out["f1"][full], out["f2"][full] = np.add.reduceat(h, begin), np.bitwise_xor.reduceat(mix(h ^ U64(0x5DEECE66D)), begin)
+    doc = np.repeat(np.arange(n), out["n"])
+    flips = np.bincount(doc * (64 * _WORDS) + (h >> U64(20)).astype(np.int64) % (64 * _WORDS), minlength=n * 64 * _WORDS) & 1
+    out["parity"] = np.packbits(flips.astype(np.uint8)).view(U64).reshape(n, _WORDS)
     x, y = (h >> U64(32)).astype(np.uint32), h.astype(np.uint32)
     rows = np.arange(len(full))
     sketch, band = np.zeros((len(full), _WORDS), U64), None
@@ -108,24 +116,30 @@ def signatures(sets: np.ndarray, first: np.ndarray, rules: NearRules) -> dict[st
 
 
 def sign(docs: DataFrame, key: str, text: str, rules: NearRules) -> DataFrame:
-    """``id``, ``n``, ``f1``, ``f2``, ``bands``, ``sketch`` of each row."""
+    """``id``, ``n``, ``f1``, ``f2``, ``bands``, ``sketch``, ``parity`` of each row."""
     source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 found = signatures(*sets_of(part.column(1), rules.shingle), rules)
-                wide = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (found["bands"], found["sketch"])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found["n"].astype(np.int64)), *[pa.array(found[c].view(np.int64)) for c in ("f1", "f2")], *wide], names=["id", "n", "f1", "f2", "bands", "sketch"])
+                wide = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (found["bands"], found["sketch"], found["parity"])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found["n"].astype(np.int64)), *[pa.array(found[c].view(np.int64)) for c in ("f1", "f2")], *wide], names=["id", "n", "f1", "f2", "bands", "sketch", "parity"])
 
-    return source.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return source.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _alike(a: str, b: str, rules: NearRules) -> Column:
     """Whether sizes and sketches allow two sets to be similar enough."""
-    bits = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(_WORDS)])
+
+    def bits(name: str) -> Column:
+        differ = F.zip_with(F.col(f"{a}.{name}"), F.col(f"{b}.{name}"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        return F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small >= rules.threshold * large) & (bits <= rules.most_bits)
+    # Sets of m and n shingles with this similarity differ in at most (1 - t) / (1 + t) * (m + n) of them.
+    exact = (100 + rules.threshold) * bits("parity") <= (100 - rules.threshold) * (small + large)
+    return (100 * small >= rules.threshold * large) & exact & (bits("sketch") <= rules.most_bits)
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, rules: NearRules) -> DataFrame:
@@ -173,15 +187,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     bound_arrow(docs.sparkSession)
     signed = materialize(sign(docs, key, text, rules), "near-signs")
     named = signed.where("id is not null and n > 0")
-    classes = named.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("other"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = named.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("other"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     classes = materialize(classes, "near-classes")
 
-    # Buckets of two classes or more; the smallest class of each is its pivot.
-    member = classes.select(F.col("rep"), F.col("f1"), F.explode("bands").alias("band"))
-    pivots = member.groupBy("band").agg(F.min(F.struct("rep", "f1")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(member.join(pivots, "band"), "near-buckets")
-    tell = F.struct("n", "sketch")
-    facts = classes.select("rep", "f1", tell.alias("tell"))
+    member = classes.select("rep", "f1", F.explode("bands").alias("band"))
+    full = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(member.join(full, "band"), "near-buckets")
+    facts = classes.select("rep", "f1", F.struct("n", "sketch", "parity").alias("tell"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Confirmed links among pairs of classes (``u``, ``fu``, ``v``, ``fv``)."""
@@ -190,28 +202,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         likely = pairs.join(b, ["v", "fv"]).join(a, ["u", "fu"]).where(_alike("a", "b", rules)).select("u", "fu", "v", "fv")
         return materialize(_confirm(materialize(likely, "near-pairs"), docs, key, text, rules), "near-links")
 
-    own = (F.col("rep") != F.col("pivot.rep")) | (F.col("f1") != F.col("pivot.f1"))
-    first = buckets.where(own).select(F.col("pivot.rep").alias("u"), F.col("pivot.f1").alias("fu"), F.col("rep").alias("v"), F.col("f1").alias("fv")).distinct()
     # Rows that repeat an id join the classes that they are in.
     classes_of = named.select("id", "f1", "f2", "n").distinct().join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
     repeated = classes_of.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    tied = classes_of.join(repeated.select("id", "u"), "id").select("u", F.col("rep").alias("v"))
-    links = checked(first).unionByName(tied)
-    roots = components(links)
-
-    # Members that are still apart from their bucket's pivot meet the rest of the bucket.
-    apart = buckets.where("size > 2").join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = apart.join(roots.select(F.col("node").alias("p"), F.col("root").alias("pivot_root")), F.col("pivot.rep") == F.col("p"), "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot.rep"))
-    apart = apart.select("band", "rep", "f1", "root", (F.col("root") != F.col("pivot_root")).alias("loose"), (F.col("rep") == F.col("pivot.rep")).alias("is_pivot"))
-    open_bands = apart.groupBy("band").agg(F.max("loose").alias("any")).where("any").select("band")
-    rest = materialize(apart.join(open_bands, "band", "left_semi").where("not is_pivot").join(facts, ["rep", "f1"]), "near-rest")
+    roots = components(classes_of.join(repeated.select("id", "u"), "id").select("u", F.col("rep").alias("v")))
+
+    def rooted(least_size: int) -> DataFrame:
+        """Members of the buckets with the component that each is in so far."""
+        known = roots.select(F.col("node").alias("rep"), "root")
+        return buckets.where(F.col("size") >= least_size).join(known, "rep", "left").select("band", "rep", "f1", F.coalesce("root", "rep").alias("root"))
+
+    def with_links(links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+
+    # A bucket's pivot, another one each round, is compared with the members that are not yet with it.
+    for turn in range(rules.rounds):
+        members = rooted(2 if turn == 0 else 3)
+        chosen = F.min(F.struct(F.xxhash64("band", "rep", F.lit(turn)).alias("h"), "rep", "f1", "root")).alias("p")
+        pivots = members.groupBy("band").agg(chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "p")
+        apart = members.join(pivots, "band").where(F.col("root") != F.col("p.root"))
+        pairs = apart.select(F.col("p.rep").alias("u"), F.col("p.f1").alias("fu"), F.col("rep").alias("v"), F.col("f1").alias("fv")).distinct()
+        links = checked(pairs)
+        if links.isEmpty():
+            break
+        roots = with_links(links)
+
+    # What is still outside its bucket's largest component meets the rest of the bucket.
+    members = materialize(rooted(3), "near-members")
+    parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"))
+    rest = members.join(parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main")), "band").withColumn("loose", F.col("root") != F.col("main"))
+    rest = materialize(rest.join(facts, ["rep", "f1"]), "near-rest")
     x, y = rest.where("loose").alias("x"), rest.alias("y")
-    a, b = F.struct("x.rep", "x.f1"), F.struct("y.rep", "y.f1")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.loose") | (F.col("x.rep") < F.col("y.rep")))
-    second = x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(a["rep"].alias("u"), a["f1"].alias("fu"), b["rep"].alias("v"), b["f1"].alias("fv")).distinct()
-    more = checked(second)
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    second = x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(F.col("x.rep").alias("u"), F.col("x.f1").alias("fu"), F.col("y.rep").alias("v"), F.col("y.f1").alias("fv")).distinct()
+    links = checked(second)
+    if not links.isEmpty():
+        roots = with_links(links)
 
     of_class = classes.select("f1", "f2", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
