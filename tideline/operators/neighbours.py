@@ -9,18 +9,35 @@ query's distances are gathered in one place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+#: Vectors up to this size are compared by one expression per coordinate, which compiles to straight code.
+UNROLLED = 200
+
+
+def _summed(a: Column, b: Column, dims: int | None, term: Callable[[Column, Column], Column]) -> Column:
+    if dims is not None and dims <= UNROLLED:
+        return reduce(lambda s, v: s + v, [term(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(dims)])
+    return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, v: s + v)
+
+
+def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
+    """Of two vectors; ``dims`` is their common size where it is known."""
+    return _summed(a, b, dims, lambda x, y: (x - y) * (x - y))
+
+
+def dot(a: Column, b: Column, dims: int | None = None) -> Column:
+    return _summed(a, b, dims, lambda x, y: x.cast("double") * y.cast("double"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def cosine(a: Column, b: Column, dims: int | None = None) -> Column:
+    return dot(a, b, dims) / F.sqrt(dot(a, a, dims) * dot(b, b, dims))
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str], query_id: str, reference_id: str, score: Column, blocks: int = 8) -> DataFrame:
@@ -36,9 +53,9 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str],
     return best(best(each, [*group, "qid", "block"]).drop("rank"), [*group, "qid"]).drop("block")
 
 
-def knn_scores(test: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
-    """Mean Euclidean distance of each test window to its k nearest training windows of the series."""
-    found = nearest(test, train, k, ["series_id"], "win", "win", F.sqrt(squared_distance(F.col("q"), F.col("r"))))
+def knn_scores(test: DataFrame, train: DataFrame, k: int = 5, width: int | None = None) -> DataFrame:
+    """Mean Euclidean distance of each test window to its k nearest training windows of the series; ``width`` is the windows' size."""
+    found = nearest(test, train, k, ["series_id"], "win", "win", F.sqrt(squared_distance(F.col("q"), F.col("r"), width)))
     return found.groupBy("series_id", F.col("qid").alias("win")).agg(F.avg("d").alias("score"), F.count("d").alias("k"))
 
 
@@ -63,10 +80,10 @@ def lsh_knn_scores(test: DataFrame, train: DataFrame, k: int = 5, width: float =
     return scores.unionByName(knn_scores(lacking, train, k))
 
 
-def retrieve(queries: DataFrame, library: DataFrame, k: int, label: str | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, library: DataFrame, k: int, label: str | None = None, dims: int | None = None) -> DataFrame:
     """The k library vectors most similar by cosine to each query (``id, values``); only those with equal ``label``, if one is named."""
     group = [label] if label else []
     q = queries if label else queries.withColumn("__all", F.lit(0))
     r = library if label else library.withColumn("__all", F.lit(0))
-    found = nearest(q, r, k, group or ["__all"], "id", "id", -cosine(F.col("q"), F.col("r")))
+    found = nearest(q, r, k, group or ["__all"], "id", "id", -cosine(F.col("q"), F.col("r"), dims))
     return found.select(F.col("qid").alias("query_id"), F.col("rid").alias("id"), "rank", (-F.col("d")).alias("similarity"))

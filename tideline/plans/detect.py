@@ -104,7 +104,7 @@ class Pipeline:
         evidence = None
         if self.detection == "knn":
             windows = W.create_windows(W.scale(points, self.model["scaler"]), self.width, self.step)
-            scores = knn_scores(windows, self.model["windows"], self.k).select("series_id", "win", "score")
+            scores = knn_scores(windows, self.model["windows"], self.k, self.width).select("series_id", "win", "score")
         else:
             evidence = settle(self._evidence(settle(W.standardize(points, self.model["stats"])), points), "evidence")
             scores = E.evidence_score(evidence, self.model["baselines"])

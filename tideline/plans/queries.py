@@ -464,7 +464,7 @@ def _(s, d):
 @query("knn_score", sql(f"SELECT series_id, win, {r6('avg(d)')} AS score, count(*) AS k FROM (SELECT series_id, win, d, row_number() OVER (PARTITION BY series_id, win ORDER BY d, rid) AS r FROM (SELECT a.series_id, a.win, b.win AS rid, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM tew a JOIN trw b ON a.series_id = b.series_id AND a.pos = b.pos GROUP BY 1, 2, 3)) WHERE r <= 5 GROUP BY 1, 2", "tew", "trw"))
 def _(s, d):
     train, test = train_and_test(points(s, d))
-    return knn_scores(W.create_windows(test, WIDTH, STEP), W.create_windows(train, WIDTH, STEP))
+    return knn_scores(W.create_windows(test, WIDTH, STEP), W.create_windows(train, WIDTH, STEP), width=WIDTH)
 
 
 @query("knn_score_lsh")
@@ -479,13 +479,13 @@ _COS = "SELECT q, id, d, CAST(row_number() OVER (PARTITION BY q ORDER BY d DESC,
 @query("vec_topk", sql(f"SELECT q AS query_id, id, r AS rank, {r6('d')} AS similarity FROM ({_COS}) WHERE r <= 5", "ex"))
 def _(s, d):
     v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
-    return retrieve(v.where("id % 100 = 0"), v, 5)
+    return retrieve(v.where("id % 100 = 0"), v, 5, dims=64)
 
 
 @query("vec_topk_label", sql(f"SELECT q AS query_id, id, CAST(row_number() OVER (PARTITION BY q ORDER BY d DESC, id) AS INT) AS rank, {r6('d')} AS similarity FROM (SELECT q, c.id, d FROM ({_COS}) c JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = c.id AND a.label = b.label) QUALIFY rank <= 3", "ex"))
 def _(s, d):
     v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label")
-    return retrieve(v.where("id % 100 = 0"), v, 3, "label")
+    return retrieve(v.where("id % 100 = 0"), v, 3, "label", dims=64)
 
 
 @query("align_ahead", sql("SELECT series_id, win, pos, x, f FROM fc", "fc"))
