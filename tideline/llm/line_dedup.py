@@ -188,7 +188,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 3, near_words: int = 8) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_removed``, ``n_near``, ``emptied``.
 
-    ``emptied``: the text had words and its lines with words all went.
+    ``emptied``: lines went, and none with ``least_words`` words is left.
     """
     gone = removed_lines(docs, key, text, least_words, near_words)
     at = F.col(f"`{text}`")
@@ -206,4 +206,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.col("gone").isNotNull().alias("emptied"),
     )
-    return out.withColumn("emptied", F.col("emptied") & ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    left = F.exists(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda line: n_words(F.trim(line, F.lit(_ENDS))) >= least_words)
+    return out.withColumn("emptied", F.col("emptied") & ~left)

@@ -91,5 +91,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# Words of hosts that the default rules block, as in url_rules.
+_SPAM = r"(^|[^a-z0-9])(spam|spam-farm|casino|casino-win|pills|cheap-pills|free-bets|bets|ads|ads-track|adserver|doubleclick|viagra|poker|porn|xxx|payday-loan|replica-watches|clickbait|popunder)($|[^a-z0-9])"
+
+OP7_SQL = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM cut
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '{_SPAM}') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": OP7_SQL}
