@@ -300,10 +300,10 @@ def _(s, d):
 
 @query("wasserstein", sql(
     "SELECT series_id, win, " + r6("sum(abs(c) * gap)") + " AS wasserstein_distance, " + r6("sum(abs(c) * gap) / any_value(std)") + " AS normalized_wasserstein FROM (SELECT series_id, win, sum(w) OVER (PARTITION BY series_id, win ORDER BY x, kind ROWS UNBOUNDED PRECEDING) AS c, lead(x) OVER (PARTITION BY series_id, win ORDER BY x, kind) - x AS gap FROM ("
-    "SELECT series_id, win, x, 1.0::DOUBLE / 20 AS w, 1 AS kind FROM wp WHERE win < 20 UNION ALL SELECT k.series_id, k.win, r.x, -1.0::DOUBLE / tn, 2 FROM (SELECT DISTINCT series_id, win FROM wp WHERE win < 20) k JOIN tr r USING (series_id) JOIN (SELECT series_id, count(*) AS tn FROM tr GROUP BY 1) USING (series_id))) JOIN st USING (series_id) GROUP BY 1, 2", "wp", "st"))
+    "SELECT series_id, win, x, 1.0::DOUBLE / 20 AS w, 1 AS kind FROM wp UNION ALL SELECT k.series_id, k.win, r.x, -1.0::DOUBLE / tn, 2 FROM (SELECT DISTINCT series_id, win FROM wp) k JOIN tr r USING (series_id) JOIN (SELECT series_id, count(*) AS tn FROM tr GROUP BY 1) USING (series_id))) JOIN st USING (series_id) GROUP BY 1, 2", "wp", "st"))
 def _(s, d):
     p = points(s, d)
-    return E.wasserstein(W.window_points(p, WIDTH, STEP).where("win < 20"), train_of(p))
+    return E.wasserstein(W.window_points(p, WIDTH, STEP), train_of(p))
 
 
 @query("acf_break", sql(
@@ -406,7 +406,7 @@ def _(s, d):
     p = D.daily_shipments(s, d)
     line, season = C.fit_trend_season(p, 7)
     e = C.expected(p, line, season, 7)
-    samples = C.bootstrap_samples(e.where("t < 30").select("series_id", "t", "f"), e.select("series_id", "t", (F.col("x") - F.col("f")).alias("e")))
+    samples = C.bootstrap_samples(e.select("series_id", "t", "f"), e.select("series_id", "t", (F.col("x") - F.col("f")).alias("e")))
     return C.sample_quantiles(samples, ["series_id", "t"])
 
 
