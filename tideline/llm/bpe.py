@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow
+from tideline.llm.store import bound_arrow, dropped_at_end, tidy
 
 #: Bits of a word of the bitmap's lower level.
 _WORD = 512
 #: Pre-tokens after which a worker's cache of ids starts anew, and the longest pre-token kept in it.
-CACHE = 600_000
+CACHE = 300_000
 CACHE_CHARS = 40
 #: Pre-tokens that are looked up together.
-_GROUP = 200_000
+_GROUP = 100_000
 
 
 class ByteBPE:
@@ -179,7 +179,7 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+_loaded: dict[tuple[str, str], ByteBPE] = dropped_at_end({})
 
 
 def codec(path: str | None = None, pattern: str | None = None) -> ByteBPE:
@@ -215,4 +215,4 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
             digests = pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts), lists, digests, pa.array(decoded, pa.string())], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow
+from tideline.llm.store import bound_arrow, tidy
 from tideline.llm.words import slices
 
 BLOCK_CHARS = 2_000_000
@@ -71,18 +71,21 @@ def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def align(items: list[np.ndarray], texts: list[np.ndarray], width: int) -> list[tuple[int, int, int]]:
-    """Least edits between each item and a substring of its text, in a band of ``width`` diagonals: edits, start, end.
+def align(items: list[np.ndarray], texts: list[np.ndarray], width: int, before: int) -> list[tuple[int, int, int]]:
+    """Least edits between each item and a substring of its text, in a band of diagonals: edits, start, end.
 
-    All pairs advance together, a row of the item at a time.
+    The band has ``width`` diagonals from the text's first character on and
+    ``before`` ahead of it, for items whose beginning is missing. All pairs advance together, a row of the item at a time.
     """
     sizes = np.array([len(x) for x in items])
+    width += before
     most, n = int(sizes.max()), len(items)
     left = np.zeros((n, most), np.uint32)
     right = np.full((n, most + width), np.uint32(0xFFFFFFFF))
     for row, (item, text) in enumerate(zip(items, texts, strict=True)):
         left[row, : len(item)] = item
-        right[row, : min(len(text), most + width)] = text[: most + width]
+        shown = text[: most + width - before]
+        right[row, before : before + len(shown)] = shown
     one = np.int64(1 << 32)
     cost = np.broadcast_to(np.arange(width, dtype=np.int64), (n, width)).copy()  # edits << 32 | start
     shift = np.arange(width, dtype=np.int64) * one
@@ -97,8 +100,10 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], width: int) -> list[
         if len(done):
             ends[done] = np.argmin(cost[done] >> 32, axis=1)
             best[done] = cost[done, ends[done]]
-    ends = np.minimum(ends + sizes, [len(t) for t in texts])
-    return list(zip((best >> 32).tolist(), (best & 0xFFFFFFFF).tolist(), ends.tolist(), strict=True))
+    lengths = np.array([len(t) for t in texts])
+    starts = np.clip((best & 0xFFFFFFFF) - before, 0, lengths)
+    ends = np.clip(ends + sizes - before, starts, lengths)
+    return list(zip((best >> 32).tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
 class ItemIndex:
@@ -197,7 +202,7 @@ def find_leaks_in(texts: list[str | None], index: ItemIndex, rules: LeakRules) -
     for at in range(0, len(open_pairs), _TOGETHER):
         some = open_pairs[at : at + _TOGETHER]
         width = max(int(2 * index.band[owner] + 2 * index.edits[owner]) for _, owner, _, _ in some)
-        aligned = align([index.codes[owner] for _, owner, _, _ in some], [whole[a:b] for _, _, a, b in some], width)
+        aligned = align([index.codes[owner] for _, owner, _, _ in some], [whole[a:b] for _, _, a, b in some], width, int(index.edits.max()))
         for (doc, owner, begin, _), (edits, start, end) in zip(some, aligned, strict=True):
             if edits <= index.edits[owner]:
                 low = begin - int(offsets[doc])
@@ -242,6 +247,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     ids = pa.array(item, pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None)
                     yield pa.RecordBatch.from_arrays([keys, ids, *[pa.array(x, pa.int32()) for x in (start, end, edits)]], names=[key, "item_id", "start", "end", "edits"])
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(tidy(run), schema)
 
     return reduce(DataFrame.unionByName, [search(b) for b in item_blocks(benchmark, item_id, item_text)])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import boosting
 from tideline.llm.html_tree import COUNTS, GROUP_NAMES, Forest, plant
-from tideline.llm.store import bound_arrow
+from tideline.llm.store import bound_arrow, tidy
 from tideline.llm.words import slices
 
 #: Pages of the training grammar.
@@ -158,4 +158,4 @@ def extract(pages: DataFrame, html: str = "html", model: boosting.Forest | None
                 texts = extract_texts(part.column(len(keep)).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

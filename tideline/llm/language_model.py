@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, materialize, new_folder, shuffle_partitions
+from tideline.llm.store import bound_arrow, materialize, new_folder, shuffle_partitions, tidy
 from tideline.llm.warc import Files
 from tideline.llm.words import mix, slices, words_of
 
@@ -167,7 +167,7 @@ def _count(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], shards:
             key, count = combine(*held)
             yield _parts(key, count, shard_of_hash(key, shards))
 
-    return texts.mapInArrow(run, PARTS).repartitionById(shards, F.col("shard"))
+    return texts.mapInArrow(tidy(run), PARTS).repartitionById(shards, F.col("shard"))
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], width: int = 1, kind=U64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -207,7 +207,7 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> tuple[Table, int]
             rows.append((shard, name, len(key), int(count.sum())))
         yield _rows(rows, ["shard", "name", "size", "total"])
 
-    rows = sorted(_count(texts, lambda c: tokens_of(c)[0], shards).mapInArrow(merge, "shard long, name string, size long, total long").collect())
+    rows = sorted(_count(texts, lambda c: tokens_of(c)[0], shards).mapInArrow(tidy(merge), "shard long, name string, size long, total long").collect())
     table = Table(folder, [r["name"] for r in rows], [r["size"] for r in rows], [(r["shard"] << 64) // shards for r in rows], ["key", "value"])
     return table, sum(r["total"] for r in rows)
 
@@ -336,7 +336,7 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None)
             yield first
             yield _parts(of, table, of // span)
 
-    parts = materialize(_count(texts, pairs_of, shards).mapInArrow(merge, PARTS), "language-model-stats")
+    parts = materialize(_count(texts, pairs_of, shards).mapInArrow(tidy(merge), PARTS), "language-model-stats")
     rows = sorted(ast.literal_eval(bytes(r["keys"]).decode()) for r in parts.where("shard = -1").select("keys").collect())
     bigrams = Table(folder, [r[1] for r in rows], [r[2] for r in rows], [(r[0] << 64) // shards for r in rows], ["key", "value"])
     high = discounts(*[sum(r[3 + k] for r in rows) for k in range(4)])
@@ -351,7 +351,7 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None)
             out.append((shard, name, *[int((table[:, 3] == c).sum()) for c in (1, 2, 3, 4)], int((table[:, 3] >= 3).sum())))
         yield _rows(out, ["shard", "name", "n1", "n2", "n3", "n4", "more"])
 
-    stats = sorted(parts.where("shard >= 0").repartitionById(shards, F.col("shard")).mapInArrow(gather, "shard long, name string, n1 long, n2 long, n3 long, n4 long, more long").collect())
+    stats = sorted(parts.where("shard >= 0").repartitionById(shards, F.col("shard")).mapInArrow(tidy(gather), "shard long, name string, n1 long, n2 long, n3 long, n4 long, more long").collect())
     low = discounts(*[sum(r[c] for r in stats) for c in ("n1", "n2", "n3", "n4")])
     low_counts = [sum(r["n1"] for r in stats), sum(r["n2"] for r in stats), sum(r["more"] for r in stats)]
     return Model(words, bigrams, [r["name"] for r in stats], span, n_tokens, bigrams.size, high, low, low_counts)
@@ -387,4 +387,4 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
                 total = pa.array(np.full(part.num_rows, model.n_tokens, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(found[c]) for c in ("n_tokens", "n_known")], total, *[pa.array(found[c]) for c in ("base_score", "score")]], names=names)
 
-    return source.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return source.mapInArrow(tidy(run), f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
-from tideline.llm.store import bound_arrow, materialize
+from tideline.llm.store import bound_arrow, materialize, tidy
 from tideline.llm.words import mix, segments, slices, window_hashes, words_of
 
 U64 = np.uint64
@@ -126,7 +126,7 @@ def sign(docs: DataFrame, key: str, text: str, rules: NearRules) -> DataFrame:
                 wide = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (found["bands"], found["sketch"], found["parity"])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found["n"].astype(np.int64)), *[pa.array(found[c].view(np.int64)) for c in ("f1", "f2")], *wide], names=["id", "n", "f1", "f2", "bands", "sketch", "parity"])
 
-    return source.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, parity array<long>")
+    return source.mapInArrow(tidy(run), "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _alike(a: str, b: str, rules: NearRules) -> Column:
@@ -169,7 +169,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, rules: Near
                 at = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([u.take(at), v.take(at)], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(tidy(run), "u long, v long")
 
 
 def set_prints(sets: np.ndarray, first: np.ndarray) -> np.ndarray:

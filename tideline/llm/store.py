@@ -7,14 +7,47 @@ that setting is absent (tests, one machine) is a temporary folder made.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows and bytes that Spark hands to a Python worker at once.
-ARROW_ROWS = 2000
-ARROW_BYTES = "8m"
+ARROW_ROWS = 1000
+ARROW_BYTES = "4m"
+
+
+#: What to drop at the end of a task besides: the workers' vocabularies and caches.
+_AT_END: list[Callable[[], None]] = []
+
+
+def dropped_at_end(cache: dict) -> dict:
+    """A worker's cache that is emptied when a task ends, as idle workers keep their memory."""
+    _AT_END.append(cache.clear)
+    return cache
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` as a task that gives its memory back to the system when it ends."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for drop in _AT_END:
+                drop()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return task
 
 
 def bound_arrow(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow
+from tideline.llm.store import bound_arrow, dropped_at_end, tidy
 
 MOST_NODES = 600_000
 MOST_DEPTH = 128
@@ -97,7 +97,7 @@ class CountingTrie:
         return counts[-1]
 
 
-_loaded: dict[tuple[str, str], tuple] = {}
+_loaded: dict[tuple[str, str], tuple] = dropped_at_end({})
 
 
 def _worker(path: str | None, pattern: str | None):
@@ -132,4 +132,4 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, p
                 tokens.append(sum(map(known.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pieces, pa.int64()), pa.array(tokens, pa.int64())], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

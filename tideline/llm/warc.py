@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, materialize, new_folder, shuffle_partitions
+from tideline.llm.store import bound_arrow, materialize, new_folder, shuffle_partitions, tidy
 
 #: Bytes after which a new archive file is begun.
 FILE_BYTES = 1 << 30
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
             if out is not None:
                 out.close()
 
-    index = materialize(rows.mapInArrow(run, INDEX), "warc-index")
+    index = materialize(rows.mapInArrow(tidy(run), INDEX), "warc-index")
     index._tideline_archive = folder
     return index
 
@@ -202,4 +202,4 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
             if source is not None:
                 source.close()
 
-    return wanted.mapInArrow(run, RECORDS + (", payload binary" if payloads else ""))
+    return wanted.mapInArrow(tidy(run), RECORDS + (", payload binary" if payloads else ""))

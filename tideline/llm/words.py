@@ -125,7 +125,7 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     return mix(total[at]), at
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has few rows and few bytes of text; a longer text may exceed the bytes."""
     if batch.num_rows == 0:
         return
