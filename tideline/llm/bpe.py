@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, dropped_at_end, tidy
+from tideline.llm.store import bound_arrow, tidy
 
 #: Bits of a word of the bitmap's lower level.
 _WORD = 512
 #: Pre-tokens after which a worker's cache of ids starts anew, and the longest pre-token kept in it.
-CACHE = 300_000
+CACHE = 500_000
 CACHE_CHARS = 40
 #: Pre-tokens that are looked up together.
 _GROUP = 100_000
@@ -179,7 +179,7 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = dropped_at_end({})
+_loaded: dict[tuple[str, str], ByteBPE] = {}  # kept between tasks: most pre-tokens come again
 
 
 def codec(path: str | None = None, pattern: str | None = None) -> ByteBPE:
