@@ -138,6 +138,52 @@ def test_language_model(spark):
     assert M.score_documents(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_language_model_of_order_3(spark):
+    from tideline.llm import language_model as M
+
+    texts = made_texts(n=60) + [None, "", "new unseen words only", "the cat sat", "the cat ran", "a the cat sat"]
+    rows = {r.doc_id: r for r in M.score_documents(documents(spark, texts), order=3).collect()}
+    tokens = [words((t or "").translate(LOWER)) + [None] for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    vocabulary = {w for i in train for w in tokens[i]}
+    grams = {n: collections.Counter(tuple(([None] + tokens[i])[k : k + n]) for i in train for k in range(len(tokens[i]) + 2 - n)) for n in (2, 3)}
+    counts = {3: grams[3], 2: collections.Counter(g[1:] for g in grams[3]), 1: collections.Counter(g[1:] for g in grams[2])}
+    counts[2].update({g: k for g, k in grams[2].items() if g[0] is None})
+    assert set(counts[2]) == set(grams[2])
+    cuts = {n: M.discounts(*[list(c.values()).count(k) for k in (1, 2, 3, 4)]) for n, c in counts.items()}
+    after = {n: collections.defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for g, k in c.items():
+            after[n][g[:-1]].append(k)
+
+    def p(gram):
+        n = len(gram)
+        lower = p(gram[1:]) if n > 1 else 1 / (len(vocabulary) + 1)
+        found = after[n].get(gram[:-1])
+        if not found:
+            return lower
+        k = counts[n][gram]
+        return max(k - cuts[n][min(k, 3)], 0) / sum(found) + sum(cuts[n][min(x, 3)] for x in found) / sum(found) * lower
+
+    for context in [(None,), (None, "the"), ("the", "cat"), grams[3].most_common(1)[0][0][:2]]:
+        assert sum(p((*context, w)) for w in [*vocabulary, "?"]) == pytest.approx(1)
+    for i, ws in enumerate(tokens):
+        padded = [None, *ws]
+        assert rows[i].score == pytest.approx(sum(math.log10(p(tuple(padded[max(0, k - 2) : k + 1]))) for k in range(1, len(padded))))
+    assert M.score_documents(documents(spark, texts).limit(0), order=3).count() == 0
+    one = documents(spark, ["a b", "a b"])
+    assert M.score_documents(one, held_out=M.F.lit(True), order=3).count() == 2
+
+
+def test_op6_scores_by_two_words_of_context(spark, sf):
+    from tideline.llm import language_model as M
+    from tideline.llm.queries import op6_lm_scoring
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got, want = ({r.doc_id: r.score for r in df.collect()} for df in (op6_lm_scoring(spark, sf), M.score_documents(docs, order=3)))
+    assert got == pytest.approx(want)
+
+
 def test_discounts_without_counts():
     from tideline.llm.language_model import discounts, mix, unmix
 

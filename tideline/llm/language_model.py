@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, stored as sorted arrays, mapped by workers.
 
 Words are counted first; their sorted hashes are the vocabulary, and a word's
 id is its place there. Bigrams are counted next as two ids packed in 64 bits;
@@ -10,10 +10,18 @@ tasks sum up, per word, how many words follow it once, twice or more often and
 how many precede it; these go into shards by ranges of ids. The driver sees
 the shards' names and a few sums, never their contents.
 
+At order 3 a bigram's number is its place in the bigram table, and a trigram is
+the number of its first two words' bigram and the id of its third, in 64 bits,
+again without collisions. Bigrams then count by how many distinct words precede
+them (at a text's start, where nothing can, by how often they occur), and each
+bigram has its followers seen once, twice and more often. Sorted runs go
+through the shared folder and are deleted as soon as they are merged, and
+trigrams are counted in passes by ranges of bigrams, so a run's disk is reused.
+
 Workers map the arrays and look up the sorted distinct keys of a batch. An
 estimate has the modified discounts (for counts of 1, 2, and 3 or more) and is
-interpolated with the continuation estimate of the word, and that with the
-uniform distribution over the vocabulary and one unknown word.
+interpolated with the estimate by one word less of context, the last of these
+with the continuation estimate of the word, and that with the uniform distribution over the vocabulary and one unknown word.
 
 Cases: a null or empty text is one end token; a null id is hashed as an empty
 string; repeated rows get equal results and count as often as they occur; with
@@ -30,10 +38,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, materialize, new_folder, shuffle_partitions, tidy
+from tideline.llm.store import bound_arrow, delete_folder, discard, materialize, new_folder, shuffle_partitions, tidy
 from tideline.llm.warc import Files
 from tideline.llm.words import mix, slices, words_of
 
@@ -42,6 +50,8 @@ U64 = np.uint64
 END = mix(np.array([0x0E4D], U64))[0]
 #: Keys that a task holds before it sends them on.
 MOST_KEYS = 2_500_000
+#: Passes over the texts in which trigrams are counted.
+PASSES = 3
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +86,29 @@ def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(shards)) >> U64(32)
 
 
+class Narrow:
+    """A stored array of counts: a byte each, and a list of the larger ones."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.small, self.at, self.more = (load(folder, f"{name}.{part}.npy") for part in ("small", "at", "more"))
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            out[large] = self.more[np.searchsorted(self.at, at[large])]
+        return out
+
+    def span(self, begin: int, end: int) -> np.ndarray:
+        return self[np.arange(begin, end)]
+
+
+def store_narrow(folder: str, name: str, values: np.ndarray) -> None:
+    at = np.flatnonzero(values >= 255)
+    for part, array in (("small", np.minimum(values, 255).astype(np.uint8)), ("at", at), ("more", values[at].astype(np.int64))):
+        store(folder, f"{name}.{part}.npy", array)
+
+
 @dataclass
 class Table:
     """Sorted keys with values, in shards of rising key ranges; ``firsts`` are the ranges' first keys."""
@@ -85,6 +118,7 @@ class Table:
     sizes: list[int]
     firsts: list[int]
     columns: list[str]
+    narrow: bool = False
     _maps: list | None = None
 
     def __getstate__(self):
@@ -96,7 +130,7 @@ class Table:
 
     def maps(self) -> list[dict[str, np.ndarray]]:
         if self._maps is None:
-            self._maps = [{c: load(self.folder, f"{name}.{c}.npy") for c in self.columns} for name in self.names]
+            self._maps = [{c: Narrow(self.folder, f"{name}.{c}") if self.narrow and c != "key" else load(self.folder, f"{name}.{c}.npy") for c in self.columns} for name in self.names]
         return self._maps
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +150,30 @@ class Table:
         return place, value
 
 
+@dataclass
+class Figures:
+    """Counts for each place of a table, by the table's shards."""
+
+    folder: str
+    names: list[str]
+    sizes: list[int]
+    _maps: list | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_maps": None}
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The counts at rising places; -1 (absent) has 0."""
+        if self._maps is None:
+            self._maps = [Narrow(self.folder, name) for name in self.names]
+        out, bounds = np.zeros(len(places), np.int64), np.cumsum([0, *self.sizes])
+        cuts = np.searchsorted(places, bounds).tolist()
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                out[a:b] = self._maps[k][places[a:b] - bounds[k]]
+        return out
+
+
 def store(folder: str, name: str, values: np.ndarray) -> None:
     buffer = io.BytesIO()
     np.save(buffer, values, allow_pickle=False)
@@ -195,6 +253,60 @@ def _new_name(label: str, shard: int) -> str:
     return f"{label}-{shard:06d}-{uuid.uuid4().hex}"
 
 
+def _sorted_runs(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], folder: str) -> list[str]:
+    """Keys of all texts, summed up per task and stored as sorted runs in a folder; their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, names = ([], []), 0, []
+
+        def flush(key: np.ndarray, count: np.ndarray) -> None:
+            names.append((f"run-{uuid.uuid4().hex}",))
+            store(folder, f"{names[-1][0]}.key.npy", key)
+            store_narrow(folder, f"{names[-1][0]}.count", count)
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                key, count = distinct(keys_of(part.column(0)))
+                held[0].append(key)
+                held[1].append(count)
+                size += len(key)
+                if size > MOST_KEYS:
+                    key, count = combine(*held)
+                    if len(key) > MOST_KEYS // 2:
+                        flush(key, count)
+                        held, size = ([], []), 0
+                    else:
+                        held, size = ([key], [count]), len(key)
+        if size:
+            flush(*combine(*held))
+        yield _rows(names, ["name"])
+
+    return sorted(r["name"] for r in texts.mapInArrow(tidy(run), "name string").collect())
+
+
+def _merged(spark: SparkSession, folder: str, names: list[str], shards: list[tuple[int, int, int]], work: Callable[[int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work(shard, keys, counts)`` on the sums of all runs, for shards given as number, first and last key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                shard, low, high = shards[number]
+                held = ([np.zeros(0, U64)], [np.zeros(0, np.int64)])
+                for name in names:
+                    key, count = load(folder, f"{name}.key.npy"), Narrow(folder, f"{name}.count")
+                    a, b = int(np.searchsorted(key, U64(low))), int(np.searchsorted(key, U64(high), "right"))
+                    if a == b:
+                        continue
+                    held[0].append(np.array(key[a:b]))
+                    held[1].append(count.span(a, b))
+                    if len(held[0]) >= 24:
+                        key, count = combine(*held)
+                        held = ([key], [count])
+                yield from work(shard, *combine(*held))
+
+    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(tidy(run), schema)
+
+
 def count_words(texts: DataFrame, folder: str, shards: int) -> tuple[Table, int]:
     """The vocabulary with word counts, and the number of tokens."""
 
@@ -225,7 +337,7 @@ class Model:
 
     words: Table
     bigrams: Table
-    #: Per word id, in shards of ``stat_span`` ids: followers seen once, twice, more often; distinct words before it.
+    #: Per word id, in shards of ``stat_span`` ids: followers by their count (one, two, more); distinct words before it; the sum of its followers' counts.
     stat_names: list[str]
     stat_span: int
     n_tokens: int
@@ -234,22 +346,50 @@ class Model:
     low: list[float]
     #: Words by how many distinct words precede them: one, two, three or more.
     low_counts: list[int]
+    #: At order 3: trigrams, their discounts, and per bigram its count in the lower estimate and its followers seen once, twice, more often.
+    trigrams: Table | None = None
+    top: list[float] | None = None
+    lower: Figures | None = None
+    followers: list[Figures] | None = None
     _stats: list | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_stats": None}
 
     def stats(self, ids: np.ndarray) -> np.ndarray:
-        """The four figures of words (rows of zeros for unknown ones)."""
+        """The five figures of words (rows of zeros for unknown ones)."""
         if self._stats is None:
             self._stats = [load(self.words.folder, f"{name}.npy") for name in self.stat_names]
-        out = np.zeros((len(ids), 4))
+        out = np.zeros((len(ids), 5))
         shard = np.where(ids >= 0, ids // max(self.stat_span, 1), -1)
         for k in np.unique(shard[shard >= 0]).tolist():
             at = np.flatnonzero(shard == k)
             out[at] = self._stats[k][ids[at] - k * self.stat_span]
         return out
 
+    def _of_bigrams(self, figures: Figures, numbers: np.ndarray) -> np.ndarray:
+        """A figure of bigrams in any order (0: unknown ones)."""
+        number, back = np.unique(numbers, return_inverse=True)
+        return figures.at(number)[back]
+
+    def _with_trigrams(self, p: np.ndarray, ids: np.ndarray, first: np.ndarray, occur: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Estimates ``p`` by one word of context, interpolated into those by two; a text's first token has but one."""
+        inner = np.ones(len(ids), bool)
+        inner[first[:-1]] = False
+        # The bigram before a token is that of the token before it.
+        now = np.flatnonzero(inner)
+        now = now[number[now - 1] >= 0]
+        total = occur[now - 1]
+        found, back = np.unique(number[now - 1], return_inverse=True)
+        weight = sum(d * f.at(found) for d, f in zip(self.top[1:], self.followers, strict=True))[back] / total
+        known = ids[now] >= 0
+        key, which = np.unique(trigram_keys(number[now - 1][known], ids[now][known], self.words.size), return_inverse=True)
+        seen = np.zeros(len(now))
+        seen[known] = self.trigrams.find(key)[1][which]
+        out = p.copy()
+        out[now] = np.maximum(seen - np.array(self.top)[np.minimum(seen, 3).astype(int)], 0) / total + weight * p[now]
+        return out
+
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """Per text: tokens, known ones, and both log10 probabilities."""
         tokens, first = tokens_of(column)
@@ -266,7 +406,7 @@ class Model:
             lower = np.maximum(continuation - np.array(self.low)[np.minimum(continuation, 3).astype(int)], 0) / self.n_bigrams + left_over * floor
         else:
             lower = np.full(len(key), floor)
-        context_total = count
+        context_total = stats[:, 4]
         context_weight = (stats[:, :3] @ np.array(self.high[1:])) / np.maximum(context_total, 1)
 
         # The word before each token; the end token stands before a text's first.
@@ -275,12 +415,16 @@ class Model:
         before[first[:-1]] = np.searchsorted(key, END)
         pair = (place[before].astype(U64) << U64(32)) | ids.astype(U64)
         known = np.flatnonzero((place[before] >= 0) & (ids >= 0))
-        seen = np.zeros(len(tokens))
+        seen, occur, number = np.zeros(len(tokens)), np.zeros(len(tokens)), np.full(len(tokens), -1)
         hashed, back = np.unique(mix(pair[known]), return_inverse=True)
-        seen[known] = self.bigrams.find(hashed)[1][back]
+        at, counted = self.bigrams.find(hashed)
+        occur[known], number[known] = counted[back], at[back]
+        seen[known] = counted[back] if self.lower is None else self._of_bigrams(self.lower, at)[back]
         total = context_total[before]
         higher = np.maximum(seen - np.array(self.high)[np.minimum(seen, 3).astype(int)], 0) / np.maximum(total, 1)
         p = np.where(total > 0, higher + context_weight[before] * lower[which], lower[which])
+        if self.trigrams is not None:
+            p = self._with_trigrams(p, ids, first, occur, number)
         base = np.log10((c + 0.5) / (self.n_tokens + 0.5 * (vocabulary + 1)))
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
         return {"n_tokens": np.diff(first), "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
@@ -293,8 +437,38 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0, *(min(max(d, 0.05), c - 0.05) for c, d in enumerate(found, 1))]
 
 
-def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None) -> Model:
-    """Train on the column ``text``."""
+def trigram_keys(bigrams: np.ndarray, words: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Bigrams' numbers and words' ids, packed."""
+    return bigrams.astype(U64) << U64(max(vocabulary, 1).bit_length()) | words.astype(U64)
+
+
+def _word_figures(pair: np.ndarray, count: np.ndarray, span: int) -> pa.RecordBatch:
+    """What counted pairs of word ids add to the figures of either word."""
+    kind = np.minimum(count, 3) - 1
+    left, right = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+    of, back = np.unique(np.concatenate((left, right)), return_inverse=True)
+    table = np.bincount(back * 5 + np.concatenate((kind, np.full(len(pair), 3))), minlength=5 * len(of)).reshape(-1, 5)
+    table[:, 4] = np.bincount(back[: len(pair)], count, minlength=len(of))
+    return _parts(of, table, of // span)
+
+
+def _tallies(count: np.ndarray) -> tuple[int, ...]:
+    return tuple(int((count == c).sum()) for c in (1, 2, 3, 4))
+
+
+def _told(*row) -> pa.RecordBatch:
+    """A row for the driver among parts."""
+    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([repr(row).encode()]), pa.array([b""])], names=["shard", "keys", "counts"])
+
+
+def _heard(parts: DataFrame) -> list[tuple]:
+    return sorted(ast.literal_eval(bytes(r["keys"]).decode()) for r in parts.where("shard = -1").select("keys").collect())
+
+
+def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None, order: int = 2) -> Model:
+    """Train a model of the given order (2 or 3) on the column ``text``."""
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = texts.sparkSession
     bound_arrow(spark)
     shards = shards or shuffle_partitions(spark)
@@ -306,55 +480,131 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None)
         raise ValueError("the vocabulary exceeds 2**32 words")
     span = max(1, -(-vocabulary // shards))
 
-    def pairs_of(column: pa.Array) -> np.ndarray:
+    def pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: the mixed pair that it ends, its word's id, and whether its text begins with it."""
         tokens, first = tokens_of(column)
         ids = look_up(words, tokens)[0].astype(U64)
-        end = U64(words.find(np.array([END], U64))[0][0])
+        begins = np.zeros(len(ids), bool)
+        begins[first[:-1]] = True
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
-        before[first[:-1]] = end
-        return mix((before << U64(32)) | ids)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Store each shard; pass on what it holds per word."""
-        for shard, key, count in _by_shard(batches):
-            name = _new_name("bigrams", shard)
-            store(folder, f"{name}.key.npy", key)
-            store(folder, f"{name}.value.npy", count.astype(np.uint32))
-            pair = unmix(key)
-            kind = np.minimum(count, 3) - 1
-            ids = np.concatenate((pair >> U64(32), pair & U64(0xFFFFFFFF)))
-            columns = np.concatenate((kind, np.full(len(pair), 3)))
-            word, each = distinct(ids * U64(4) + columns.astype(U64))
-            of = (word >> U64(2)).astype(np.int64)
-            edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            table = np.zeros((len(edge), 4), np.uint32)
-            table[np.cumsum(np.concatenate(([0], of[1:] != of[:-1]))), (word & U64(3)).astype(np.int64)] = each
-            of = of[edge]
-            tallies = [int((count == c).sum()) for c in (1, 2, 3, 4)]
-            first = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([repr((shard, name, len(key), *tallies)).encode()]), pa.array([b""])], names=["shard", "keys", "counts"])
-            yield first
-            yield _parts(of, table, of // span)
-
-    parts = materialize(_count(texts, pairs_of, shards).mapInArrow(tidy(merge), PARTS), "language-model-stats")
-    rows = sorted(ast.literal_eval(bytes(r["keys"]).decode()) for r in parts.where("shard = -1").select("keys").collect())
-    bigrams = Table(folder, [r[1] for r in rows], [r[2] for r in rows], [(r[0] << 64) // shards for r in rows], ["key", "value"])
+        before[begins] = U64(words.find(np.array([END], U64))[0][0])
+        return mix((before << U64(32)) | ids), ids, begins
+
+    def merge(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Store each shard; at order 2, pass on what it holds per word."""
+        name = _new_name("bigrams", shard)
+        store(folder, f"{name}.key.npy", key)
+        store_narrow(folder, f"{name}.value", count)
+        yield _told(shard, name, len(key), *_tallies(count))
+        if order == 2:
+            yield _word_figures(unmix(key), count, span)
+
+    runs = new_folder(spark, "language-model-runs")
+    names = _sorted_runs(texts, lambda c: pairs_of(c)[0], runs)
+    ranges = [(k, -(-(k << 64) // shards), -(-((k + 1) << 64) // shards) - 1) for k in range(shards)]
+    parts = materialize(_merged(spark, runs, names, ranges, merge, PARTS), "language-model-stats")
+    delete_folder(spark, runs)
+    rows = _heard(parts)
+    bigrams = Table(folder, [r[1] for r in rows], [r[2] for r in rows], [ranges[r[0]][1] for r in rows], ["key", "value"], narrow=True)
     high = discounts(*[sum(r[3 + k] for r in rows) for k in range(4)])
+    more: dict = {}
+    if order == 3:
+        discard(parts)
+        parts, high, more = _fit_trigrams(texts, folder, pairs_of, vocabulary, bigrams, span)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for shard, ids, table in _by_shard(batches, 4, np.int64):
+        for shard, ids, table in _by_shard(batches, 5, np.int64):
             name = _new_name("stats", shard)
-            whole = np.zeros((span, 4), np.uint32)
+            whole = np.zeros((span, 5), np.uint32)
             whole[ids - shard * span] = table
             store(folder, f"{name}.npy", whole)
-            out.append((shard, name, *[int((table[:, 3] == c).sum()) for c in (1, 2, 3, 4)], int((table[:, 3] >= 3).sum())))
+            out.append((shard, name, *_tallies(table[:, 3]), int((table[:, 3] >= 3).sum())))
         yield _rows(out, ["shard", "name", "n1", "n2", "n3", "n4", "more"])
 
     stats = sorted(parts.where("shard >= 0").repartitionById(shards, F.col("shard")).mapInArrow(tidy(gather), "shard long, name string, n1 long, n2 long, n3 long, n4 long, more long").collect())
+    discard(parts)
     low = discounts(*[sum(r[c] for r in stats) for c in ("n1", "n2", "n3", "n4")])
     low_counts = [sum(r["n1"] for r in stats), sum(r["n2"] for r in stats), sum(r["more"] for r in stats)]
-    return Model(words, bigrams, [r["name"] for r in stats], span, n_tokens, bigrams.size, high, low, low_counts)
+    return Model(words, bigrams, [r["name"] for r in stats], span, n_tokens, bigrams.size, high, low, low_counts, **more)
+
+
+def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary: int, bigrams: Table, span: int) -> tuple[DataFrame, list[float], dict]:
+    """Figures per word and discounts of the lower order, and the model's fields of order 3."""
+    spark = texts.sparkSession
+    if bigrams.size.bit_length() + max(vocabulary, 1).bit_length() > 64:
+        raise ValueError("the numbers of bigrams and words exceed 64 bits")
+    shift = max(vocabulary, 1).bit_length()
+    start = np.concatenate(([0], np.cumsum(bigrams.sizes))).astype(int).tolist()
+    # Shards are those of the bigrams: by the first two words, or by the last two.
+    ranges = [(k, start[k] << shift, (start[k + 1] << shift) - 1) for k in range(len(bigrams.sizes)) if bigrams.sizes[k]]
+
+    def numbers(pairs: np.ndarray) -> np.ndarray:
+        key, back = np.unique(pairs, return_inverse=True)
+        return bigrams.find(key)[0][back]
+
+    def preceded(column: pa.Array) -> np.ndarray:
+        """Each bigram with the word before it; with none, the id past the last stands for it."""
+        pairs, ids, begins = pairs_of(column)
+        ahead = np.full(len(ids), vocabulary, U64)
+        later = np.flatnonzero(~begins)
+        # The word two places back; the end token (any text's last word) stands before a text's first.
+        back = np.where(begins[later - 1], -1, later - 2)
+        ahead[later] = np.where(back >= 0, ids[np.maximum(back, 0)], U64(0))
+        opening = later[back < 0]
+        if len(opening):
+            ahead[opening] = ids[-1]
+        return trigram_keys(numbers(pairs), ahead, vocabulary)
+
+    def lower_counts(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = (key >> U64(shift)).astype(np.int64) - start[shard]
+        each = np.where((key & U64((1 << shift) - 1)) == U64(vocabulary), count, 1)
+        total = np.bincount(at, each, minlength=bigrams.sizes[shard]).astype(np.int64)
+        name = _new_name("lower", shard)
+        store_narrow(folder, name, total)
+        yield _told(shard, name, *_tallies(total))
+        yield _word_figures(unmix(np.array(bigrams.maps()[shard]["key"])), total, span)
+
+    runs = new_folder(spark, "language-model-runs")
+    parts = materialize(_merged(spark, runs, _sorted_runs(texts, preceded, runs), ranges, lower_counts, PARTS), "language-model-stats")
+    delete_folder(spark, runs)
+    rows = _heard(parts)
+    sizes = [bigrams.sizes[r[0]] for r in rows]
+    lower = Figures(folder, [r[1] for r in rows], sizes)
+    high = discounts(*[sum(r[2 + k] for r in rows) for k in range(4)])
+
+    def trigrams(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = (key >> U64(shift)).astype(np.int64) - start[shard]
+        name = _new_name("trigrams", shard)
+        store(folder, f"{name}.key.npy", key)
+        store_narrow(folder, f"{name}.value", count)
+        for kind in (1, 2, 3):
+            store_narrow(folder, f"{name}.n{kind}", np.bincount(at[np.minimum(count, 3) == kind], minlength=bigrams.sizes[shard]))
+        yield _told(shard, name, len(key), *_tallies(count))
+
+    told = []
+    for turn in range(PASSES):
+        some = ranges[turn * len(ranges) // PASSES : (turn + 1) * len(ranges) // PASSES]
+        if not some:
+            continue
+        low, high_key = bigrams.firsts[some[0][0]], bigrams.firsts[some[-1][0] + 1] if some[-1][0] + 1 < len(bigrams.firsts) else 2**64
+
+        def keys_of(column: pa.Array, low: int = low, high: int = high_key) -> np.ndarray:
+            pairs, ids, begins = pairs_of(column)
+            later = np.flatnonzero(~begins)
+            context = pairs[later - 1]
+            later, context = (x[(context >= U64(low)) & (context <= U64(high - 1))] for x in (later, context))
+            return trigram_keys(numbers(context), ids[later], vocabulary)
+
+        runs = new_folder(spark, "language-model-runs")
+        told += _heard(_merged(spark, runs, _sorted_runs(texts, keys_of, runs), some, trigrams, PARTS))
+        delete_folder(spark, runs)
+    told.sort()
+    table = Table(folder, [r[1] for r in told], [r[2] for r in told], [start[r[0]] << shift for r in told], ["key", "value"], narrow=True)
+    followers = [Figures(folder, [f"{r[1]}.n{kind}" for r in told], [bigrams.sizes[r[0]] for r in told]) for kind in (1, 2, 3)]
+    top = discounts(*[sum(r[3 + k] for r in told) for k in range(4)])
+    return parts, high, {"trigrams": table, "top": top, "lower": lower, "followers": followers}
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -371,12 +621,12 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, model: Model | None = None) -> DataFrame:
-    """Scores of all rows by a model trained on those that are not held out (id fold 1 by default)."""
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, model: Model | None = None, order: int = 2) -> DataFrame:
+    """Scores of all rows by a model trained, at the given order, on those that are not held out (id fold 1 by default)."""
     bound_arrow(docs.sparkSession)
     out_of = fold_of(F.col(f"`{key}`")) == 1 if held_out is None else held_out
     source = docs.select(F.col(f"`{key}`").alias("__key"), out_of.alias("held_out"), F.col(f"`{text}`").alias("text"))
-    model = model or fit(source.where("not held_out"))
+    model = model or fit(source.where("not held_out"), order=order)
     kind = source.schema["__key"].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 

@@ -45,7 +45,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.language_model import score_documents
 
-    return score_documents(_read(spark, sf_dir, "documents"))
+    return score_documents(_read(spark, sf_dir, "documents"), order=3)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
