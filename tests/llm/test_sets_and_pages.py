@@ -136,6 +136,15 @@ def test_line_dedup(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_documents_of_short_lines_are_not_emptied(spark):
+    from tideline.llm.line_dedup import dedup_lines
+
+    footer = "all rights reserved by us"
+    rows = [(1, footer), (2, f"apple\nred pear\n{footer}"), (3, f"{footer}\n \t")]
+    got = {r.doc_id: (r.text, r.emptied) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (footer, False), 2: ("apple\nred pear", False), 3: (" \t", True)}
+
+
 def test_leaks(spark):
     from tideline.llm.decontaminate import find_leaks
 

@@ -188,7 +188,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 3, near_words: int = 8) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_removed``, ``n_near``, ``emptied``.
 
-    ``emptied``: lines went, and none with ``least_words`` words is left.
+    ``emptied``: lines went, and no word is left, or only lines that are
+    never removed, with at most a twentieth of the characters that went.
     """
     gone = removed_lines(docs, key, text, least_words, near_words)
     at = F.col(f"`{text}`")
@@ -205,6 +206,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.col("gone").isNotNull().alias("emptied"),
+        F.char_length(at).alias("__chars"),
     )
-    left = F.exists(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda line: n_words(F.trim(line, F.lit(_ENDS))) >= least_words)
-    return out.withColumn("emptied", F.col("emptied") & ~left)
+    left = F.trim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(_ENDS + "\n"))
+    trivial = ~F.exists(F.split(left, "\n"), lambda line: n_words(F.trim(line, F.lit(_ENDS))) >= least_words)
+    little = trivial & (20 * F.char_length(left) <= F.col("__chars") - F.char_length(F.col(f"`{text}`")))
+    return out.withColumn("emptied", F.col("emptied") & ((F.char_length(left) == 0) | little)).drop("__chars")
