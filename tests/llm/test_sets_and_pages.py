@@ -88,6 +88,15 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copy_of_a_repeated_ids_second_text(spark):
+    from tideline.llm.near_dedup import near_duplicates
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(5, a), (5, b), (9, b + " more"), (8, a + " more"), (6, d), (6, c), (7, c + " more"), (4, d + " more")]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (9, 5), (8, 5), (6, 4), (7, 4), (4, 4)}
+
+
 def test_deletion_keys(spark):
     from tideline.llm.line_dedup import deletion_keys, within_one_word
 

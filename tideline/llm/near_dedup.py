@@ -154,9 +154,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, rules: Near
         for batch in batches:
             for part in (p for half in slices(batch, "tu", 2 << 20) for p in slices(half, "tv", 2 << 20)):
                 u, fu, tu, v, fv, tv = part.columns
-                # A row of pairs often shares its first text with the row before.
-                _, at, which = np.unique(u.to_numpy(), return_index=True, return_inverse=True)
-                left, right = sets_of(tu.take(pa.array(at)), rules.shingle), sets_of(tv, rules.shingle)
+                # A row of pairs often shares its first text with the row before; an id may have several texts.
+                once = tu.dictionary_encode(null_encoding="encode")
+                which = once.indices.to_numpy()
+                left, right = sets_of(once.dictionary, rules.shingle), sets_of(tv, rules.shingle)
                 prints = [set_prints(*x) for x in (left, right)]
                 ok = np.zeros(part.num_rows, bool)
                 fu, fv = fu.to_numpy(), fv.to_numpy()
