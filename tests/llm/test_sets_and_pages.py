@@ -174,6 +174,18 @@ def test_leaks(spark):
     assert find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_parts_of_items_and_short_items(spark):
+    from tideline.llm.decontaminate import find_leaks
+
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choices("aeioustrnl", k=r.randint(2, 7))) for _ in range(n))
+    item = prose(70)[:253]
+    parts = {1: item[30:165], 2: item[:110], 3: item[150:220], 4: item[100:140], 5: item[64:199]}
+    docs = [(k, f"{prose(40)} {t} {prose(40)}") for k, t in parts.items()] + [(6, prose(30) + " zq7 " + prose(9)), (7, prose(30) + " zq72 " + prose(9))]
+    df, bench = (spark.createDataFrame(rows, f"{c} long, text string") for rows, c in ((docs, "doc_id"), ([(1, item), (2, "zq7"), (3, " ")], "item_id")))
+    assert {(x.doc_id, x.item_id) for x in find_leaks(df, bench).collect()} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 2)}
+
+
 def test_alignment():
     from tideline.llm.decontaminate import align, codes, gram_hashes
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination: q-gram lemma filtering, then banded alignment.
 
 Texts and benchmark items are case-folded and their white space is made one
-space. An item is looked for in windows of at most ``window`` characters, each
+space. An item is looked for in windows of at most ``window`` characters, and
+in shorter ones of ``passage`` characters that begin every ``stride``, each
 allowed ``edit_rate`` of its length in edits. A window of L characters with at
 most k edits shares at least L - q + 1 - k*q of its q-grams with the matching
 region, on at most 2k + 1 neighbouring diagonals. So shared q-grams are
@@ -11,14 +12,18 @@ bound are kept, and each window is aligned there within the band.
 Items travel to the tasks in blocks of at most ``BLOCK_CHARS`` characters, so
 a benchmark of any size takes bounded memory; documents are never moved.
 
-Cases: null or empty texts match nothing; items of fewer than q characters
-cannot be told from chance and are ignored, as are null ones; repeated rows
+A copied part of an item is found from passage + stride - 1 characters on, if a
+window inside it has no more edits than allowed.
+
+Cases: null or empty texts match nothing, nor do null or empty items; items of
+fewer than q characters are found where they stand exactly, as whole words; repeated rows
 each give their own result rows; ties between places go to the first; an empty
 table gives an empty result. Results carry only the named key columns.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -42,6 +47,8 @@ class LeakRules:
     q: int = 8
     edit_rate: float = 0.10
     window: int = 128
+    passage: int = 64
+    stride: int = 4
 
 
 def normal(text: str) -> str:
@@ -112,19 +119,24 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], rules: LeakRules) -> None:
         self.q = q = rules.q
         self.ids, self.codes, self.strings, edits, bound = [], [], [], [], []
+        self.short: list[tuple[int, str]] = []
         for number, text in items:
             text = normal(text)
-            size = min(len(text), rules.window)
-            if size < q:
+            if len(text) < q:
+                if text:
+                    self.short.append((number, text))
                 continue
-            k = min(int(rules.edit_rate * size), (size - q) // q)
-            step = max(1, rules.window // 2)
-            for s in sorted({*range(0, len(text) - size + 1, step), len(text) - size}):
-                self.ids.append(number)
-                self.strings.append(text[s : s + size])
-                self.codes.append(codes(self.strings[-1]))
-                edits.append(k)
-                bound.append(size - q + 1 - k * q)
+            kinds = [(min(len(text), rules.window), max(1, rules.window // 2))]
+            if len(text) > rules.passage:
+                kinds.append((rules.passage, rules.stride))
+            for size, step in kinds:
+                k = min(int(rules.edit_rate * size), (size - q) // q)
+                for s in sorted({*range(0, len(text) - size + 1, step), len(text) - size}):
+                    self.ids.append(number)
+                    self.strings.append(text[s : s + size])
+                    self.codes.append(codes(self.strings[-1]))
+                    edits.append(k)
+                    bound.append(size - q + 1 - k * q)
         self.empty = not self.ids
         if self.empty:
             return
@@ -177,9 +189,23 @@ class ItemIndex:
 
 def find_leaks_in(texts: list[str | None], index: ItemIndex, rules: LeakRules) -> list[tuple[int, int, int, int, int]]:
     """(text number, item id, start, end, edits) of every item found: its best window, at places in the normalised text."""
-    if index.empty:
-        return []
     parts = [normal(t or "") for t in texts]
+    hits: list[tuple[int, int, int, int, int]] = []
+    for number, item in index.short:
+        whole_words = re.compile(rf"(?<!\w){re.escape(item)}(?!\w)")
+        for doc, part in enumerate(parts):
+            if item in part and (exact := whole_words.search(part)):
+                hits.append((doc, number, 0, exact.start(), exact.end()))
+    if not index.empty:
+        hits += _windows_found(parts, index)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for doc, item, *found in hits:
+        best[doc, item] = min(tuple(found), best.get((doc, item), tuple(found)))
+    return [(doc, item, start, end, edits) for (doc, item), (edits, start, end) in sorted(best.items())]
+
+
+def _windows_found(parts: list[str], index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
+    """(text number, item id, edits, start, end) of the windows found in normalised texts."""
     # A separator that no text holds keeps q-grams inside their text.
     whole = codes("\U0010ffff".join(parts))
     offsets = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
@@ -207,10 +233,7 @@ def find_leaks_in(texts: list[str | None], index: ItemIndex, rules: LeakRules) -
             if edits <= index.edits[owner]:
                 low = begin - int(offsets[doc])
                 hits.append((doc, index.ids[owner], edits, low + start, low + end))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for doc, item, *found in hits:
-        best[doc, item] = min(tuple(found), best.get((doc, item), tuple(found)))
-    return [(doc, item, start, end, edits) for (doc, item), (edits, start, end) in sorted(best.items())]
+    return hits
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
