@@ -145,6 +145,15 @@ def test_line_dedup(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_long_lines_of_few_words(spark):
+    from tideline.llm.line_dedup import dedup_lines
+
+    lines = ["日本語の長い行がここに一つだけあります", "one\ttwo\tthree", "no\u00a0break\u00a0spaces\u00a0here", "a b c d e f g h i"]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:3], "a\tb\tc\td\te\tf\tg\th\tz", "short one"]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("short one", 4)}
+
+
 def test_documents_of_short_lines_are_not_emptied(spark):
     from tideline.llm.line_dedup import dedup_lines
 

@@ -1,7 +1,7 @@
 """Line deduplication across documents by a deletion-neighbourhood join.
 
-Lines are trimmed of white space at both ends; words are what single spaces
-separate. Equal lines are found by hash. Lines of at least ``near_words`` words
+Lines are trimmed of white space at both ends; words are what single characters
+of white space separate, whichever it is. Equal lines are found by hash. Lines of at least ``near_words`` words
 are also compared within an edit bound of one word: each emits, as hashed keys,
 itself and all variants with one word deleted; lines that share a key are
 joined, the edit distance is verified on the words, and only the earliest line
@@ -20,7 +20,8 @@ the earliest of a group is a true neighbour.
 All of it is DataFrame code.
 
 Cases: null texts stay null and have no lines; lines with fewer than
-``least_words`` words always stay; a null id comes after all others; rows that
+``least_words`` words and fewer than ``LEAST_CHARS`` characters always stay (in
+scripts without spaces a long line is one word); a null id comes after all others; rows that
 repeat both id and text are one document and get equal results; an empty table
 gives an empty result; other columns pass through.
 """
@@ -34,6 +35,8 @@ from tideline.llm.store import materialize
 
 #: Rows of line ids (16 bytes each) up to which they are broadcast to the scan; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Characters from which a line counts however few its words are.
+LEAST_CHARS = 16
 _LAST = 2**63 - 1
 #: White space that is trimmed from a line's ends.
 _ENDS = " \t\r\x0b\x0c"
@@ -124,10 +127,11 @@ def _gaps(words: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
-    """One row per line with enough words: document (``d``, ``th``), place ``p``, ``line``, its words ``n``, hashes ``h1``, ``h2``."""
+    """One row per line with enough words or characters: document (``d``, ``th``), place ``p``, ``line``, its words ``n``, hashes ``h1``, ``h2``."""
     at = F.col(f"`{text}`")
     source = docs.where(at.isNotNull()).select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(at).alias("th"), F.posexplode(F.split(at, "\n")).alias("p", "line"))
-    source = source.withColumn("line", F.trim("line", F.lit(_ENDS))).withColumn("n", n_words(F.col("line"))).where(F.col("n") >= least_words)
+    source = source.withColumn("line", F.trim(F.translate("line", _ENDS, " " * len(_ENDS)))).withColumn("n", n_words(F.col("line")))
+    source = source.where((F.col("n") >= least_words) | (F.char_length("line") >= LEAST_CHARS))
     return source.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
 
 
