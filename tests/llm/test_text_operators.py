@@ -65,6 +65,16 @@ def test_quality_counts(spark):
     assert judge(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_capitals_are_a_share_of_all_letters(spark):
+    from tideline.llm.quality import judge
+
+    texts = ["Страны НАТО и союзники обсудили NATO и USB в Москве", "日本 NATO 語 USB テキスト", "ΑΒΓ αβγ Ạạ ſ", "ABC", "1 2", "𐐀𐐨 x", None]
+    rows = {r.doc_id: r.capital_share for r in judge(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        letters = [c for c in t or "" if c.isalpha()]
+        assert rows[i] == pytest.approx(sum(c.isupper() for c in letters) / max(len(letters), 1))
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers as P
     import tiktoken
