@@ -5,13 +5,13 @@ written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``, with ``n_chars`` kept true.
 
 Null ids are never dropped as copies or leaks, since nothing can name them;
-null texts fail the quality rules. Of rows that repeat an id one stays after
-the near-duplicate stage.
+null texts fail the quality rules. Of rows that repeat both id and words one
+stays after the near-duplicate stage; other texts under a repeated id stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_documents
@@ -50,7 +50,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = materialize(repeated.select("doc_id"), "pipeline-repeated")
     if repeated.isEmpty():
         return kept
-    return _without(kept, repeated).unionByName(_without(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    # Rows of one id are copies only if their words are the same; which copy stays does not depend on partitions.
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
+    order = Window.partitionBy("doc_id", words).orderBy(*[F.col(c) for c in docs.columns])
+    one = _without(kept, repeated, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return _without(kept, repeated).unionByName(one.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

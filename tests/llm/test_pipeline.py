@@ -21,6 +21,13 @@ def test_stages(spark, sf, tmp_path):
     assert docs.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_other_texts_under_a_repeated_id_stay(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "ab"]
+    rows = [(1, texts[0], "en"), (1, texts[1], "de"), (1, texts[0], "de"), (2, "c d", "en")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(map(tuple, out.collect())) == [(1, texts[0], "de"), (1, texts[1], "de"), (2, "c d", "en")]
+
+
 def test_ten_operators_are_registered():
     names = list(queries.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
