@@ -189,22 +189,84 @@ def test_parts_of_items_and_short_items(spark):
     r = random.Random(11)
     prose = lambda n: " ".join("".join(r.choices("aeioustrnl", k=r.randint(2, 7))) for _ in range(n))
     item = prose(70)[:253]
-    parts = {1: item[30:165], 2: item[:110], 3: item[150:220], 4: item[100:140], 5: item[64:199]}
-    docs = [(k, f"{prose(40)} {t} {prose(40)}") for k, t in parts.items()] + [(6, prose(30) + " zq7 " + prose(9)), (7, prose(30) + " zq72 " + prose(9))]
-    df, bench = (spark.createDataFrame(rows, f"{c} long, text string") for rows, c in ((docs, "doc_id"), ([(1, item), (2, "zq7"), (3, " ")], "item_id")))
-    assert {(x.doc_id, x.item_id) for x in find_leaks(df, bench).collect()} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 2)}
+    parts = {1: item[30:165], 2: item[:110], 3: item[150:220], 4: item[100:140], 5: item[64:199], 8: item[77:141], 9: item[77:118]}
+    docs = [(k, f"{prose(40)} {t} {prose(40)}") for k, t in parts.items()] + [(6, prose(30) + " zq7 " + prose(9)), (7, prose(30) + " zq72 " + prose(9)), (10, "是短短短短题目吗"), (11, prose(9000) + item)]
+    docs += [docs[0]]
+    for kind, own in (("long", int), ("int", int), ("string", str)):
+        items = [(own(1), item, "x"), (own(2), "zq7", "x"), (own(3), " ", "x"), (own(4), None, "x"), (None, item, "x"), (own(5), "短短短题", "x"), (own(1), "zq7", "x")]
+        df = spark.createDataFrame([(*d, 0, 0) for d in docs], "doc_id long, text string, edits int, item_id int")
+        found = find_leaks(df, spark.createDataFrame(items, f"item_id {kind}, text string, start string"))
+        got = collections.Counter((x.doc_id, x.item_id) for x in found.collect())
+        assert got == collections.Counter([(k, own(1)) for k in (1, 1, 2, 3, 5, 6, 8, 11)] + [(6, own(2)), (10, own(5))])
+        assert find_leaks(df.limit(0), spark.createDataFrame(items, f"item_id {kind}, text string, start string")).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcde"])
+def test_every_window_within_the_bound_is_found(letters):
+    from tideline.llm import decontaminate as D
+
+    r = random.Random(letters)
+    rules = D.LeakRules(q=6, passage=24)
+
+    def off(window, text):
+        """Least edits between a window and any part of a text."""
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(window, 1):
+            last, row = row, [i]
+            for j, y in enumerate(text, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return min(row)
+
+    items = ["".join(r.choices(letters, k=n)) for n in (1, 4, 9, 10, 11, 15, 19, 20, 23, 24, 25, 30, 39, 47, 48, 60)]
+    texts = []
+    for item in items * 2:
+        part = list(item[r.randrange(max(1, len(item) // 3)) :])
+        for _ in range(r.choice([0, 1, 2, 2, 3, 4])):
+            if part:
+                at = r.randrange(len(part))
+                part[at : at + 1] = r.choice([[], [r.choice(letters)], [part[at], r.choice(letters)]])
+        texts.append("".join(r.choices(letters, k=r.randrange(12))) + "".join(part) + "".join(r.choices(letters, k=r.randrange(12))))
+    for together in (texts, *[[t] for t in texts[:4]]):
+        found = D.find_leaks_in(together, D.ItemIndex.build(items, rules))
+        got = {(d, i) for d, i, *_ in found}
+        for i, item in enumerate(items):
+            if len(item) < 10:
+                continue
+            sizes = {min(len(item), 24), len(item) if len(item) < 48 else 24}
+            windows = {item[s : s + size] for size in sizes for s in range(len(item) - size + 1)}
+            for d, text in enumerate(together):
+                assert ((d, i) in got) == any(off(w, text) <= len(w) // 10 for w in windows), (item, text)
+        for d, i, start, end, k in found:
+            assert min(edits(items[i][s : s + size], together[d][start:end]) for size in {len(items[i]), 24} for s in range(max(1, len(items[i]) - size + 1))) <= k
+
+
+def test_pieces_of_many_shared_grams(monkeypatch):
+    from tideline.llm import decontaminate as D
+
+    r = random.Random(5)
+    item = "".join(r.choices("abcdefgh", k=200))
+    texts = ["a" * 3000 + item[20:150] + "b" * 500, "".join(r.choices("abcdefgh", k=900)), item * 3, "a" * 70]
+    index = D.ItemIndex.build([item, "a" * 90, item[:70]], D.LeakRules())
+    want = D.find_leaks_in(texts, index)
+    assert {(d, i) for d, i, *_ in want} == {(0, 0), (0, 1), (2, 0), (2, 2), (3, 1)}
+    monkeypatch.setattr(D, "_HITS", 50)
+    monkeypatch.setattr(D, "_CELLS", 100)
+    assert {(d, i) for d, i, *_ in D.find_leaks_in(texts, index)} == {(d, i) for d, i, *_ in want}
 
 
 def test_alignment():
+    import numpy as np
+
     from tideline.llm.decontaminate import align, codes, gram_hashes
 
     r = random.Random(3)
+    outside = np.full(12, 0xFFFFFFFF, np.uint32)
     for _ in range(30):
         text = "".join(r.choices("ab", k=40))
         item = "".join(r.choices("ab", k=12))
         best = min(edits(item, text[a:b]) for a in range(41) for b in range(a, 41))
-        ((found, start, end),) = align([codes(item)], [codes(text)], 48, 12)
-        assert found == best and edits(item, text[start:end]) == best
+        found, start, end = (int(x[0]) for x in align(codes(item)[None], np.concatenate((outside, codes(text), outside))[None]))
+        assert found == best and edits(item, text[max(0, start - 12) : max(0, end - 12)]) == best
     a, b = codes("xabcdefghy"), codes("abcdefgh")
     assert gram_hashes(a, 8)[1] == gram_hashes(b, 8)[0] and len(gram_hashes(b, 9)) == 0
 

@@ -31,7 +31,6 @@ no training rows every token is unknown; an empty table gives an empty result.
 from __future__ import annotations
 
 import ast
-import io
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,8 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, delete_folder, discard, materialize, new_folder, shuffle_partitions, tidy
-from tideline.llm.warc import Files
+from tideline.llm.store import bound_arrow, delete_folder, discard, load_array, materialize, new_folder, shuffle_partitions, store_array, tidy
 from tideline.llm.words import mix, slices, words_of
 
 U64 = np.uint64
@@ -90,7 +88,7 @@ class Narrow:
     """A stored array of counts: a byte each, and a list of the larger ones."""
 
     def __init__(self, folder: str, name: str) -> None:
-        self.small, self.at, self.more = (load(folder, f"{name}.{part}.npy") for part in ("small", "at", "more"))
+        self.small, self.at, self.more = (load_array(folder, f"{name}.{part}.npy") for part in ("small", "at", "more"))
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         out = self.small[at].astype(np.int64)
@@ -106,7 +104,7 @@ class Narrow:
 def store_narrow(folder: str, name: str, values: np.ndarray) -> None:
     at = np.flatnonzero(values >= 255)
     for part, array in (("small", np.minimum(values, 255).astype(np.uint8)), ("at", at), ("more", values[at].astype(np.int64))):
-        store(folder, f"{name}.{part}.npy", array)
+        store_array(folder, f"{name}.{part}.npy", array)
 
 
 @dataclass
@@ -130,7 +128,7 @@ class Table:
 
     def maps(self) -> list[dict[str, np.ndarray]]:
         if self._maps is None:
-            self._maps = [{c: Narrow(self.folder, f"{name}.{c}") if self.narrow and c != "key" else load(self.folder, f"{name}.{c}.npy") for c in self.columns} for name in self.names]
+            self._maps = [{c: Narrow(self.folder, f"{name}.{c}") if self.narrow and c != "key" else load_array(self.folder, f"{name}.{c}.npy") for c in self.columns} for name in self.names]
         return self._maps
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,22 +172,6 @@ class Figures:
         return out
 
 
-def store(folder: str, name: str, values: np.ndarray) -> None:
-    buffer = io.BytesIO()
-    np.save(buffer, values, allow_pickle=False)
-    with Files(folder).write(name) as out:
-        out.write(buffer.getbuffer())
-
-
-def load(folder: str, name: str) -> np.ndarray:
-    """A stored array: mapped from a mounted folder, read from another store."""
-    files = Files(folder)
-    if files.store is None:
-        return np.load(f"{files.root}/{name}", mmap_mode="r")
-    with files.read(name) as source:
-        return np.load(io.BytesIO(source.read()))
-
-
 PARTS = "shard int, keys binary, counts binary"
 
 
@@ -261,7 +243,7 @@ def _sorted_runs(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], fo
 
         def flush(key: np.ndarray, count: np.ndarray) -> None:
             names.append((f"run-{uuid.uuid4().hex}",))
-            store(folder, f"{names[-1][0]}.key.npy", key)
+            store_array(folder, f"{names[-1][0]}.key.npy", key)
             store_narrow(folder, f"{names[-1][0]}.count", count)
 
         for batch in batches:
@@ -293,7 +275,7 @@ def _merged(spark: SparkSession, folder: str, names: list[str], shards: list[tup
                 shard, low, high = shards[number]
                 held = ([np.zeros(0, U64)], [np.zeros(0, np.int64)])
                 for name in names:
-                    key, count = load(folder, f"{name}.key.npy"), Narrow(folder, f"{name}.count")
+                    key, count = load_array(folder, f"{name}.key.npy"), Narrow(folder, f"{name}.count")
                     a, b = int(np.searchsorted(key, U64(low))), int(np.searchsorted(key, U64(high), "right"))
                     if a == b:
                         continue
@@ -314,8 +296,8 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> tuple[Table, int]
         rows = []
         for shard, key, count in _by_shard(batches):
             name = _new_name("words", shard)
-            store(folder, f"{name}.key.npy", key)
-            store(folder, f"{name}.value.npy", count)
+            store_array(folder, f"{name}.key.npy", key)
+            store_array(folder, f"{name}.value.npy", count)
             rows.append((shard, name, len(key), int(count.sum())))
         yield _rows(rows, ["shard", "name", "size", "total"])
 
@@ -359,7 +341,7 @@ class Model:
     def stats(self, ids: np.ndarray) -> np.ndarray:
         """The five figures of words (rows of zeros for unknown ones)."""
         if self._stats is None:
-            self._stats = [load(self.words.folder, f"{name}.npy") for name in self.stat_names]
+            self._stats = [load_array(self.words.folder, f"{name}.npy") for name in self.stat_names]
         out = np.zeros((len(ids), 5))
         shard = np.where(ids >= 0, ids // max(self.stat_span, 1), -1)
         for k in np.unique(shard[shard >= 0]).tolist():
@@ -494,7 +476,7 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
     def merge(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Store each shard; at order 2, pass on what it holds per word."""
         name = _new_name("bigrams", shard)
-        store(folder, f"{name}.key.npy", key)
+        store_array(folder, f"{name}.key.npy", key)
         store_narrow(folder, f"{name}.value", count)
         yield _told(shard, name, len(key), *_tallies(count))
         if order == 2:
@@ -519,7 +501,7 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
             name = _new_name("stats", shard)
             whole = np.zeros((span, 5), np.uint32)
             whole[ids - shard * span] = table
-            store(folder, f"{name}.npy", whole)
+            store_array(folder, f"{name}.npy", whole)
             out.append((shard, name, *_tallies(table[:, 3]), int((table[:, 3] >= 3).sum())))
         yield _rows(out, ["shard", "name", "n1", "n2", "n3", "n4", "more"])
 
@@ -577,7 +559,7 @@ def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary:
     def trigrams(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = (key >> U64(shift)).astype(np.int64) - start[shard]
         name = _new_name("trigrams", shard)
-        store(folder, f"{name}.key.npy", key)
+        store_array(folder, f"{name}.key.npy", key)
         store_narrow(folder, f"{name}.value", count)
         for kind in (1, 2, 3):
             store_narrow(folder, f"{name}.n{kind}", np.bincount(at[np.minimum(count, 3) == kind], minlength=bigrams.sizes[shard]))

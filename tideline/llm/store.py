@@ -2,17 +2,22 @@
 
 Lineage is cut by writing a table under the folder named in
 ``spark.checkpoint.dir``, which all executors and the driver share. Only where
-that setting is absent (tests, one machine) is a temporary folder made.
+that setting is absent and the master is local is a temporary folder made.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import io
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +55,50 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
+class Files:
+    """Opens files of a folder that may be local, or in any store that Arrow reaches."""
+
+    def __init__(self, folder: str) -> None:
+        scheme = urlsplit(folder).scheme
+        self.store, self.root = None, folder
+        if scheme in ("", "file"):
+            self.root = urlsplit(folder).path
+        else:
+            from pyarrow import fs
+
+            self.store, self.root = fs.FileSystem.from_uri(folder)
+
+    def write(self, name: str):
+        if self.store is None:
+            os.makedirs(self.root, exist_ok=True)
+            return open(f"{self.root}/{name}", "wb")
+        self.store.create_dir(self.root, recursive=True)
+        return self.store.open_output_stream(f"{self.root}/{name}")
+
+    def read(self, name: str):
+        return open(f"{self.root}/{name}", "rb") if self.store is None else self.store.open_input_file(f"{self.root}/{name}")
+
+
+def store_array(folder: str, name: str, values: np.ndarray) -> None:
+    buffer = io.BytesIO()
+    np.save(buffer, values, allow_pickle=False)
+    with Files(folder).write(name) as out:
+        out.write(buffer.getbuffer())
+
+
+def load_array(folder: str, name: str) -> np.ndarray:
+    """A stored array, mapped: from a mounted folder, or from a copy that has no name and goes with the mapping."""
+    files = Files(folder)
+    if files.store is None:
+        return np.load(f"{files.root}/{name}", mmap_mode="r")
+    with files.read(name) as source, tempfile.TemporaryFile() as copy:
+        shutil.copyfileobj(source, copy, 8 << 20)
+        copy.seek(0)
+        version = np.lib.format.read_magic(copy)
+        shape, _, kind = np.lib.format.read_array_header_1_0(copy) if version == (1, 0) else np.lib.format.read_array_header_2_0(copy)
+        return np.memmap(copy, kind, "r", copy.tell(), shape) if 0 not in shape else np.zeros(shape, kind)
+
+
 def bound_arrow(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; they hold long documents."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
@@ -66,6 +115,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tideline-")
     context.setCheckpointDir(own)
     return own

@@ -21,13 +21,12 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, materialize, new_folder, shuffle_partitions, tidy
+from tideline.llm.store import Files, bound_arrow, materialize, new_folder, shuffle_partitions, tidy
 
 #: Bytes after which a new archive file is begun.
 FILE_BYTES = 1 << 30
@@ -41,32 +40,6 @@ _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-class Files:
-    """Opens files of a folder that may be local, or in any store that Arrow reaches."""
-
-    def __init__(self, folder: str) -> None:
-        scheme = urlsplit(folder).scheme
-        self.store, self.root = None, folder
-        if scheme in ("", "file"):
-            self.root = urlsplit(folder).path
-        else:
-            from pyarrow import fs
-
-            self.store, self.root = fs.FileSystem.from_uri(folder)
-
-    def write(self, name: str):
-        if self.store is None:
-            import os
-
-            os.makedirs(self.root, exist_ok=True)
-            return open(f"{self.root}/{name}", "wb")
-        self.store.create_dir(self.root, recursive=True)
-        return self.store.open_output_stream(f"{self.root}/{name}")
-
-    def read(self, name: str):
-        return open(f"{self.root}/{name}", "rb") if self.store is None else self.store.open_input_file(f"{self.root}/{name}")
-
-
 def digest_of(payload: bytes) -> str:
     """Bare base32 SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
