@@ -65,14 +65,65 @@ def test_quality_counts(spark):
     assert judge(documents(spark, texts).limit(0)).count() == 0
 
 
-def test_capitals_are_a_share_of_all_letters(spark):
-    from tideline.llm.quality import judge
+def plain_figures(pieces, text):
+    """Characters per token, byte share, entropy and evenness of a text, one token at a time."""
+    ws = words(text)
+    tokens = [t for w in ws for t in pieces.encode(w)]
+    n = len(tokens)
+    entropy = -sum(k / n * math.log2(k / n) for k in collections.Counter(tokens).values()) if n else 0.0
+    return sum(map(len, ws)) / max(n, 1), sum(pieces.is_byte(t) for t in tokens) / max(n, 1), entropy, entropy / math.log2(max(min(n, 512), 2)), n
 
-    texts = ["Страны НАТО и союзники обсудили NATO и USB в Москве", "日本 NATO 語 USB テキスト", "ΑΒΓ αβγ Ạạ ſ", "ABC", "1 2", "𐐀𐐨 x", None]
-    rows = {r.doc_id: r.capital_share for r in judge(documents(spark, texts)).collect()}
-    for i, t in enumerate(texts):
-        letters = [c for c in t or "" if c.isalpha()]
-        assert rows[i] == pytest.approx(sum(c.isupper() for c in letters) / max(len(letters), 1))
+
+def test_fertility_decides(spark):
+    import public_tokenizers as P
+    import sentencepiece
+
+    from tideline.llm.quality import QualityRules, judge
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    plain = "The river runs through the old town and its market where people meet to talk about the weather and the harvest of the year "
+    texts = ODD + made_texts() + [plain * 2, plain, "qzxj kvbw xqzj " * 9 + "a b c d e f", "𐍈𐍊 ᚠᚢ ꙮꙬ ⵣⵥ " * 3 + " ".join(f"ᚠ{chr(0x16A0 + k)}ꙮ" for k in range(30)), " ".join("ab"[k % 2] for k in range(20)) + " " + " ".join("cd"[(k * k) % 3 % 2] for k in range(80))]
+    langs = ["en", None, "xx", "ru"] * 17 + ["en"] * 9
+    rules = QualityRules(fitted={("en", 2): (2.0, 3.5, 0.02, 0.6, 1.1), ("en", 3): (3.0, 3.5, 0.02, 0.7, 1.1), ("latin", 2): (2.5, 5.0, 0.1, 0.5, 1.1)})
+    df = spark.createDataFrame([(i, t, langs[i], "u") for i, t in enumerate(texts)], "doc_id long, text string, lang string, Kept string")
+    rows = judge(df, rules).collect()
+    assert "Kept" not in df.sparkSession.createDataFrame(rows).columns
+    kinds = collections.Counter()
+    for r in rows:
+        t = texts[r.doc_id]
+        fertility, share, entropy, even, n = plain_figures(pieces, t)
+        assert r.n_tokens == n
+        assert (r.chars_per_token, r.byte_share, r.token_entropy, r.evenness) == pytest.approx((fertility, share, entropy, even))
+        lang = langs[r.doc_id]
+        band = rules.fitted.get((lang or r.script, int(math.log(max(n, 1), 4) + 1e-9))) or rules.bands.get(lang) or rules.bands[r.script]
+        outside = {"low": fertility < band[0], "high": fertility > band[1], "bytes": share > band[2], "uneven": n >= 30 and even < band[3], "even": n >= 30 and even > band[4]}
+        assert r.kept == (not r.base_failed and not any(outside.values()))
+        kinds.update(k for k, v in outside.items() if v and not r.base_failed)
+    assert {"low", "high", "bytes", "uneven"} <= set(kinds), kinds
+
+
+def test_bands_from_labels(spark, sf):
+    from tideline.llm.quality import QualityRules, fit_bands, judge, keep_good
+
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rules = fit_bands(docs, labels)
+    good = labels.where("quality = 1")
+    figures = [r for r in judge(docs.join(good, "doc_id", "left_semi")).where("not base_failed and lang = 'en'").collect() if 64 <= r.n_tokens < 256 * 4]
+    for c, least, most in ((3, 64, 256), (4, 256, 1024)):
+        own = [r for r in figures if least <= r.n_tokens < most]
+        low, high, _, even_low, even_high = rules.fitted["en", c]
+        assert (low + high) / 2 == pytest.approx(np.mean([r.chars_per_token for r in own]))
+        assert (even_low + even_high) / 2 == pytest.approx(np.mean([r.evenness for r in own]))
+    # Held out: bands from half of the labels part the other half.
+    half = fit_bands(docs, labels.where("doc_id % 2 = 0"))
+    found = {r.doc_id: r for r in judge(docs, half).where("not base_failed").collect()}
+    kept = {q: [found[r.doc_id].kept for r in labels.where(f"quality = {q} and doc_id % 2 = 1").collect() if r.doc_id in found] for q in (0, 1)}
+    assert np.mean(kept[1]) > 0.95 and np.mean(kept[0]) < 0.4
+    assert fit_bands(docs, labels.limit(0)).fitted == {} == fit_bands(docs.limit(0), labels).fitted
+    assert fit_bands(docs, labels, most_rows=1).fitted == {}
+    odd = docs.limit(50).withColumnRenamed("n_chars", "Kept").withColumnRenamed("source", "a.b")
+    assert keep_good(odd).columns == odd.columns and keep_good(odd).count() == judge(odd).where("kept").count()
+    assert QualityRules().fitted == {}
 
 
 def test_bpe_equals_the_library(spark):

@@ -56,10 +56,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tideline.llm.quality import judge
+    from tideline.llm.quality import fit_bands, judge
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs).drop("text", "lang")
+    return judge(docs, fit_bands(docs, _read(spark, sf_dir, "labels"))).drop("text", "lang")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
