@@ -1,5 +1,7 @@
 """The pipeline's stages in a row, and the registered queries."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tideline.llm import queries
 
@@ -21,6 +23,18 @@ def test_stages(spark, sf, tmp_path):
     assert docs.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_columns_of_any_name_pass_unchanged(spark, sf):
+    names = ["gone", "d", "th", "Script", "kept", "n_words", "emptied", "a.b", "id", "c0", "text_", "bands", "component_id", "item_id"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" and r.n_chars == len(r.text) for r in rows for n in names)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
 def test_other_texts_under_a_repeated_id_stay(spark):
     texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "ab"]
     rows = [(1, texts[0], "en"), (1, texts[1], "de"), (1, texts[0], "de"), (2, "c d", "en")]

@@ -21,9 +21,13 @@ All of it is DataFrame code.
 
 Cases: null texts stay null and have no lines; lines with fewer than
 ``least_words`` words and fewer than ``LEAST_CHARS`` characters always stay (in
-scripts without spaces a long line is one word); a null id comes after all others; rows that
+scripts without spaces a long line is one word); a line of under ``near_words``
+words has no near copies, as one word is more than an eighth of it; very long
+lines and texts are compared whole; a null id comes after all others; rows that
 repeat both id and text are one document and get equal results; an empty table
-gives an empty result; other columns pass through.
+gives an empty result; other columns pass through unless their name is one of
+the results' (:func:`clean_documents` returns just the input's columns,
+whatever their names).
 """
 
 from __future__ import annotations
@@ -189,30 +193,47 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     return gone.groupBy("d", "th").agg(F.collect_set("p").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 3, near_words: int = 8) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_removed``, ``n_near``, ``emptied``.
+RESULT_NAMES = ["n_lines", "n_removed", "n_near", "emptied"]
 
-    ``emptied``: lines went, and no word is left, or only lines that are
-    never removed, with at most a twentieth of the characters that went.
-    """
+
+def _deduped(docs: DataFrame, key: str, text: str, least_words: int, near_words: int) -> DataFrame:
+    """The columns of ``docs`` under the names c0, c1 ..., the text without repeated lines, then the results."""
     gone = removed_lines(docs, key, text, least_words, near_words)
-    at = F.col(f"`{text}`")
-    names = ["n_lines", "n_removed", "n_near", "emptied", "d", "th", "gone"]
-    kept = [c for c in docs.columns if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("__d"), F.xxhash64(at).alias("__th"))
-    joined = source.join(gone.select(F.col("d").alias("__d"), F.col("th").alias("__th"), "gone", "n_near"), ["__d", "__th"], "left")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    the_key, the_text = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    at = F.col(the_text)
+    source = own.select(*names, F.coalesce(F.col(the_key).cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(at).alias("th"))
+    joined = source.join(gone, ["d", "th"], "left")
     split = F.split(at, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     rebuilt = F.when(F.col("gone").isNull(), at).otherwise(F.array_join(_let(split, lambda s: F.transform(F.array_sort(stay), lambda i: F.element_at(s, i + 1))), "\n"))
     out = joined.select(
-        *[(rebuilt.alias(c) if c == text else F.col(f"`{c}`")) for c in kept],
+        *[(rebuilt if n == the_text else F.col(n)).alias(n) for n in names],
         F.when(at.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        F.col("gone").isNotNull().alias("emptied"),
-        F.char_length(at).alias("__chars"),
+        F.col("gone").isNotNull().alias("lost"),
+        F.char_length(at).alias("chars"),
     )
-    left = F.trim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(_ENDS + "\n"))
+    left = F.trim(F.coalesce(at, F.lit("")), F.lit(_ENDS + "\n"))
     trivial = ~F.exists(F.split(left, "\n"), lambda line: n_words(F.trim(line, F.lit(_ENDS))) >= least_words)
-    little = trivial & (20 * F.char_length(left) <= F.col("__chars") - F.char_length(F.col(f"`{text}`")))
-    return out.withColumn("emptied", F.col("emptied") & ((F.char_length(left) == 0) | little)).drop("__chars")
+    little = trivial & (20 * F.char_length(left) <= F.col("chars") - F.char_length(at))
+    return out.select(*names, *RESULT_NAMES[:3], (F.col("lost") & ((F.char_length(left) == 0) | little)).alias("emptied"))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 3, near_words: int = 8) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_removed``, ``n_near``, ``emptied``.
+
+    ``emptied``: lines went, and no word is left, or only lines that are
+    never removed, with at most a twentieth of the characters that went.
+    """
+    keep = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in RESULT_NAMES]
+    return _deduped(docs, key, text, least_words, near_words).select(*[F.col(f"c{i}").alias(c) for i, c in keep], *RESULT_NAMES)
+
+
+def clean_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` without repeated lines and emptied documents, with its own columns only and ``n_chars`` (if there) kept true."""
+    cleaned, at = _deduped(docs, key, text, 3, 8).where("not emptied"), docs.columns.index(text)
+    of = lambda i, c: F.char_length(f"c{at}").cast(docs.schema[c].dataType) if c == n_chars else F.col(f"c{i}")
+    return cleaned.select(*[of(i, c).alias(c) for i, c in enumerate(docs.columns)])
