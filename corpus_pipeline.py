@@ -11,14 +11,14 @@ stays after the near-duplicate stage; other texts under a repeated id stay.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_documents
 from tideline.llm.decontaminate import find_leaks
-from tideline.llm.line_dedup import dedup_lines
+from tideline.llm.line_dedup import clean_documents
 from tideline.llm.near_dedup import near_duplicates
-from tideline.llm.quality import judge
+from tideline.llm.quality import fit_bands, keep_good
 from tideline.llm.store import materialize
 
 #: Ids up to which they are broadcast to the documents; beyond, the same join is by shuffle.
@@ -27,20 +27,24 @@ BROADCAST_ROWS = 2_000_000
 ORACLE_SQL = None
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
     """``docs`` without (or, by ``left_semi``, with only) the rows whose id is in ``ids``."""
     ids = materialize(ids.select("doc_id").distinct(), "pipeline-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how).select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how).select(*_columns(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).where("kept").select(*docs.columns)
+    """Bands of token figures come from the labelled rows among the documents."""
+    return keep_good(docs, fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; documents of which nothing stays go too."""
-    cleaned = dedup_lines(docs).where("not emptied")
-    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return clean_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept
     # Rows of one id are copies only if their words are the same; which copy stays does not depend on partitions.
     words = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
-    order = Window.partitionBy("doc_id", words).orderBy(*[F.col(c) for c in docs.columns])
-    one = _without(kept, repeated, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return _without(kept, repeated).unionByName(one.select(*docs.columns))
+    order = Window.partitionBy("doc_id", words).orderBy(*_columns(docs))
+    one = _without(kept, repeated, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return _without(kept, repeated).unionByName(one.select(*_columns(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
