@@ -88,6 +88,37 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    from tideline.llm.near_dedup import near_duplicates
+
+    r = random.Random(9)
+    rows, near = [], 0
+    for k in range(300):
+        base = [f"t{k}w{i}" for i in range(r.randint(60, 200))]
+        copy = base[:]
+        # An edit inside a text takes five shingles on either side.
+        for at in r.sample(range(0, len(base), 6), max(1, round(len(base) * r.uniform(0.014, 0.027)))):
+            copy[at] = "x"
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+        share = len(s & t) / len(s | t)
+        if share < 0.86:
+            rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+            near += 0.75 <= share
+    linked = sum(x.doc_id != x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert near > 100 and linked == near
+
+
+def test_a_bucket_of_unlike_texts_in_blocks(spark, monkeypatch):
+    from tideline.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "BLOCK_ROWS", 4)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [f"{shared} " + " ".join(f"d{k}v{i}" for i in range(25)) for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t + " more") for k, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
 def test_near_copy_of_a_repeated_ids_second_text(spark):
     from tideline.llm.near_dedup import near_duplicates
 

@@ -14,14 +14,19 @@ class of each band's bucket, drawn by hash, is compared with the members that
 are not yet in its component; as a document is in many buckets, this joins
 nearly all of a group of copies. Only members that are still outside their
 bucket's largest component are then compared with the rest of the bucket, so
-no candidate link between components is left out and no group is expanded
-into all its pairs.
+no candidate link between components is left out and no group of copies is
+expanded into all its pairs. That last comparison is dealt out in blocks of
+``BLOCK_ROWS`` members, however large a bucket is.
 
-Cases: texts without words have an empty set, are linked with nothing and
+Sets are compared as 52-bit hashes of their shingles: two shingles of a pair
+of texts with m and n of them are confused with a probability of m * n / 2**52.
+
+Cases: very long texts are signed and compared whole; texts without words have an empty set, are linked with nothing and
 form their own component; a null id cannot be named by others, so the row has
 a null component and is kept; rows that repeat an id belong to one component,
 even if their texts differ; ties are settled by the smallest id; an empty
-table gives an empty result. Ids must fit a long.
+table gives an empty result; the result has no columns of the input but the
+key. Ids must fit a long.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ from tideline.llm.words import mix, segments, slices, window_hashes, words_of
 U64 = np.uint64
 #: Ids up to which the candidates' ids are broadcast to the scan; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Members of a bucket that a task compares with as many others at once.
+BLOCK_ROWS = 512
 _WORDS = 32  # 64-bit words of a sketch
 
 
@@ -230,11 +237,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
 
     # What is still outside its bucket's largest component meets the rest of the bucket.
     members = materialize(rooted(3), "near-members")
-    parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"))
-    rest = members.join(parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main")), "band").withColumn("loose", F.col("root") != F.col("main"))
+    # Both sides are cut into blocks by hash and each pair of blocks is a task's key, so large buckets are spread out.
+    parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"), F.sum("c").alias("n"))
+    blocks = lambda rows: F.floor((rows - 1) / F.lit(BLOCK_ROWS)).cast("int")
+    parts = parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main"), blocks(F.col("n") - F.col("largest.c")).alias("last_x"), blocks(F.col("n")).alias("last_y"))
+    rest = members.join(parts, "band").withColumn("loose", F.col("root") != F.col("main"))
     rest = materialize(rest.join(facts, ["rep", "f1"]), "near-rest")
-    x, y = rest.where("loose").alias("x"), rest.alias("y")
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.loose") | (F.col("x.rep") < F.col("y.rep")))
+    dealt = lambda last: F.pmod(F.xxhash64("rep", "f1"), F.col(last) + 1).cast("int")
+    every = lambda last: F.explode(F.sequence(F.lit(0), F.col(last)))
+    x = rest.where("loose").withColumn("i", dealt("last_x")).withColumn("j", every("last_y")).alias("x")
+    y = rest.withColumn("j", dealt("last_y")).withColumn("i", every("last_x")).alias("y")
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.loose") | (F.col("x.rep") < F.col("y.rep")))
     second = x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(F.col("x.rep").alias("u"), F.col("x.f1").alias("fu"), F.col("y.rep").alias("v"), F.col("y.f1").alias("fv")).distinct()
     links = checked(second)
     if not links.isEmpty():
