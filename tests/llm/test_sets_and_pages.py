@@ -319,6 +319,55 @@ def test_url_rules(spark):
     assert filter_urls(df.limit(0), sites, [word_rule("a")]).count() == 0
 
 
+def test_many_url_rules(spark, monkeypatch):
+    from tideline.llm import url_rules as U
+
+    r = random.Random(7)
+    sites = {f"s{k}.t{k % 400}.{r.choice(['com', 'net'])}/" + r.choice(["", "a/", "a", "b-c/"]): r.choice(["allow", "block"]) for k in range(50_000)}
+    names = list(sites)
+    urls = [f"https://{r.choice(['', 'www.', 'x'])}{s.rstrip('/')}{r.choice(['', '/', '/1?q', 'z#f'])}" for s in r.choices(names, k=300)] + [None, "", "HTTP://s1.T1.com/a", f"http://h.com/{'y' * 200_000}"] * 2
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    extra = [U.UrlRule("digits", r"[0-9]{3}\.t", "block", ())]
+
+    def expected(url):
+        if not url or "://" not in url:
+            return None, "allow"
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0]
+        labels, found = host.split("."), []
+        for k in range(len(labels)):
+            site = ".".join(labels[k:])
+            found += [s for s in (f"{site}{path[:n]}" for n in range(1, min(len(path), 9) + 1)) if s in sites]
+        if found:
+            best = max(found, key=lambda s: (len(s), s))
+            return best, sites[best]
+        return None, "block" if re.search(r"[0-9]{3}\.t", url.lower()) else "allow"
+
+    for most in (10**6, 0):
+        monkeypatch.setattr(U, "BROADCAST_RULES", most)
+        monkeypatch.setattr(U, "BROADCAST_URLS", most)
+        rows = U.filter_urls(df, [U.site_rule(s, v) for s, v in sites.items()], extra).collect()
+        assert {x.page_id: (x.rule, x.verdict) for x in rows} == {i: expected(u) for i, u in enumerate(urls)}
+
+
+def test_filter_lists():
+    from tideline.llm.url_rules import filter_rule
+
+    rule = lambda line: filter_rule(line)
+    assert [rule(x) for x in ("! note", "[Adblock]", "a##b", "x$third-party", "")] == [None] * 5
+    for line, yes, no in [
+        ("||ads.example^", ["http://ads.example/", "https://x.ads.example:80/a", "http://ads.example"], ["http://ads.example.org/", "http://badads.example/"]),
+        ("/banner/*/img^", ["http://h/banner/1/img?x", "http://h/a/banner/2/img"], ["http://h/banner/img", "http://h/banner/1/images"]),
+        ("|http://start", ["http://start.org/"], ["https://h/http://start"]), (".swf|", ["http://h/a.swf"], ["http://h/a.swf?1"]), ("@@||good.org^", ["http://good.org/"], ["http://good.orgs/"]),
+    ]:
+        found = rule(line)
+        assert found.verdict == ("allow" if line.startswith("@@") else "block")
+        for url in yes + no:
+            assert bool(re.search(found.pattern, url)) == (url in yes), (line, url)
+        assert all(t in re.split("[^a-z0-9]+", url) for url in yes for t in found.tokens), found
+
+
 def test_archives(spark):
     from tideline.llm.store import new_folder
     from tideline.llm.warc import digest_of, read_records, write_archives

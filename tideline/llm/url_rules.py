@@ -3,34 +3,44 @@
 A rule is a regular expression on a URL with the literal tokens that every
 match must hold. Of these the one that fewest URLs of the table hold is its
 index key. A URL's own tokens fetch the rules filed under them, and only those
-run their regular expression; the winner is the longest rule, then a block
-rule before an allow rule. Everything is DataFrame code, and no row moves
-between tasks but the counts of the rules' own tokens.
+run their regular expression; the winner is the rule of the greatest rank, then
+the longest, then a block rule before an allow rule. Rules without a literal
+token are filed under the empty token, which every URL has.
 
-The rule list is an argument held by the driver, of at most ``MOST_RULES``
-rules, and travels inside the plan.
+The rules are a table, of any size. Distinct URLs give their tokens, tokens
+join the index (broadcast up to ``BROADCAST_RULES`` rules, else by shuffle, where
+a very common token is split among tasks), and each URL's best match joins the
+rows. Everything is DataFrame code.
 
 Cases: a null URL, or one without ``://``, has empty host and path and matches
-no host rule; repeated rows get equal results; an empty table gives an empty
-result; other columns pass through unless their name is one of the results'.
+no host rule; very long URLs are matched whole; repeated rows and rules get
+equal results; ties between rules go to the greater name; an empty table gives
+an empty result; other columns pass through unless their name is one of the
+results'.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_RULES = 10_000
+from tideline.llm.store import materialize
+
+#: Rules (their longest part is the pattern) and matched URLs up to which they are broadcast.
+BROADCAST_RULES, BROADCAST_URLS = 100_000, 500_000
 RESULT_NAMES = ["host", "path", "rule", "verdict"]
+RULE_COLUMNS = "name string, pattern string, verdict string, tokens array<string>, where string, rank int"
 _TOKEN = r"[^a-z0-9]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class UrlRule:
-    """``pattern`` is matched against ``host`` + ``path`` (``where='site'``) or the whole lower-cased URL (``where='url'``)."""
+    """``pattern`` is matched against ``host`` + ``path`` (``where='site'``) or the whole URL with A-Z lower-cased (``where='url'``)."""
 
     name: str
     pattern: str
@@ -41,18 +51,45 @@ class UrlRule:
     rank: int = 0
 
 
+def _quoted(text: str) -> str:
+    """The text as a literal of Java's regular expressions."""
+    return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", text)
+
+
+def _whole_tokens(text: str, open_start: bool = False, open_end: bool = False) -> tuple[str, ...]:
+    """The tokens that any text holding ``text`` has; one at an open end may be a part of a longer one."""
+    found = list(re.finditer("[a-z0-9]+", text))
+    return tuple(dict.fromkeys(m[0] for m in found if not (open_start and m.start() == 0) and not (open_end and m.end() == len(text))))
+
+
 def site_rule(site: str, verdict: str) -> UrlRule:
     """A rule like ``example.net/en/``: the host and its subdomains, and paths that begin so."""
     host, slash, path = site.partition("/")
-    tokens = tuple(t for t in re.split(_TOKEN, host.lower()) if t)
-    # Java quotes to \E; a site name holds none.
-    return UrlRule(site, rf"^(?:[^/]*\.)?\Q{host.lower()}\E\Q{slash + path}\E", verdict, tokens, "site", 1)
+    tokens = dict.fromkeys((*_whole_tokens(host.lower()), *(_whole_tokens((slash + path).lower(), open_end=True) if path else ())))
+    return UrlRule(site, rf"^(?:[^/]*\.)?{_quoted(host.lower() + slash + path)}", verdict, tuple(tokens), "site", 1)
 
 
 def word_rule(word: str, verdict: str = "block") -> UrlRule:
     """A rule for a word of the host name, alone or joined by hyphens."""
-    tokens = tuple(t for t in re.split(_TOKEN, word.lower()) if t)
-    return UrlRule(word, rf"^[^/?#]*://[^/?#]*(?<![a-z0-9])\Q{word.lower()}\E(?![a-z0-9])[^/?#]*", verdict, tokens)
+    return UrlRule(word, rf"^[^/?#]*://[^/?#]*(?<![a-z0-9]){_quoted(word.lower())}(?![a-z0-9])[^/?#]*", verdict, _whole_tokens(word.lower()))
+
+
+def filter_rule(line: str) -> UrlRule | None:
+    """A rule in the syntax of public filter lists: ``||host^``, ``|start``, ``end|``, ``*``, ``^`` (a separator), ``@@`` (allow).
+
+    Comments, options and rules for page elements give none.
+    """
+    name = line.strip()
+    body, verdict = (name[2:], "allow") if name.startswith("@@") else (name, "block")
+    if not body or body[0] in "![" or "##" in body or "#@#" in body or "$" in body:
+        return None
+    host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|") and len(body) > 2
+    body = body[2 if host else 1 if start else 0 : -1 if end else None].lower()
+    pattern = "".join(".*" if c == "*" else r"(?:[^a-z0-9_.%-]|$)" if c == "^" else _quoted(c) for c in body)
+    pattern = (r"^[^/?#]*://(?:[^/?#]*\.)?" if host else "^" if start else "") + pattern + ("$" if end else "")
+    parts = body.split("*")
+    tokens = [t for i, p in enumerate(parts) for t in _whole_tokens(p, open_start=i > 0 or not (host or start), open_end=i < len(parts) - 1 or not end)]
+    return UrlRule(name, pattern, verdict, tuple(dict.fromkeys(tokens)), "url", 1 if verdict == "allow" else 0)
 
 
 # Words of hosts that sell, track or spam.
@@ -63,9 +100,13 @@ def default_rules() -> list[UrlRule]:
     return [word_rule(w) for w in SPAM_WORDS]
 
 
+def rule_table(spark: SparkSession, rules: Iterable[UrlRule]) -> DataFrame:
+    names = [x.split()[0] for x in RULE_COLUMNS.split(", ")]
+    return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in map(asdict(r).get, names)) for r in rules], RULE_COLUMNS)
+
+
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
@@ -73,52 +114,48 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _TOKEN), lambda t: t != ""))
+    """The distinct tokens of a text, and the empty one."""
+    return F.array_distinct(F.concat(F.split(F.translate(text, _UPPER, _LOWER), _TOKEN), F.array(F.lit(""))))
 
 
-def _literal(rule: UrlRule) -> Column:
-    return F.struct(
-        F.lit(rule.rank).alias("rank"), F.lit(len(rule.name)).alias("length"), F.lit(rule.verdict == "block").alias("block"),
-        F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.where == "site").alias("site"), F.lit(rule.pattern).alias("pattern"),
-    )
+def index_of(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``rules`` with ``token``, the one of their tokens that fewest rows of ``tokens`` (``token``) hold."""
+    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    held = tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    each = rules.select("name", "pattern", "verdict", "where", "rank", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    rarest = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token")).alias("rarest")
+    return each.join(held, "token", "left").groupBy("name", "pattern", "verdict", "where", "rank").agg(rarest).select("*", F.col("rarest.token").alias("token")).drop("rarest")
 
 
-def token_counts(pages: DataFrame, url: str, wanted: list[str]) -> dict[str, int]:
-    """How many URLs hold each token of the rules; at most one row per wanted token returns."""
-    if not wanted:
-        return {}
-    held = F.array_intersect(tokens_of(F.col(f"`{url}`")), F.array(*[F.lit(t) for t in wanted]))
-    rows = pages.select(F.explode(held).alias("token")).groupBy("token").count().collect()
-    return {r["token"]: r["count"] for r in rows}
+def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``url`` and ``won`` (its best rule) of the distinct URLs that any rule matches."""
+    urls = urls.where("url is not null").distinct()
+    tokens = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
+    index = materialize(index_of(rules, tokens), "url-rules")
+    few = index.count() <= BROADCAST_RULES
+    fetched = tokens.join(F.broadcast(index) if few else index, "token")
+    text = F.when(F.col("where") == "site", F.concat(host_of(F.col("url")), path_of(F.col("url")))).otherwise(F.translate("url", _UPPER, _LOWER))
+    matched = fetched.where(F.call_function("rlike", text, F.col("pattern")))
+    order = F.struct("rank", F.char_length("name").alias("length"), (F.col("verdict") == "block").alias("block"), "name", "verdict", "where")
+    return matched.groupBy("url").agg(F.max(order).alias("won"))
 
 
-def filter_urls(pages: DataFrame, site_rules: list[UrlRule], rules: list[UrlRule] | None = None, url: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, site_rules: DataFrame | list[UrlRule], rules: DataFrame | list[UrlRule] | None = None, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, the site rule that won (or null) and a verdict.
 
-    Site rules win over the other rules, whose names are not reported.
+    Rules are lists or tables with ``RULE_COLUMNS``. Site rules win over the
+    other rules, whose names are not reported.
     """
-    rules = [*site_rules, *(default_rules() if rules is None else rules)]
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the limit is {MOST_RULES}")
-    if any(not r.tokens for r in rules):
-        raise ValueError("a rule needs a literal token")
-    counts = token_counts(pages, url, sorted({t for r in rules for t in r.tokens}))
-    filed: dict[str, list[UrlRule]] = {}
-    for rule in rules:
-        filed.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
-
-    at = F.col(f"`{url}`")
-    out = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in RESULT_NAMES], host_of(at).alias("host"), path_of(at).alias("path"))
-    if filed:
-        index = F.create_map(*[x for token, own in filed.items() for x in (F.lit(token), F.array(*[_literal(r) for r in own]))])
-        site, whole = F.concat("host", "path"), F.lower(F.coalesce(at, F.lit("")))
-        fetched = F.flatten(F.filter(F.transform(tokens_of(at), lambda t: F.element_at(index, t)), lambda x: x.isNotNull()))
-        winner = F.array_max(F.filter(fetched, lambda r: F.call_function("rlike", F.when(r["site"], site).otherwise(whole), r["pattern"])))
-        out = out.withColumn("__won", winner)
-    else:
-        out = out.withColumn("__won", F.lit(None).cast("struct<rank:int,length:int,block:boolean,name:string,verdict:string,site:boolean,pattern:string>"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in out.columns if c != "__won"],
-        F.when(F.col("__won.site"), F.col("__won.name")).alias("rule"),
-        F.coalesce(F.col("__won.verdict"), F.lit(default)).alias("verdict"),
+    spark = pages.sparkSession
+    both = [r if isinstance(r, DataFrame) else rule_table(spark, r) for r in (site_rules, default_rules() if rules is None else rules)]
+    won = materialize(best_rules(pages.select(F.col(f"`{url}`").alias("url")), both[0].unionByName(both[1])), "url-verdicts")
+    few = won.count() <= BROADCAST_URLS
+    own = [(i, c) for i, c in enumerate(pages.columns) if c.lower() not in RESULT_NAMES]
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in own], F.col(f"`{url}`").alias("url")).join(F.broadcast(won) if few else won, "url", "left")
+    return rows.select(
+        *[F.col(f"c{i}").alias(c) for i, c in own],
+        host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path"),
+        F.when(F.col("won.where") == "site", F.col("won.name")).alias("rule"),
+        F.coalesce(F.col("won.verdict"), F.lit(default)).alias("verdict"),
     )
