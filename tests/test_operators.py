@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,71 @@ def test_stl_recovers_a_season():
     assert np.allclose(s + trend + rest, x)
     assert rest[100] > 7 and np.abs(np.delete(rest, 100)).max() < 0.6
     assert np.corrcoef(s, np.sin(2 * np.pi * t / 12))[0, 1] > 0.99
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    import tideline.operators.neighbours as N
+
+    monkeypatch.setattr(N, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(N, "REFERENCE_BLOCK", 9)
+    monkeypatch.setattr(N, "PRODUCT_ROWS", 3)
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(80, 6)), 1) + 1000.0
+    v[10:20] = v[0]  # ties
+    rows = [("ab"[i % 3 == 0], i, v[i].tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, id int, values array<double>").unionByName(spark.createDataFrame([("a", 900, None)], "g string, id int, values array<double>"))
+    for metric in ("euclidean", "cosine"):
+        got = {(x.qid, x["rank"]): (x.rid, x.d) for x in N.nearest(df, df, 3, ["g"], "id", "id", metric).collect()}
+        for g, i, _ in rows:
+            own = [j for h, j, _ in rows if h == g]
+            d = np.linalg.norm(v[own] - v[i], axis=1) if metric == "euclidean" else -(v[own] @ v[i]) / np.sqrt((v[own] ** 2).sum(axis=1) * (v[i] ** 2).sum())
+            best = sorted(zip(d, own, strict=True))[:3]
+            assert [got[i, k + 1][1] for k in range(3)] == pytest.approx([x for x, _ in best], abs=1e-12)
+            if metric == "euclidean":
+                assert [got[i, k + 1][0] for k in range(3)] == [j for _, j in best]
+        assert len(got) == 240
+
+
+def test_hashed_search_finds_most_neighbours(spark):
+    from tideline.operators.neighbours import lsh_knn_scores
+
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(20, 8)) * 10
+    rows = [("s", i, (centres[i % 20] + 0.3 * r.normal(size=8)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "series_id string, win int, values array<double>")
+    test, train = df.where("win % 6 = 0"), df.where("win % 6 <> 0")
+    exact = {x.win: x.score for x in knn_scores(test, train, 3).collect()}
+    near = {x.win: x.score for x in lsh_knn_scores(test, train, 3, width=4.0).collect()}
+    assert np.mean([near[w] <= exact[w] + 1e-9 for w in exact]) >= 0.9
+
+
+@pytest.mark.parametrize("lags", [5, 40])
+def test_autocorrelation_of_stretches(spark, monkeypatch, lags):
+    from tideline.operators import evidence
+
+    monkeypatch.setattr(evidence, "STRETCH", 50)
+    r = np.random.default_rng(2)
+    series = {"a": r.normal(size=333).cumsum(), "b": r.normal(size=20), "c": np.ones(9)}
+    df = spark.createDataFrame([(k, t, float(x)) for k, v in series.items() for t, x in enumerate(v)], "series_id string, t int, x double")
+    got = {(x.series_id, x.lag): x.acf for x in evidence.autocorrelation(df, ["series_id"], "t", lags).collect()}
+    for k, v in series.items():
+        d = v - v.mean()
+        for lag in range(min(lags, len(v) - 1) + 1):
+            if k == "c":
+                assert got[k, lag] is None
+            else:
+                assert got[k, lag] == pytest.approx((d[: len(d) - lag] * d[lag:]).sum() / (d * d).sum(), abs=1e-9)
+
+
+def test_counts_up_to_a_value(spark):
+    from tideline.operators.evidence import counted, ranked
+
+    r = np.random.default_rng(3)
+    values = {"a": np.round(r.normal(size=500), 1), "b": np.zeros(30)}
+    train = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "series_id string, x double")
+    asked = spark.createDataFrame([(k, i, float(x)) for k in "ab" for i, x in enumerate([-9, -0.1, 0, 0.1, 0.55, 9])], "series_id string, i int, x double")
+    for strict in (False, True):
+        for x in counted(train, asked, strict).collect():
+            below = values[x.series_id][values[x.series_id] < x.x] if strict else values[x.series_id][values[x.series_id] <= x.x]
+            assert (x.k, x.s) == (len(below), pytest.approx(below.sum()))
+    assert [x.x for x in ranked(train).where("series_id = 'a'").orderBy("k").collect()] == sorted(values["a"].tolist())

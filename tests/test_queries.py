@@ -10,8 +10,6 @@ import pytest
 from tideline.plans import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["split", "win_create", "train_stats", "grubbs", "cusum", "kl_div", "wasserstein", "acf_break", "classical_decompose", "pool_gauss", "smooth_gauss", "range_refine", "thr_f1", "seg_merge", "pa_f1", "pr_auc", "vec_topk", "json_parse_windows", "json_parse_ranges", "pivot_report", "e2e_knn"]
-
 
 def cell(v):
     if v is None or isinstance(v, float) and math.isnan(v):
@@ -28,7 +26,7 @@ def db(sf):
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(own.oracle_sql()))
 def test_equals_sql(spark, sf, db, name):
     df = own.queries()[name](spark, sf)
     columns = sorted(df.columns)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,11 +40,20 @@ def quantile_violations(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*KEY).agg(F.avg(out).alias("violation_ratio"), F.avg(far).alias("extreme_violation_ratio"), (F.max(far) > 0).alias("extreme_violation"))
 
 
+def surprise_of(pairs: DataFrame, samples: DataFrame, key: list[str]) -> DataFrame:
+    """``surprise`` of each actual value among the forecast samples ``v`` of its key."""
+    each = pairs.join(samples, key).groupBy(*key).agg(F.avg((F.col("v") <= F.col("x")).cast("int")).alias("rank"), F.stddev_pop("v").alias("sd"))
+    return each.select(*key, F.when(F.col("sd") < 1e-10, 0.0).otherwise(-F.ln(1 - 2 * F.abs(F.col("rank") - 0.5) + 1e-10)).alias("surprise"))
+
+
+def window_surprise(rows: DataFrame) -> DataFrame:
+    """Mean and greatest ``surprise`` of a window's rows."""
+    return rows.groupBy(*KEY).agg(F.avg("surprise").alias("mean_surprise"), F.max("surprise").alias("max_surprise"))
+
+
 def surprise(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Mean and greatest surprise of actual values among forecast samples (``series_id, win, pos, v``)."""
-    each = pairs.join(samples, [*KEY, "pos"]).groupBy(*KEY, "pos").agg(F.avg((F.col("v") <= F.col("x")).cast("int")).alias("rank"), F.stddev_pop("v").alias("sd"))
-    value = F.when(F.col("sd") < 1e-10, 0.0).otherwise(-F.ln(1 - 2 * F.abs(F.col("rank") - 0.5) + 1e-10))
-    return each.groupBy(*KEY).agg(F.avg(value).alias("mean_surprise"), F.max(value).alias("max_surprise"))
+    return window_surprise(surprise_of(pairs, samples, [*KEY, "pos"]))
 
 
 # --- tests --------------------------------------------------------------------
@@ -91,16 +102,58 @@ def cusum(windows: DataFrame, stats: DataFrame, slack: float = 0.5, threshold: f
 # --- distribution -------------------------------------------------------------
 
 
+#: Parts by value that a series is sorted in.
+VALUE_PARTS = 64
+
+
+def by_value(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """Rows with ``part``: which of the training values' quantile ranges ``x`` lies in, so that a series is sorted in parts."""
+    shares = F.array(*[F.lit(i / VALUE_PARTS) for i in range(1, VALUE_PARTS)])
+    splits = train.groupBy("series_id").agg(F.percentile_approx("x", shares, 1000).alias("splits"))
+    return rows.join(splits, "series_id").withColumn("part", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
+
+
+def _before(train: DataFrame) -> DataFrame:
+    """Per series and part, how many training values the parts before it hold, and their sum; ``train`` has its parts."""
+    each = train.groupBy("series_id", "part").agg(F.count("x").alias("c"), F.sum("x").alias("s"))
+    spine = each.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0), F.lit(VALUE_PARTS - 1))).alias("part"))
+    ahead = Window.partitionBy("series_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    full = spine.join(each, ["series_id", "part"], "left")
+    return full.select("series_id", "part", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("s0"))
+
+
+def ranked(train: DataFrame) -> DataFrame:
+    """Training values with ``k``, their rank from 1 in the series."""
+    parts = by_value(train.select("series_id", "x"), train)
+    rank = F.row_number().over(Window.partitionBy("series_id", "part").orderBy("x"))
+    return parts.withColumn("r", rank).join(_before(parts), ["series_id", "part"]).select("series_id", "x", (F.col("r") + F.col("k0")).cast("long").alias("k"))
+
+
+def counted(train: DataFrame, asked: DataFrame, strict: bool) -> DataFrame:
+    """``asked`` with ``k`` and ``s``: count and sum of the training values up to ``x`` (below it, if ``strict``)."""
+    parts = by_value(train.select("series_id", "x"), train)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema.fields if f.name not in ("series_id", "x")]
+    rows = parts.select("series_id", "part", "x", *blank, F.lit(0).alias("kind")).unionByName(by_value(asked, train).withColumn("kind", F.lit(-1 if strict else 1)))
+    so_far = Window.partitionBy("series_id", "part").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("kind") == 0
+    sums = rows.withColumns({"k1": F.count_if(own).over(so_far), "s1": F.sum(F.when(own, F.col("x")).otherwise(0.0)).over(so_far)}).where("kind <> 0").join(_before(parts), ["series_id", "part"])
+    return sums.select(*asked.columns, (F.col("k1") + F.col("k0")).alias("k"), (F.col("s1") + F.col("s0")).alias("s"))
+
+
 def kl_divergence(windows: DataFrame, train: DataFrame, bins: int = 20) -> DataFrame:
     """KL of the training values from each window's, over equal bins of their joint range."""
     spans = windows.groupBy(*KEY).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("x").alias("n")).where("n >= 2")
     own = train.groupBy("series_id").agg(F.min("x").alias("ta"), F.max("x").alias("tb"), F.count("x").alias("tn"))
     edges = spans.join(own, "series_id").select(*KEY, "n", "tn", (F.least("a", "ta") - 1e-10).alias("lo"), (F.greatest("b", "tb") + 1e-10).alias("hi"))
-    # Most windows lie inside the training range and share its edges; the training values are binned once per distinct range.
     bin_of = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int").alias("bin")
     test = windows.join(edges, KEY).groupBy(*KEY, bin_of).agg(F.count("x").alias("c"))
-    ranges = edges.select("series_id", "lo", "hi").distinct()
-    trained = train.join(ranges, "series_id").groupBy("series_id", "lo", "hi", bin_of).agg(F.count("x").alias("tc"))
+    # Training values below the edges of each distinct range (most windows share the training range), by one sorted pass.
+    ranges = edges.select("series_id", "lo", "hi", "tn").distinct()
+    inner = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins)
+    below = counted(train, inner, True).select("series_id", "lo", "hi", "bin", "k")
+    ends = ranges.select("series_id", "lo", "hi", F.lit(0).alias("bin"), F.lit(0).cast("long").alias("k")).unionByName(ranges.select("series_id", "lo", "hi", F.lit(bins).alias("bin"), F.col("tn").alias("k")))
+    order = Window.partitionBy("series_id", "lo", "hi").orderBy("bin")
+    trained = below.unionByName(ends).withColumn("tc", F.lead("k").over(order) - F.col("k")).where(F.col("bin") < bins).drop("k")
     spine = edges.select(*KEY, "n", "tn", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     joined = spine.join(test, [*KEY, "bin"], "left").join(trained, ["series_id", "lo", "hi", "bin"], "left")
     width = (F.col("hi") - F.col("lo")) / bins
@@ -117,21 +170,17 @@ def wasserstein(windows: DataFrame, train: DataFrame) -> DataFrame:
     window F is a constant c, and G passes c at one training quantile, so each
     gap follows from I, the running integral of G, at its ends and at that
     quantile. I(v) needs only how many training values are at most v and their
-    sum, which one sort of all values per series gives; windows are never
-    multiplied with training values.
+    sum, which :func:`counted` gives by sorting; windows are never multiplied
+    with training values.
     """
     own = train.groupBy("series_id").agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.stddev_pop("x").alias("sd"))
     sized = windows.groupBy(*KEY).agg(F.count("x").cast("int").alias("m")).where("m >= 2")
     sizes = sized.select("series_id", "m").distinct().join(own.select("series_id", "n"), "series_id")
     levels = sizes.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m") - 1))).withColumn("k", F.ceil(F.col("i") * F.col("n") / F.col("m")))
-    ranked = train.select("series_id", "x", F.row_number().over(Window.partitionBy("series_id").orderBy("x")).cast("long").alias("k"))
-    quantiles = levels.join(ranked, ["series_id", "k"]).select("series_id", F.lit(None).cast("int").alias("win"), F.col("i").alias("pos"), "m", "x")
+    quantiles = levels.join(ranked(train), ["series_id", "k"]).select("series_id", F.lit(None).cast("int").alias("win"), F.col("i").alias("pos"), "m", "x")
     asked = windows.join(sized, KEY).select(*KEY, "pos", "m", "x").unionByName(quantiles)
-    rows = train.select("series_id", F.lit(None).cast("int").alias("win"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("m"), "x", F.lit(0).alias("kind")).unionByName(asked.withColumn("kind", F.lit(1)))
-    so_far = Window.partitionBy("series_id").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    is_train = F.col("kind") == 0
-    counted = rows.withColumns({"k": F.count_if(is_train).over(so_far), "s": F.sum(F.when(is_train, F.col("x")).otherwise(0.0)).over(so_far)}).where("kind = 1").join(own, "series_id")
-    known = counted.withColumn("integral", (F.col("x") * F.col("k") - F.col("s")) / F.col("n"))
+    known = counted(train, asked, False).join(own, "series_id")
+    known = known.withColumn("integral", (F.col("x") * F.col("k") - F.col("s")) / F.col("n"))
     at = known.where("win is null").select("series_id", "m", F.col("pos").alias("i"), F.col("x").alias("q"), F.col("integral").alias("iq"))
 
     order = by_window().orderBy("x", "pos")
@@ -151,12 +200,44 @@ def wasserstein(windows: DataFrame, train: DataFrame) -> DataFrame:
 # --- pattern ------------------------------------------------------------------
 
 
+#: Lags up to which they are columns of one sorted pass; beyond, stretches of a series are correlated as arrays.
+LAG_COLUMNS = 32
+#: Points of such a stretch.
+STRETCH = 4096
+
+
+def _lagged_products(rows: DataFrame, key: list[str], lags: int) -> DataFrame:
+    """Key, ``lag`` and the sum ``s`` of products of ``d`` with its value that many places later."""
+    if lags <= LAG_COLUMNS:
+        order = Window.partitionBy(*key).orderBy("i")
+        shifted = rows.withColumns({f"d{k}": F.lag("d", k).over(order) for k in range(1, lags + 1)})
+        sums = shifted.groupBy(*key).agg(*[F.sum(F.col("d") * F.col(f"d{k}" if k else "d")).alias(f"s{k}") for k in range(lags + 1)])
+        told = F.posexplode(F.array(*[F.col(f"s{k}") for k in range(lags + 1)])).alias("lag", "s")
+        return sums.select(*key, told).where("s is not null")
+    size = max(STRETCH, lags)
+    own = rows.withColumn("stretch", F.floor(F.col("i") / size)).withColumn("place", F.col("i") % size)
+    # The first points of a stretch are also what comes after the stretch before it.
+    ahead = own.where(F.col("place") < lags).withColumns({"stretch": F.col("stretch") - 1, "place": F.col("place") + size})
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        d = np.zeros(size + lags)
+        d[part["place"].to_numpy()] = part["d"].to_numpy()
+        out = pd.DataFrame({"lag": np.arange(lags + 1), "s": np.correlate(d, d[:size], "valid")})
+        for c in key:
+            out[c] = part[c].iloc[0]
+        return out
+
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key], "lag int, s double"])
+    parts = own.unionByName(ahead).groupBy(*key, "stretch").applyInPandas(run, schema)
+    longest = rows.groupBy(*key).agg(F.max("i").alias("last"))
+    return parts.groupBy(*key, "lag").agg(F.sum("s").alias("s")).join(longest, key).where(F.col("lag") <= F.col("last")).drop("last")
+
+
 def autocorrelation(rows: DataFrame, key: list[str], order: str, lags: int) -> DataFrame:
-    """Biased autocorrelation at lags 0 .. ``lags``: key, ``lag``, ``acf``."""
+    """Biased autocorrelation at lags 0 .. ``lags``: key, ``lag``, ``acf``. Positions count from 0 without gaps."""
     mean = F.avg("x").over(Window.partitionBy(*key))
     centred = rows.select(*key, F.col(order).alias("i"), (F.col("x") - mean).alias("d"))
-    later = centred.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(*key, (F.col("i") - F.col("lag")).alias("i"), "lag", F.col("d").alias("e"))
-    sums = centred.join(later, [*key, "i"]).groupBy(*key, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
+    sums = _lagged_products(centred, key, lags)
     zero = sums.where("lag = 0").select(*key, F.col("s").alias("s0"))
     return sums.join(zero, key).select(*key, "lag", (F.col("s") / F.when(F.col("s0") != 0, F.col("s0"))).alias("acf"))
 
@@ -206,6 +287,8 @@ WEIGHTS = {
 
 def baselines(evidence: DataFrame, metrics: list[str]) -> DataFrame:
     """Median, 95th percentile and maximum of metrics over training windows, per series."""
+    if not metrics:
+        return evidence.select("series_id").distinct()
     return evidence.groupBy("series_id").agg(*[x for m in metrics for x in (F.percentile(m, 0.5).alias(f"{m}_p50"), F.percentile(m, 0.95).alias(f"{m}_p95"), F.max(m).alias(f"{m}_max"))])
 
 

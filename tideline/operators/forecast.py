@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tideline.operators.evidence import autocorrelation
 from tideline.sources.series import series_lengths
+from tideline.sources.tables import settle
 
 
 def by_series():
@@ -85,9 +86,16 @@ def fit_trend_season(train: DataFrame, period: int) -> tuple[DataFrame, DataFram
     return line, season
 
 
-def expected(points: DataFrame, line: DataFrame, season: DataFrame, period: int) -> DataFrame:
+def with_phase(points: DataFrame, period: int | DataFrame) -> DataFrame:
+    """Points with ``phase``, their place in the period; ``period`` may differ by series (``series_id, period``)."""
+    if isinstance(period, DataFrame):
+        return points.join(period.select("series_id", "period"), "series_id").withColumn("phase", F.pmod("t", "period")).drop("period")
+    return points.withColumn("phase", F.pmod("t", F.lit(period)))
+
+
+def expected(points: DataFrame, line: DataFrame, season: DataFrame, period: int | DataFrame) -> DataFrame:
     """Points with ``f``, what the training model expects; positions restart at 0."""
-    rows = points.withColumn("phase", F.pmod("t", F.lit(period))).join(season, ["series_id", "phase"]).join(line, "series_id")
+    rows = with_phase(points, period).join(season, ["series_id", "phase"]).join(line, "series_id")
     return rows.withColumn("f", F.col("slope") * F.col("t") + F.col("intercept") + F.col("seasonal")).drop("phase", "slope", "intercept", "seasonal")
 
 
@@ -178,17 +186,30 @@ def stl(x: np.ndarray, period: int, seasonal: int = 7, trend: int | None = None,
     return s, t, x - s - t
 
 
-def stl_decompose(points: DataFrame, period: int, seasonal: int = 7, robust: bool = True) -> DataFrame:
-    """STL of each series: ``seasonal, trend, resid``. A series is one group, as the method needs it whole."""
+def stl_decompose(points: DataFrame, period: int | DataFrame, seasonal: int = 7, robust: bool = True, trend: int | None = None) -> DataFrame:
+    """STL of each series: ``seasonal, trend, resid``. A series is one group, as the method needs it whole.
+
+    ``period`` may differ by series (``series_id, period``).
+    """
+    rows = points.select("series_id", "t", "x")
+    rows = rows.join(period.select("series_id", "period"), "series_id") if isinstance(period, DataFrame) else rows.withColumn("period", F.lit(period))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t")
         x = group["x"].to_numpy(float)
-        own = max(2, min(period, len(x) // 2 - 1))
-        s, t, r = stl(x, own, seasonal, robust=robust) if len(x) >= 4 else (np.zeros(len(x)), x, np.zeros(len(x)))
+        own = max(2, min(int(group["period"].iloc[0]), len(x) // 2 - 1))
+        s, t, r = stl(x, own, seasonal, trend, robust) if len(x) >= 4 else (np.zeros(len(x)), x, np.zeros(len(x)))
         return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "x": x, "seasonal": s, "trend": t, "resid": np.nan_to_num(r)})
 
-    return points.select("series_id", "t", "x").groupBy("series_id").applyInPandas(run, "series_id string, t int, x double, seasonal double, trend double, resid double")
+    return rows.groupBy("series_id").applyInPandas(run, "series_id string, t int, x double, seasonal double, trend double, resid double")
+
+
+def fit_stl(train: DataFrame, period: int | DataFrame, seasonal: int = 7, robust: bool = True, trend: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The training model by STL: a line through the trend, the mean seasonal pattern, and the remainders ``e``."""
+    parts = settle(with_phase(stl_decompose(train, period, seasonal, robust, trend), period), "stl")
+    line = parts.groupBy("series_id").agg(F.regr_slope("trend", "t").alias("slope"), F.regr_intercept("trend", "t").alias("intercept"))
+    season = parts.groupBy("series_id", "phase").agg(F.avg("seasonal").alias("seasonal"))
+    return line, season, parts.select("series_id", "t", F.col("resid").alias("e"))
 
 
 # --- forecasters --------------------------------------------------------------
@@ -268,6 +289,21 @@ def naive_window_forecast(windows: DataFrame, horizon: int, kind: str) -> DataFr
     return windows.select("series_id", "win", last.alias("l"), slope.alias("b"), step.alias("step")).select("series_id", "win", "step", F.lit(kind).alias("model"), (F.col("l") + F.col("b") * (F.col("step") + 1)).alias("f"))
 
 
+def forecast_paths(windows: DataFrame, model: Forecaster, horizon: int, name: str) -> DataFrame:
+    """The sampled values ``v`` of a model's forecasts (``pos``: steps ahead, from 0); a window that fails has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for series, win, values in zip(batch["series_id"], batch["win"], batch["values"], strict=True):
+                try:
+                    paths = np.asarray(model.forecast(np.asarray(values, float), horizon))
+                except Exception:  # reported by forecast_windows
+                    continue
+                yield pd.DataFrame({"series_id": series, "win": win, "pos": np.tile(np.arange(horizon), len(paths)), "model": name, "v": paths.reshape(-1)})
+
+    return windows.select("series_id", "win", "values").mapInPandas(run, "series_id string, win int, pos int, model string, v double")
+
+
 def ensemble(forecasts: list[DataFrame], strategy: str = "average") -> DataFrame:
     """Mean of the models' forecasts by window and step; failed ones are left out. A model's name picks that model."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), forecasts)

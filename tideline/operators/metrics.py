@@ -22,18 +22,22 @@ def point_metrics(rows: DataFrame) -> DataFrame:
     return c.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def _runs_hit(rows: DataFrame, flag: str, other: str, n: str, hit: str) -> DataFrame:
+    """Per series, the runs of ``flag`` and how many of them hold a point of ``other``."""
+    runs = rows.where(F.col(flag) == 1).withColumn("run", F.col("t") - F.row_number().over(by_series().orderBy("t")))
+    each = runs.groupBy("series_id", "run").agg(F.max((F.col(other) == 1).cast("int")).alias("hit"))
+    return each.groupBy("series_id").agg(F.count(F.lit(1)).alias(n), F.sum("hit").alias(hit))
+
+
 def segment_f1(rows: DataFrame) -> DataFrame:
-    """F1 of segments: true ones that any predicted one overlaps, and predicted ones that any true one overlaps."""
-    true = extract_segments(rows, "y")
-    predicted = extract_segments(rows, "pred")
-    t, p = true.alias("t"), predicted.alias("p")
-    meet = (F.col("t.series_id") == F.col("p.series_id")) & (F.col("p.seg_start") < F.col("t.seg_end")) & (F.col("t.seg_start") < F.col("p.seg_end"))
-    found = t.join(p, meet, "left_semi").groupBy("series_id").agg(F.count(F.lit(1)).alias("found"))
-    right = p.join(t, meet, "left_semi").groupBy("series_id").agg(F.count(F.lit(1)).alias("right"))
-    sizes = rows.select("series_id").distinct()
-    for df, name in ((true, "n_true"), (predicted, "n_pred")):
-        sizes = sizes.join(df.groupBy("series_id").agg(F.count(F.lit(1)).alias(name)), "series_id", "left")
-    out = sizes.join(found, "series_id", "left").join(right, "series_id", "left").na.fill(0)
+    """F1 of segments: true ones that any predicted one overlaps, and predicted ones that any true one overlaps.
+
+    Segments are runs of points and overlap where they share one, so runs are counted, not joined.
+    """
+    out = rows.select("series_id").distinct()
+    for sides in (("y", "pred", "n_true", "found"), ("pred", "y", "n_pred", "right")):
+        out = out.join(_runs_hit(rows, *sides), "series_id", "left")
+    out = out.na.fill(0)
     score = f1(F.col("right") / F.col("n_pred"), F.col("found") / F.col("n_true"))
     value = F.when((F.col("n_true") == 0) & (F.col("n_pred") == 0), 1.0).when((F.col("n_true") == 0) | (F.col("n_pred") == 0), 0.0).otherwise(score)
     return out.select("series_id", "n_true", "n_pred", value.alias("pa_f1"))
@@ -59,13 +63,11 @@ def evaluate(rows: DataFrame) -> DataFrame:
 
 
 def classify_ranges(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per series, overlap of found ranges with true segments, and a class for the series."""
-    true = extract_segments(rows, "y")
-    f, t = found.alias("f"), true.alias("t")
-    meet = (F.col("f.series_id") == F.col("t.series_id")) & (F.col("f.seg_start") < F.col("t.seg_end")) & (F.col("t.seg_start") < F.col("f.seg_end"))
-    overlap = f.join(t, meet).select(F.col("f.series_id"), (F.least("f.seg_end", "t.seg_end") - F.greatest("f.seg_start", "t.seg_start")).alias("o")).groupBy("series_id").agg(F.sum("o").alias("overlap"))
+    """Per series, overlap of found ranges with true segments (the true points inside each), and a class for the series."""
+    inside = found.where("seg_start < seg_end").select("series_id", F.explode(F.sequence(F.col("seg_start"), F.col("seg_end") - 1)).alias("t"))
+    overlap = inside.join(rows.where("y = 1").select("series_id", "t"), ["series_id", "t"]).groupBy("series_id").agg(F.count(F.lit(1)).alias("overlap"))
     out = rows.select("series_id").distinct()
-    for df, name in ((found, "n_found"), (true, "n_true")):
+    for df, name in ((found, "n_found"), (extract_segments(rows, "y"), "n_true")):
         out = out.join(df.groupBy("series_id").agg(F.count(F.lit(1)).alias(name)), "series_id", "left")
     out = out.join(overlap, "series_id", "left").na.fill(0)
     kind = F.when((F.col("n_true") == 0) & (F.col("n_found") == 0), "true_negative").when(F.col("n_true") == 0, "false_positive").when(F.col("overlap") > 0, "partial_match").when(F.col("n_found") > 0, "missed").otherwise("no_anomalies")

@@ -1,61 +1,115 @@
 """Distances to nearest neighbours.
 
 The candidates of a query are the reference rows of its own group (a series).
-Exact search compares every query with every reference in blocks: references
-are dealt into blocks by hash, each block keeps its own k best per query, and
-the blocks' winners meet in a second small step, so neither a group nor a
-query's distances are gathered in one place.
+Exact search is a grid of blocks: the queries and the references of a group are
+dealt by hash into blocks of bounded size, and each pair of blocks is a task's
+cell, however large the group is. A cell is one matrix product; of what it
+leaves near the k-th place the distances are computed anew, so rounding decides
+nothing. Each cell keeps its k best per query, and these meet in a second small
+step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.sources.tables import settle
+
+#: Rows of a block of queries and of references, and queries of one matrix product.
+QUERY_BLOCK, REFERENCE_BLOCK, PRODUCT_ROWS = 4096, 8192, 512
+#: Pairs whose distances are computed anew at once.
+_PAIRS = 1 << 18
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    """Of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one size as rows."""
+    values = column.combine_chunks()
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(values), -1)
+
+
+def _exact(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Euclidean distance, or less the cosine, of paired rows."""
+    if metric == "euclidean":
+        return np.sqrt(((q - r) ** 2).sum(axis=1))
+    return -(q * r).sum(axis=1) / np.sqrt((q * q).sum(axis=1) * (r * r).sum(axis=1))
+
+
+def nearest_in(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of ``r`` for each row of ``q`` (ties to the smaller id): row of q, row of r, distance."""
+    if metric == "euclidean":
+        # Distances do not change with the origin, and small numbers round less.
+        centre = r.mean(axis=0)
+        a, b = q - centre, r - centre
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    else:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            a, b = (np.nan_to_num(x / np.sqrt((x * x).sum(axis=1, keepdims=True))) for x in (q, r))
+        aa, bb = np.zeros(len(q)), np.zeros(len(r))
+    out = []
+    for low in range(0, len(q), PRODUCT_ROWS):
+        some = slice(low, low + PRODUCT_ROWS)
+        near = aa[some, None] + bb[None, :] - (2 if metric == "euclidean" else 1) * (a[some] @ b.T)
+        spare = 1e-9 * (1 + aa[some, None] + bb.max(initial=0))
+        last = np.partition(near, min(k, len(r)) - 1, axis=1)[:, [min(k, len(r)) - 1]]
+        qs, rs = np.nonzero(near <= last + spare)
+        d = np.concatenate([_exact(q[low + qs[x : x + _PAIRS]], r[rs[x : x + _PAIRS]], metric) for x in range(0, len(qs), _PAIRS)])
+        order = np.lexsort((ids[rs], d, qs))
+        qs, rs, d = qs[order], rs[order], d[order]
+        first = np.searchsorted(qs, qs)
+        best = np.arange(len(qs)) - first < k
+        out.append((low + qs[best], rs[best], d[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str], query_id: str, reference_id: str, metric: str = "euclidean") -> DataFrame:
+    """The k nearest references (``values``) of each query: group, ``qid``, ``rid``, distance ``d``, ``rank``. Ties go to the smaller reference id.
+
+    ``metric``: ``euclidean``, or ``cosine`` (then ``d`` is less the similarity).
+    Vectors of a group have one size; a null vector is left out.
+    """
 
-#: Vectors up to this size are compared by one expression per coordinate, which compiles to straight code.
-UNROLLED = 200
-
-
-def _summed(a: Column, b: Column, dims: int | None, term: Callable[[Column, Column], Column]) -> Column:
-    if dims is not None and dims <= UNROLLED:
-        return reduce(lambda s, v: s + v, [term(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(dims)])
-    return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, v: s + v)
-
-
-def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
-    """Of two vectors; ``dims`` is their common size where it is known."""
-    return _summed(a, b, dims, lambda x, y: (x - y) * (x - y))
-
-
-def dot(a: Column, b: Column, dims: int | None = None) -> Column:
-    return _summed(a, b, dims, lambda x, y: x.cast("double") * y.cast("double"))
-
-
-def cosine(a: Column, b: Column, dims: int | None = None) -> Column:
-    return dot(a, b, dims) / F.sqrt(dot(a, a, dims) * dot(b, b, dims))
-
-
-def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str], query_id: str, reference_id: str, score: Column, blocks: int = 8) -> DataFrame:
-    """The k least-scored references of each query; ``score`` is over columns ``q`` and ``r``. Ties go to the smaller reference id."""
-    r = references.select(*group, F.col(reference_id).alias("rid"), F.col("values").alias("r"), F.pmod(F.xxhash64(reference_id), F.lit(blocks)).cast("int").alias("block"))
-    q = queries.select(*group, F.col(query_id).alias("qid"), F.col("values").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    each = q.join(r, [*group, "block"]).select(*group, "qid", "rid", "block", score.alias("d"))
-
-    def best(rows: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("d", "rid")
-        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    return best(best(each, [*group, "qid", "block"]).drop("rank"), [*group, "qid"]).drop("block")
-
-
-def knn_scores(test: DataFrame, train: DataFrame, k: int = 5, width: int | None = None) -> DataFrame:
-    """Mean Euclidean distance of each test window to its k nearest training windows of the series; ``width`` is the windows' size."""
-    found = nearest(test, train, k, ["series_id"], "win", "win", F.sqrt(squared_distance(F.col("q"), F.col("r"), width)))
+    def dealt(rows: DataFrame, key: str, name: str, most: int) -> DataFrame:
+        rows = settle(rows.where("values is not null").select(*group, F.col(key).alias(name), F.col("values")), "vectors")
+        sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+        return rows, sizes
+
+    q, q_sizes = dealt(queries, query_id, "qid", QUERY_BLOCK)
+    r, r_sizes = dealt(references, reference_id, "rid", REFERENCE_BLOCK)
+    grid = settle(q_sizes.withColumnRenamed("blocks", "nq").join(r_sizes.withColumnRenamed("blocks", "nr"), group), "grid")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(grid, group).withColumn("i", F.pmod(F.xxhash64("qid"), "nq").cast("int")).withColumn("j", every("nr")).drop("nq", "nr")
+    r = r.join(grid, group).withColumn("j", F.pmod(F.xxhash64("rid"), "nr").cast("int")).withColumn("i", every("nq")).drop("nq", "nr")
+    kinds = ", ".join([*[f"`{g}` {queries.schema[g].dataType.simpleString()}" for g in group], f"qid {queries.schema[query_id].dataType.simpleString()}", f"rid {references.schema[reference_id].dataType.simpleString()}", "d double"])
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [*group, "qid"]
+        if not len(left) or not len(right):
+            empty = left.slice(0, 0).select(names) if len(left.schema.names) else right.slice(0, 0)
+            return empty.append_column("rid", right.slice(0, 0)["rid"]).append_column("d", pa.array([], pa.float64()))
+        ids = right["rid"].combine_chunks()
+        order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        qs, rs, d = nearest_in(_matrix(left["values"]), _matrix(right["values"]), order, k, metric)
+        return left.select(names).take(pa.array(qs)).append_column("rid", ids.take(pa.array(rs))).append_column("d", pa.array(d))
+
+    cells = [*group, "i", "j"]
+    found = q.groupBy(*cells).cogroup(r.groupBy(*cells)).applyInArrow(cell, kinds)
+    order = Window.partitionBy(*group, "qid").orderBy("d", "rid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def knn_scores(test: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
+    """Mean Euclidean distance of each test window to its k nearest training windows of the series."""
+    found = nearest(test, train, k, ["series_id"], "win", "win")
     return found.groupBy("series_id", F.col("qid").alias("win")).agg(F.avg("d").alias("score"), F.count("d").alias("k"))
 
 
@@ -80,10 +134,10 @@ def lsh_knn_scores(test: DataFrame, train: DataFrame, k: int = 5, width: float =
     return scores.unionByName(knn_scores(lacking, train, k))
 
 
-def retrieve(queries: DataFrame, library: DataFrame, k: int, label: str | None = None, dims: int | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, library: DataFrame, k: int, label: str | None = None) -> DataFrame:
     """The k library vectors most similar by cosine to each query (``id, values``); only those with equal ``label``, if one is named."""
     group = [label] if label else []
     q = queries if label else queries.withColumn("__all", F.lit(0))
     r = library if label else library.withColumn("__all", F.lit(0))
-    found = nearest(q, r, k, group or ["__all"], "id", "id", -cosine(F.col("q"), F.col("r"), dims))
+    found = nearest(q, r, k, group or ["__all"], "id", "id", "cosine")
     return found.select(F.col("qid").alias("query_id"), F.col("rid").alias("id"), "rank", (-F.col("d")).alias("similarity"))

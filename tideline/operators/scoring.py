@@ -99,8 +99,11 @@ def refine_ranges(ranges: DataFrame, signals: DataFrame, lengths: DataFrame, rea
     near = r.select("series_id", "seg_start", "seg_end", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("seg_start") - reach), F.least(F.col("n"), F.col("seg_end") + reach) - 1)).alias("t"))
     top = near.join(level, ["series_id", "t"]).groupBy("series_id", "seg_start", "seg_end").agg(F.max(F.struct(F.col("v"), (-F.col("t")).alias("at"))).alias("top"))
     peaks = top.select("series_id", "seg_start", "seg_end", (-F.col("top.at")).alias("peak"))
-    islands = extract_segments(level.select("series_id", "t", (F.col("v") >= bound).cast("int").alias("pred"))).select("series_id", F.col("seg_start").alias("a"), F.col("seg_end").alias("b"))
-    touching = peaks.join(islands, "series_id", "left").where("a is null or (a <= peak + 1 and b >= peak)")
+    # A peak's island, or those that end or begin beside it, are met at the peak's own and neighbouring points.
+    flagged = level.where(F.col("v") >= bound).withColumn("island", F.col("t") - F.row_number().over(in_order()))
+    islands = flagged.groupBy("series_id", "island").agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b"))
+    beside = peaks.withColumn("t", F.explode(F.array(F.col("peak") - 1, F.col("peak"), F.col("peak") + 1)))
+    touching = beside.join(flagged.select("series_id", "t", "island"), ["series_id", "t"]).join(islands, ["series_id", "island"])
     grown = touching.groupBy("series_id", "seg_start", "seg_end", "peak").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     whole = peaks.join(grown, ["series_id", "seg_start", "seg_end", "peak"], "left")
     out = whole.select("series_id", F.least("peak", F.coalesce("a", "peak")).alias("seg_start"), F.greatest(F.col("peak") + 1, F.coalesce("b", "peak")).alias("seg_end"))

@@ -16,6 +16,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tideline.reasoning.prompts import RANGE_SYSTEM, WINDOW_SYSTEM
 
@@ -38,14 +39,14 @@ def generate_with_retry(backend: Backend, system: str, user: str, temperature: f
 
 @dataclass
 class RuleBackend:
-    """Answers by counting marks in the prompt: a window is anomalous by its elevated evidence, a range by high CUSUM."""
+    """Answers by plain rules on the prompt: a window is anomalous by its metrics of level high, a range by high CUSUM."""
 
     per_mark: float = 0.3
     level: float = 5.0
 
     def generate(self, system: str, user: str, temperature: float) -> str:
-        if "(index, residual" in user:
-            points = [(int(i), float(c)) for i, c in re.findall(r"^\((\d+), [-\d.]+, ([-\d.]+),", user, re.M)]
+        if user.startswith("t residual cusum mean"):
+            points = [(int(i), float(c)) for i, c in re.findall(r"^(\d+) [-\d.]+ ([-\d.]+) ", user, re.M)]
             ranges: list[dict[str, int]] = []
             for i, c in points:
                 if c >= self.level:
@@ -55,10 +56,10 @@ class RuleBackend:
                         ranges.append({"start": i, "end": i + 1})
             return json.dumps({"anomalies": ranges})
         out = []
-        for block in re.split(r"(?m)^(?=Window \d+$)", user):
-            if found := re.match(r"Window (\d+)", block):
-                marks = block.count("ELEVATED")
-                out.append({"window_index": int(found[1]), "is_anomaly": marks > 0, "confidence": min(1.0, self.per_mark * marks), "reasoning": f"{marks} elevated", "evidence_cited": []})
+        for block in re.split(r"(?m)^(?=# \d+$)", user):
+            if found := re.match(r"# (\d+)", block):
+                high = re.findall(r'"metric":"(\w+)"[^}]*"level":"high"', block)
+                out.append({"window_index": int(found[1]), "is_anomaly": bool(high), "confidence": min(1.0, self.per_mark * len(high)), "reasoning": f"{len(high)} metrics are high", "evidence_cited": high})
         return json.dumps({"results": out})
 
 
@@ -99,16 +100,19 @@ def create_backend(kind: str = "rule", **options) -> Backend:
     return RuleBackend(**options) if kind == "rule" else HttpBackend(style={"azure_openai": "openai", "claude": "anthropic"}.get(kind, kind), **options)
 
 
-def ask(prompts: DataFrame, backend: Backend, system: str, temperature: float = 0.0, attempts: int = 3) -> DataFrame:
-    """``prompts`` with ``reply`` (null after the last failed attempt) and ``error``. Filter before: every row is a call."""
+def ask(prompts: DataFrame, backend: Backend, system: str | None = None, temperature: float = 0.0, attempts: int = 3) -> DataFrame:
+    """``prompts`` with ``reply`` (null after the last failed attempt) and ``error``. Filter before: every row is a call.
+
+    Without ``system`` each row's own column of that name is used.
+    """
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields], "reply string, error string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             replies, errors = [], []
-            for prompt in batch["prompt"]:
+            for prompt, own in zip(batch["prompt"], batch["system"] if system is None else [system] * len(batch), strict=True):
                 try:
-                    replies.append(generate_with_retry(backend, system, prompt, temperature, attempts))
+                    replies.append(generate_with_retry(backend, own, prompt, temperature, attempts))
                     errors.append(None)
                 except Exception as failed:  # a failed call is a row without a reply
                     replies.append(None)
@@ -118,9 +122,11 @@ def ask(prompts: DataFrame, backend: Backend, system: str, temperature: float =
     return prompts.mapInPandas(run, schema)
 
 
-def ask_windows(prompts: DataFrame, backend: Backend) -> DataFrame:
-    return ask(prompts, backend, WINDOW_SYSTEM)
+def ask_windows(prompts: DataFrame, backend: Backend, temperature: float = 0.0) -> DataFrame:
+    return ask(prompts, backend, WINDOW_SYSTEM, temperature)
 
 
-def ask_ranges(prompts: DataFrame, backend: Backend, most: int = 3) -> DataFrame:
-    return ask(prompts, backend, RANGE_SYSTEM.format(max_ranges=most))
+def ask_ranges(prompts: DataFrame, backend: Backend, temperature: float = 0.0) -> DataFrame:
+    """Each series' own ``max_ranges`` goes into its instructions."""
+    system = F.replace(F.lit(RANGE_SYSTEM), F.lit("{max_ranges}"), F.col("max_ranges").cast("string"))
+    return ask(prompts.withColumn("system", system), backend, None, temperature).drop("system")

@@ -12,8 +12,8 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` written as Parquet under the shared ``spark.checkpoint.dir`` and read back.
 
     Later plans start from the table, so they stay small and a lost executor
-    costs no recomputation. Only where the setting is absent (one machine) is
-    a temporary folder made.
+    costs no recomputation. Only where the setting is absent and the master is
+    local is a temporary folder made.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -21,6 +21,8 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tideline-"))
             current = context._jsc.sc().getCheckpointDir()
         folder = current.get()
