@@ -40,12 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
-from tideline.llm.store import bound_arrow, materialize, tidy
+from tideline.llm.store import bound_arrow, materialize, shuffle_partitions, tidy
 from tideline.llm.words import mix, segments, slices, window_hashes, words_of
 
 U64 = np.uint64
 #: Ids up to which the candidates' ids are broadcast to the scan; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Rows about buckets (some 60 bytes each) up to which they are broadcast to the buckets' members.
+BUCKET_ROWS = 500_000
 #: Members of a bucket that a task compares with as many others at once.
 BLOCK_ROWS = 512
 _WORDS = 32  # 64-bit words of a sketch
@@ -189,6 +191,11 @@ def set_prints(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A table of a row per bucket, broadcast where it has few rows; else a join with it is by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BUCKET_ROWS else rows
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: NearRules | None = None) -> DataFrame:
     """Per row: the key, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     rules = rules or NearRules()
@@ -228,7 +235,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         members = rooted(2 if turn == 0 else 3)
         chosen = F.min(F.struct(F.xxhash64("band", "rep", F.lit(turn)).alias("h"), "rep", "f1", "root")).alias("p")
         pivots = members.groupBy("band").agg(chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "p")
-        apart = members.join(pivots, "band").where(F.col("root") != F.col("p.root"))
+        apart = members.join(_small(materialize(pivots, "near-pivots")), "band").where(F.col("root") != F.col("p.root"))
         pairs = apart.select(F.col("p.rep").alias("u"), F.col("p.f1").alias("fu"), F.col("rep").alias("v"), F.col("f1").alias("fv")).distinct()
         links = checked(pairs)
         if links.isEmpty():
@@ -241,12 +248,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"), F.sum("c").alias("n"))
     blocks = lambda rows: F.floor((rows - 1) / F.lit(BLOCK_ROWS)).cast("int")
     parts = parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main"), blocks(F.col("n") - F.col("largest.c")).alias("last_x"), blocks(F.col("n")).alias("last_y"))
-    rest = members.join(parts, "band").withColumn("loose", F.col("root") != F.col("main"))
+    rest = members.join(_small(materialize(parts, "near-parts")), "band").withColumn("loose", F.col("root") != F.col("main"))
     rest = materialize(rest.join(facts, ["rep", "f1"]), "near-rest")
     dealt = lambda last: F.pmod(F.xxhash64("rep", "f1"), F.col(last) + 1).cast("int")
     every = lambda last: F.explode(F.sequence(F.lit(0), F.col(last)))
-    x = rest.where("loose").withColumn("i", dealt("last_x")).withColumn("j", every("last_y")).alias("x")
-    y = rest.withColumn("j", dealt("last_y")).withColumn("i", every("last_x")).alias("y")
+    cells = shuffle_partitions(docs.sparkSession), "band", "i", "j"
+    x = rest.where("loose").withColumn("i", dealt("last_x")).withColumn("j", every("last_y")).repartition(*cells).alias("x")
+    y = rest.withColumn("j", dealt("last_y")).withColumn("i", every("last_x")).repartition(*cells).alias("y")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.loose") | (F.col("x.rep") < F.col("y.rep")))
     second = x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(F.col("x.rep").alias("u"), F.col("x.f1").alias("fu"), F.col("y.rep").alias("v"), F.col("y.f1").alias("fv")).distinct()
     links = checked(second)
