@@ -12,10 +12,11 @@ kept for nothing.
 The classifier is trained on ``TRAIN_PAGES`` labelled pages made by a fixed
 grammar of common page layouts; nothing is learnt from the table.
 
-Cases: a null page, or one without article text, gives an empty text; pages
-are judged one by one, so repeated rows get equal results; an empty table
-gives an empty result; other columns pass through unless their name is one of
-the results'.
+Cases: a null page, or one without article text, gives an empty text; very long
+and very deep pages are read whole, in linear time; pages are judged one by
+one, so repeated rows get equal results; of label sets that tie the one with
+fewer nodes is taken; an empty table gives an empty result; other columns pass
+through unless their name is one of the results'.
 """
 
 from __future__ import annotations
@@ -39,6 +40,12 @@ _AGAINST = np.isin(np.arange(len(GROUP_NAMES)), [_GROUP[g] for g in ("nav", "asi
 _FOR = np.arange(len(GROUP_NAMES)) == _GROUP["article"]
 
 
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from 0."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
+
+
 def features(trees: Forest) -> np.ndarray:
     """One row of features per node."""
     n, parent, depth, last = len(trees.parent), trees.parent, trees.depth, trees.last
@@ -56,8 +63,7 @@ def features(trees: Forest) -> np.ndarray:
     against, favour = _AGAINST[trees.group].astype(float), _FOR[trees.group].astype(float)
     above = np.zeros((n, 5))
     above[:, 4] = 20
-    for level in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == level)
+    for at in _levels(depth)[1:]:
         p = parent[at]
         above[at, 0] = above[p, 0] + against[p]
         above[at, 1] = above[p, 1] + favour[p]
@@ -101,18 +107,22 @@ def decode(trees: Forest, odds: np.ndarray) -> np.ndarray:
     """The most likely labels that agree along every path: True where a node holds article text."""
     n, depth, parent = len(odds), trees.depth, trees.parent
     is_text = trees.group == _GROUP["text"]
-    gain = odds.copy()
-    below, any_below = np.zeros(n), np.zeros(n, bool)
+    gain, below, best = odds.copy(), np.zeros(n), np.full(n, -np.inf)
     chosen = np.zeros(n, bool)
-    levels = [np.flatnonzero(depth == level) for level in range(int(depth.max(initial=-1)) + 1)]
+    levels = _levels(depth)
     for at in reversed(levels):
         inner = at[~is_text[at]]
-        gain[inner] = np.where(any_below[inner], odds[inner] + below[inner], -np.inf)
-        good = at[(gain[at] > 0) & (parent[at] >= 0)]
-        np.add.at(below, parent[good], gain[good])
-        any_below[parent[good]] = True
+        # A container needs a child: those that gain, or else the one that loses least.
+        gain[inner] = odds[inner] + np.where(best[inner] > 0, below[inner], best[inner])
+        child = at[parent[at] >= 0]
+        np.add.at(below, parent[child], np.maximum(gain[child], 0))
+        np.maximum.at(best, parent[child], gain[child])
+    alone = np.full(n, -1)
+    needy = np.flatnonzero((parent >= 0) & (gain == best[np.maximum(parent, 0)]) & (gain <= 0))[::-1]
+    alone[parent[needy]] = needy  # the first of equals
     for at in levels:
-        chosen[at] = (gain[at] > 0) & ((parent[at] < 0) | chosen[np.maximum(parent[at], 0)])
+        up = np.maximum(parent[at], 0)
+        chosen[at] = np.where(parent[at] < 0, gain[at] > 0, chosen[up] & ((gain[at] > 0) | (alone[up] == at)))
     return chosen
 
 

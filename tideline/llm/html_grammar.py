@@ -72,7 +72,8 @@ class _Page:
         if style < 0.55:
             return f"<p>{text}</p>"
         if style < 0.65:
-            return f"<p><b>{text}<br>"
+            inline = self.r.choice(["b", "i", "em", "span", "font", "u", "strong"])  # never closed
+            return f"<{self.r.choice(['p', 'p', 'div'])}><{inline}>{text}{self.r.choice(['', '<br>', '<br/>', '<br><br>'])}" + self.r.choice(["", "</div>", "</p>"])
         if style < 0.75:
             return f"<p>{text}"
         if style < 0.85:
@@ -199,7 +200,18 @@ class _Page:
         body = "".join(getattr(self, k)() for k in top) + inner + (self.footer() if self.some(0.85) else "")
         gap = self.r.choice(["", "", "\n", "\n  "])
         body = body.replace("><", f">{gap}<") if gap else body
-        return f'<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{body}{self.r.choice(["", "</body>", "</body></html>"])}'
+        return f"{self.head()}<body>{body}{self.r.choice(['', '</body>', '</body></html>'])}"
+
+    def head(self) -> str:
+        """A document type and a head, either of which may be missing, with some of what heads hold."""
+        w = self.r.choice(self.vocabulary)
+        parts = [
+            f"<title>{self.words(2, 9)}</title>", f'<meta name="description" content="{self.words(4, 12)}">', '<meta name="viewport" content="width=device-width">', f'<link rel="stylesheet" href="/{w}.css">',
+            f"<style>.{w} > a {{ color: #333 }} /* <div> */</style>", f'<script src="/{w}.js"></script>', f"<script>if (1 < 2) {{ document.write('<nav>{w}</nav>') }}</script>", f'<script type="application/ld+json">{{"name": "{w}"}}</script>',
+            f"<noscript><img src='/{w}.gif'></noscript>", f"<!-- {w} <article> -->",
+        ]
+        head = "".join(p for p in self.r.sample(parts, len(parts)) if self.some(0.4))
+        return self.r.choice(["<!DOCTYPE html>", "<!doctype html>\n", ""]) + self.r.choice(["<html>", '<html lang="xx">', ""]) + (f"<head>{head}</head>" if self.some(0.9) else "")
 
 
 def labelled_pages(count: int, seed: int = 11) -> list[str]:

@@ -4,12 +4,15 @@ A node is a block-level element, or a text block: a run of text and inline
 elements between block bounds. Nodes are in page order, parents first.
 Malformed markup is taken as browsers do in the common cases: open paragraphs
 and list items are closed by what cannot stand inside them, stray end tags are
-ignored, unclosed elements end with the page.
+ignored, unclosed elements end with the page. Open elements are looked up by
+name, so the time is linear in the page however deep its nesting is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 from html import unescape
 
@@ -84,6 +87,20 @@ def attribute_words(attributes: str) -> tuple[int, int, bool]:
     return content, other, link
 
 
+def _element_ends(html: str, name: str) -> dict[int, int]:
+    """Where each closed element of a name ends, by where it begins; they may be nested."""
+    open_at, out = [], {}
+    for tag in re.finditer(f"<(/?){name}(?=[\\s/>])[^>]*?(/?)>", html, re.I):
+        if tag.group(1):
+            if open_at:
+                out[open_at.pop()] = tag.end()
+        elif tag.group(2):
+            out[tag.start()] = tag.end()
+        else:
+            open_at.append(tag.start())
+    return out
+
+
 class _Builder:
     def __init__(self) -> None:
         self.parent: list[int] = []
@@ -99,6 +116,9 @@ class _Builder:
         parent, group, last, depth, content, other, counts, texts = self.parent, self.group, self.last, self.depth, self.content, self.other, self.counts, self.texts
         root = len(parent)
         stack: list[tuple[str, int]] = [("body", root)]
+        #: Where on the stack the open elements of a name are, and where dropped elements end.
+        heights: dict[str, list[int]] = defaultdict(list, body=[0])
+        ends: dict[str, dict[int, int]] = {}
         parent.append(-1), group.append(BLOCKS["body"]), last.append(0), depth.append(0), content.append(0), other.append(0), counts.append((0,) * len(COUNTS)), texts.append(None)
         pieces: list[str] = []
         linked = tags = controls = 0
@@ -119,7 +139,9 @@ class _Builder:
 
         def close(height: int) -> None:
             while len(stack) > height:
-                last[stack.pop()[1]] = len(parent)
+                name, node = stack.pop()
+                last[node] = len(parent)
+                heights[name].pop()
 
         at, end = 0, len(html)
         while at < end:
@@ -142,10 +164,8 @@ class _Builder:
                     if name in ("body", "html"):
                         continue
                     flush()
-                    for height in range(len(stack) - 1, 0, -1):
-                        if stack[height][0] == name:
-                            close(height)
-                            break
+                    if heights[name]:
+                        close(heights[name][-1])
                 elif name == "a":
                     in_link = False
                 continue
@@ -159,14 +179,10 @@ class _Builder:
                     closing = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
                     at = closing.end() if closing else end
                 else:
-                    level, tag = 1, re.compile(f"<(/?){name}(?=[\\s/>])[^>]*?(/?)>", re.I)
-                    while level:
-                        found = tag.search(html, at)
-                        if not found:
-                            # Never closed: drop the tag alone, as the rest of the page may be the article.
-                            break
-                        at = found.end()
-                        level += -1 if found.group(1) else 0 if found.group(2) else 1
+                    if name not in ends:
+                        ends[name] = _element_ends(html, name)
+                    # Never closed: drop the tag alone, as the rest of the page may be the article.
+                    at = ends[name].get(token.start(), at)
                 continue
             if name not in BLOCKS and "-" not in name:
                 if name == "br":
@@ -183,25 +199,20 @@ class _Builder:
             flush()
             in_link = in_link and name not in ("nav", "article", "section", "div", "ul", "footer")
             if name in CLOSES_PARAGRAPH:
-                for height in range(len(stack) - 1, 0, -1):
-                    if stack[height][0] == "p":
-                        close(height)
-                        break
+                if heights["p"]:
+                    close(heights["p"][-1])
             if name in IMPLIED:
                 closed, bounds = IMPLIED[name]
-                lowest = 0
-                for height in range(len(stack) - 1, 0, -1):
-                    if stack[height][0] in bounds:
-                        break
-                    if stack[height][0] in closed:
-                        lowest = height
-                if lowest:
-                    close(lowest)
+                bound = max((heights[b][-1] for b in bounds if heights[b]), default=0)
+                inside = [h[k] for c in closed if (h := heights[c]) and (k := bisect_right(h, bound)) < len(h)]
+                if inside:
+                    close(min(inside))
             good, bad, _ = attribute_words(attributes) if attributes else (0, 0, False)
             parent.append(stack[-1][1]), group.append(BLOCKS.get(name, BLOCKS["div"])), last.append(0), depth.append(len(stack)), content.append(good), other.append(bad), counts.append((0, 0, 0, 0, 0, 0, 0, 1, 0, 0)), texts.append(None)
             if name in VOID:
                 last[-1] = len(parent)
             else:
+                heights[name].append(len(stack))
                 stack.append((name, len(parent) - 1))
         flush()
         close(0)
