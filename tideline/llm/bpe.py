@@ -49,13 +49,15 @@ class ByteBPE:
         self.byte_pair = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.packed = {piece: int(rank).to_bytes(4, "little") for piece, rank in self.ranks.items()}
         self.bitmap_words = max(self.pieces) // _WORD + 1
-        #: Rank of the piece that two pieces make, by both their ids.
+        #: Bits of an id: a pair of ids is one number, with the left one above these bits.
+        self.shift = max(self.pieces).bit_length()
+        #: Rank of the piece that two pieces make, by that number.
         self.pair_rank: dict[int, int] = {}
         for piece, rank in self.ranks.items():
             for cut in range(1, len(piece)):
                 left, right = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
                 if left is not None and right is not None:
-                    self.pair_rank[left << 20 | right] = rank
+                    self.pair_rank[left << self.shift | right] = rank
         self.cache: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
@@ -93,7 +95,7 @@ class ByteBPE:
         for rank in buckets:
             low[rank // _WORD] |= 1 << rank % _WORD
             top |= 1 << rank // _WORD
-        pair_rank = self.pair_rank.get
+        pair_rank, shift = self.pair_rank.get, self.shift
         bucket_of = buckets.get
 
         while top:
@@ -123,7 +125,7 @@ class ByteBPE:
                     if stop[right]:
                         wanted[left] = -1
                         continue
-                    wanted[left] = new = pair_rank(ids[left] << 20 | ids[right], -1)
+                    wanted[left] = new = pair_rank(ids[left] << shift | ids[right], -1)
                     if new >= 0:
                         bucket = bucket_of(new)
                         if bucket is None:

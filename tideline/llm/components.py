@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         if now == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._tideline_folder = edges._tideline_folder
+    return out

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import materialize
+from tideline.llm.store import discard, materialize
 
 #: Rows of line ids (16 bytes each) up to which they are broadcast to the scan; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -150,30 +150,32 @@ def _only(lines: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     return lines.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, least_words: int, near_words: int) -> DataFrame:
-    """Lines (``h1``, ``h2``) that are within one word of an earlier line."""
+def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, least_words: int, near_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Lines (``h1``, ``h2``) that are within one word of an earlier line, and the tables to discard once they are read."""
     halves = distinct.where(F.col("n") >= near_words).select("h1", "h2", F.explode("halves").alias("key"))
     mates = materialize(_shared(halves).select("h1", "h2").distinct(), "line-mates")
     lines = _only(lines_of(docs, key, text, max(least_words, near_words)), mates, ["h1", "h2"])
     mine = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "p", "th")).alias("o"), F.first("line").alias("line"))
-    mine = materialize(mine.select("h1", "h2", "o", words_in(F.col("line")).alias("words")), "line-words")
+    whole = materialize(mine.select("h1", "h2", "o", words_in(F.col("line")).alias("words")), "line-words")
+    discard(mates)
 
     # The quarters that a line shares the rest with another line: at most eight, and only words in them need deleting.
-    gaps = mine.select("h1", "h2", F.explode(_gaps(F.col("words"))).alias("g")).select("h1", "h2", "g.key", "g.low", "g.high")
+    gaps = whole.select("h1", "h2", F.explode(_gaps(F.col("words"))).alias("g")).select("h1", "h2", "g.key", "g.low", "g.high")
     gaps = _shared(gaps).groupBy("h1", "h2").agg(F.collect_set(F.struct("low", "high")).alias("gaps"))
-    mine = materialize(mine.join(gaps, ["h1", "h2"]), "line-near")
+    mine = materialize(whole.join(gaps, ["h1", "h2"]), "line-near")
+    discard(whole)
     wanted = lambda k: (k["place"] == 0) | F.exists("gaps", lambda g: (k["place"] >= g["low"]) & (k["place"] <= g["high"]))
     emitted = mine.select(F.struct("o", "h1", "h2").alias("me"), F.explode(F.filter(deletion_keys(F.col("words")), wanted)).alias("k")).select("me", "k.key", "k.place")
     emitted = materialize(emitted, "line-variants")
     earliest = emitted.groupBy("key", "place").agg(F.min("me").alias("other"), F.count(F.lit(1)).alias("c"))
     same_size = emitted.join(earliest.where("c > 1 and place > 0").select("key", "place", "other"), ["key", "place"]).where(F.col("other") < F.col("me"))
-    whole = emitted.where("place = 0").select("key", F.col("me").alias("other"))
-    longer = emitted.where("place > 0").join(whole, "key").select(F.greatest("me", "other").alias("me"), F.least("me", "other").alias("other"))
+    complete = emitted.where("place = 0").select("key", F.col("me").alias("other"))
+    longer = emitted.where("place > 0").join(complete, "key").select(F.greatest("me", "other").alias("me"), F.least("me", "other").alias("other"))
     pairs = same_size.select("me", "other").unionByName(longer).groupBy("me").agg(F.min("other").alias("other"))
     words = mine.select("h1", "h2", "words")
     pairs = pairs.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("other.h1").alias("e1"), F.col("other.h2").alias("e2"))
     pairs = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("earlier")), ["e1", "e2"])
-    return pairs.where(within_one_word(F.col("words"), F.col("earlier"))).select("h1", "h2")
+    return pairs.where(within_one_word(F.col("words"), F.col("earlier"))).select("h1", "h2"), [mine, emitted]
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 3, near_words: int = 8) -> DataFrame:
@@ -185,9 +187,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
         F.min(F.struct("d", "p", "th")).alias("o"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("halves").alias("halves")
     )
     distinct = materialize(distinct, "lines")
-    near = near_lines(docs, distinct, key, text, least_words, near_words).withColumn("near", F.lit(True))
+    near, used = near_lines(docs, distinct, key, text, least_words, near_words)
+    near = near.withColumn("near", F.lit(True))
     decided = distinct.select("h1", "h2", "o", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near")
     decided = materialize(decided, "line-verdicts")
+    discard(distinct, *used)
     gone = lines.select("d", "th", "p", "h1", "h2").join(decided, ["h1", "h2"])
     gone = gone.where(F.coalesce("near", F.lit(False)) | (F.col("o") != F.struct("d", "p", "th")))
     return gone.groupBy("d", "th").agg(F.collect_set("p").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).alias("n_near"))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
-from tideline.llm.store import bound_arrow, materialize, shuffle_partitions, tidy
+from tideline.llm.store import bound_arrow, discard, materialize, shuffle_partitions, tidy
 from tideline.llm.words import mix, segments, slices, window_hashes, words_of
 
 U64 = np.uint64
@@ -215,7 +215,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         a = facts.select(F.col("rep").alias("u"), F.col("f1").alias("fu"), F.col("tell").alias("a"))
         b = facts.select(F.col("rep").alias("v"), F.col("f1").alias("fv"), F.col("tell").alias("b"))
         likely = pairs.join(b, ["v", "fv"]).join(a, ["u", "fu"]).where(_alike("a", "b", rules)).select("u", "fu", "v", "fv")
-        return materialize(_confirm(materialize(likely, "near-pairs"), docs, key, text, rules), "near-links")
+        likely = materialize(likely, "near-pairs")
+        links = materialize(_confirm(likely, docs, key, text, rules), "near-links")
+        discard(likely)
+        return links
 
     # Rows that repeat an id join the classes that they are in.
     classes_of = named.select("id", "f1", "f2", "n").distinct().join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
@@ -228,16 +231,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         return buckets.where(F.col("size") >= least_size).join(known, "rep", "left").select("band", "rep", "f1", F.coalesce("root", "rep").alias("root"))
 
     def with_links(links: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+        joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+        discard(links, roots)
+        return joined
 
     # A bucket's pivot, another one each round, is compared with the members that are not yet with it.
     for turn in range(rules.rounds):
         members = rooted(2 if turn == 0 else 3)
         chosen = F.min(F.struct(F.xxhash64("band", "rep", F.lit(turn)).alias("h"), "rep", "f1", "root")).alias("p")
         pivots = members.groupBy("band").agg(chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "p")
-        apart = members.join(_small(materialize(pivots, "near-pivots")), "band").where(F.col("root") != F.col("p.root"))
+        pivots = materialize(pivots, "near-pivots")
+        apart = members.join(_small(pivots), "band").where(F.col("root") != F.col("p.root"))
         pairs = apart.select(F.col("p.rep").alias("u"), F.col("p.f1").alias("fu"), F.col("rep").alias("v"), F.col("f1").alias("fv")).distinct()
         links = checked(pairs)
+        discard(pivots)
         if links.isEmpty():
             break
         roots = with_links(links)
@@ -248,7 +255,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"), F.sum("c").alias("n"))
     blocks = lambda rows: F.floor((rows - 1) / F.lit(BLOCK_ROWS)).cast("int")
     parts = parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main"), blocks(F.col("n") - F.col("largest.c")).alias("last_x"), blocks(F.col("n")).alias("last_y"))
-    rest = members.join(_small(materialize(parts, "near-parts")), "band").withColumn("loose", F.col("root") != F.col("main"))
+    parts = materialize(parts, "near-parts")
+    rest = members.join(_small(parts), "band").withColumn("loose", F.col("root") != F.col("main"))
     rest = materialize(rest.join(facts, ["rep", "f1"]), "near-rest")
     dealt = lambda last: F.pmod(F.xxhash64("rep", "f1"), F.col(last) + 1).cast("int")
     every = lambda last: F.explode(F.sequence(F.lit(0), F.col(last)))
@@ -258,6 +266,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.loose") | (F.col("x.rep") < F.col("y.rep")))
     second = x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(F.col("x.rep").alias("u"), F.col("x.f1").alias("fu"), F.col("y.rep").alias("v"), F.col("y.f1").alias("fv")).distinct()
     links = checked(second)
+    discard(buckets, members, parts, rest)
     if not links.isEmpty():
         roots = with_links(links)
 

@@ -15,6 +15,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -123,7 +124,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(folder)
+    return folder
+
+
+#: Folders made inside each open :func:`scratch`.
+_MADE: list[list[str]] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -136,11 +144,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing reads any more."""
-    folder = getattr(df, "_tideline_folder", None)
-    if folder:
-        delete_folder(df.sparkSession, folder)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        folder = getattr(df, "_tideline_folder", None)
+        if folder:
+            delete_folder(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is written inside is deleted at the end, but for the folders put in the list that is given out."""
+    _MADE.append([])
+    keep: list[str] = []
+    try:
+        yield keep
+    finally:
+        for folder in _MADE.pop():
+            if folder not in keep:
+                delete_folder(spark, folder)
+            elif _MADE:
+                _MADE[-1].append(folder)
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
