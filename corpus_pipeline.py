@@ -19,7 +19,7 @@ from tideline.llm.decontaminate import find_leaks
 from tideline.llm.line_dedup import clean_documents
 from tideline.llm.near_dedup import near_duplicates
 from tideline.llm.quality import fit_bands, keep_good
-from tideline.llm.store import materialize
+from tideline.llm.store import discard, materialize, scratch
 
 #: Ids up to which they are broadcast to the documents; beyond, the same join is by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -83,5 +83,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(done._tideline_folder)
+        discard(docs)
+        docs = done
     return docs
