@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.operators.evidence import autocorrelation
-from tideline.sources.series import series_lengths
+from tideline.sources.series import hashed, series_lengths
 from tideline.sources.tables import settle
 
 
@@ -111,7 +111,7 @@ def bootstrap_samples(forecasts: DataFrame, residuals: DataFrame, count: int = 5
     sizes = residuals.groupBy("series_id").agg(F.count("e").alias("size"))
     rows = forecasts.join(sizes, "series_id").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     keys = [c for c in ("series_id", "win", "pos", "step", "t") if c in forecasts.columns]
-    pick = F.pmod(F.xxhash64(*keys, "s", F.lit(seed)), F.col("size")).cast("int")
+    pick = F.pmod(hashed(*[F.col(k) for k in (*keys, "s")], F.lit(seed)), F.col("size")).cast("int")
     return rows.withColumn("i", pick).join(ranked, ["series_id", "i"]).withColumn("v", F.col("f") + F.col("e")).drop("i", "size", "e")
 
 

@@ -181,7 +181,24 @@ def _(s, d):
     return D.daily_shipments(s, d).select("t", "x")
 
 
-@query("synth_source")
+def _hashed(*key: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 10) AS BIGINT)"
+
+
+def _unit(*key: str) -> str:
+    return f"({_hashed(*key, '42')} / 1099511627776.0::DOUBLE)"
+
+
+_SYNTH = f"""WITH base AS (SELECT CAST(t AS INT) AS t, CAST(d AS INT) AS d FROM range(2000) a(t), range(5) b(d)),
+clean AS (SELECT t, d, sin((1 + 0.5::DOUBLE * d) * (t * (10 * 3.141592653589793::DOUBLE / 1999)) + {_unit("'phase'", "d")} * 6.283185307179586::DOUBLE)
+  + 0.1::DOUBLE * sqrt(-2 * ln(greatest({_unit("'u'", "t", "d")}, 1e-9::DOUBLE))) * cos(6.283185307179586::DOUBLE * {_unit("'v'", "t", "d")}) AS x FROM base),
+seg AS (SELECT CAST(floor({_unit("'start'", "k")} * 1990) AS INT) AS a, CAST(floor(3 + {_unit("'length'", "k")} * 7) AS INT) AS size, CAST(floor({_unit("'kind'", "k")} * 3) AS INT) AS kind, 2 + 3 * {_unit("'height'", "k")} AS height FROM range(20) r(k)),
+inside AS (SELECT *, unnest(range(a, least(a + size, 2000))) AS t FROM seg),
+lift AS (SELECT t, sum(CASE kind WHEN 0 THEN height WHEN 1 THEN height / 2 ELSE height * (t - a) / size END) AS lift FROM inside GROUP BY t)
+SELECT 'dim' || d AS series_id, t, {r6("x + coalesce(lift, 0)")} AS x, CAST(t >= 1200 AND lift IS NOT NULL AS INT) AS y, CASE WHEN t < 1200 THEN 'train' WHEN t < 1600 THEN 'val' ELSE 'test' END AS split FROM clean LEFT JOIN lift USING (t)"""
+
+
+@query("synth_source", _SYNTH)
 def _(s, d):
     return D.synthetic(s, 2000, 5)
 
@@ -401,7 +418,13 @@ def _(s, d):
     return C.stl_decompose(D.hourly_points(s, d), 24).select("series_id", "t", F.col("resid").alias("x"))
 
 
-@query("bootstrap_quantiles")
+_CTES["rs"] = "SELECT d.t, sl * d.t + ic + seasonal AS f, d.x - (sl * d.t + ic + seasonal) AS e FROM daily d JOIN ds ON ds.phase = d.t % 7 CROSS JOIN (SELECT regr_slope(trend, t) AS sl, regr_intercept(trend, t) AS ic FROM dm)"
+_NEEDS["rs"] = ["ds"]
+
+
+@query("bootstrap_quantiles", sql(
+    "SELECT 'ship_daily' AS series_id, t, " + ", ".join(f"{r6(f'quantile_cont(v, {q})')} AS {n}" for n, q in (("p01", 0.01), ("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + f", {r6('quantile_cont(v, 0.9) - quantile_cont(v, 0.1)')} AS uncertainty FROM ("
+    f"SELECT a.t, a.f + b.e AS v FROM rs a CROSS JOIN range(50) r(s) JOIN (SELECT e, row_number() OVER (ORDER BY t) - 1 AS i FROM rs) b ON b.i = {_hashed(chr(39) + 'ship_daily' + chr(39), 'a.t', 's', '7')} % (SELECT count(*) FROM rs)) GROUP BY t", "rs"))
 def _(s, d):
     p = D.daily_shipments(s, d)
     line, season = C.fit_trend_season(p, 7)
@@ -452,7 +475,19 @@ def _(s, d):
     return C.model_agreement([both, b.where("win >= 0")])
 
 
-@query("forecast_models")
+# Naive, seasonal and drift forecasts of a window; of five levels the tenths lie 0.4 of the way from the outer to the next.
+_TENTH = 1.281552 + 0.6 * (2.326348 - 1.281552)
+_MODELS = (
+    "SELECT series_id, win, arr[20] AS f, (SELECT stddev_pop(arr[i + 1] - arr[i]) FROM range(1, 20) r(i)) AS sd, 1 AS grows, arr, 0 AS m FROM wa "
+    "UNION ALL SELECT series_id, win, NULL, (SELECT stddev_pop(arr[i + 10] - arr[i]) FROM range(1, 11) r(i)), 0, arr, 1 FROM wa "
+    "UNION ALL SELECT series_id, win, arr[20], (SELECT stddev_pop(arr[i + 1] - arr[i] - (arr[20] - arr[1]) / 19) FROM range(1, 20) r(i)), 1, arr, 2 FROM wa"
+)
+_CTES["wa"] = "SELECT series_id, win, list(x ORDER BY pos) AS arr FROM wp GROUP BY 1, 2"
+_NEEDS["wa"] = ["wp"]
+
+
+@query("forecast_models", sql(
+    f"SELECT series_id, win, CAST(h AS INT) AS step, {r6('avg(CASE m WHEN 1 THEN arr[11 + h] WHEN 2 THEN f + (arr[20] - arr[1]) / 19 * (h + 1) ELSE f END)')} AS f, {r6(f'avg(2 * {_TENTH!r} * sd * (CASE WHEN grows = 1 THEN sqrt(h + 1) ELSE 1 END))')} AS uncertainty, count(*) AS n_models FROM ({_MODELS}), range(5) q(h) GROUP BY ALL", "wa"))
 def _(s, d):
     w = W.create_windows(points(s, d), WIDTH, STEP)
     return C.ensemble([C.forecast_windows(w, m, 5, n) for m, n in ((C.Naive(), "naive"), (C.SeasonalNaive(10), "seasonal"), (C.Drift(), "drift"))])
@@ -795,7 +830,15 @@ def _(s, d):
     return P.range_prompts(S.derived_signals(p), S.range_cap(D.series_lengths(p), 0.005, 3), P.evidence_hints(window_scores(p), WIDTH, STEP))
 
 
-@query("ask_ranges")
+_CTES |= {
+    "cv": "SELECT *, CASE WHEN t = 0 THEN CAST(0 AS DOUBLE) ELSE x - mean - 0.5 * std END AS ua, CASE WHEN t = 0 THEN CAST(0 AS DOUBLE) ELSE mean - x - 0.5 * std END AS ub FROM cu1",
+    "cw": "SELECT *, sum(ua) OVER w AS va, sum(ub) OVER w AS vb FROM cv WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING)",
+    "cx": "SELECT series_id, t, round(least(10, greatest(va - min(va) OVER w, vb - min(vb) OVER w) / std), 1) AS c FROM cw WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING)",
+}
+_NEEDS |= {"cv": ["cu1"], "cw": ["cv"], "cx": ["cw"]}
+
+
+@query("ask_ranges", sql(f"SELECT series_id, CAST(min(t) AS INT) AS seg_start, CAST(max(t) + 1 AS INT) AS seg_end FROM (SELECT series_id, t, t // {P.PROMPT_POINTS} AS part, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS g FROM cx WHERE c >= 5) GROUP BY series_id, part, g", "cx"))
 def _(s, d):
     p = points(s, d)
     prompts = P.range_prompts(S.derived_signals(p, 0.5), S.range_cap(D.series_lengths(p), 0.005, 3))
@@ -833,7 +876,22 @@ def _(s, d):
     return p.evaluate(p.predict(test))
 
 
-@query("e2e_config")
+def _on_scores(body: str, *ctes: str) -> str:
+    """A query on the end-to-end scores instead of the plain ones."""
+    return sql(body, "ps", *ctes).replace(f"sc AS ({_CTES['sc']})", "sc AS (SELECT series_id, t, y, score FROM ps JOIN te USING (series_id, t))").replace(
+        f"pr AS ({_CTES['pr']})", "pr AS (SELECT s.series_id, s.t, s.y, s.score, CAST(s.score >= h.threshold AS INT) AS pred FROM sc s JOIN bt h USING (series_id))"
+    )
+
+
+_CTES["bt"] = f"SELECT series_id, CASE WHEN f > 0 THEN threshold ELSE 0 END AS threshold FROM (SELECT *, {_F1} AS f FROM ({_COUNTED})) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY f DESC, k) = 1"
+_NEEDS["bt"] = ["sc", "cand"]
+_EVALUATED = (
+    f"SELECT a.series_id, tp, fp, fn, tn, {r6('p')} AS precision, {r6('r')} AS recall, {r6(_F1)} AS f1, n_true, n_pred, pa_f1, pr_auc FROM ({_PR}) a JOIN (" + _SQL["pa_f1"][_SQL["pa_f1"].index("SELECT series_id, n_true, n_pred") :] + ") b USING (series_id) JOIN ("
+    + _SQL["pr_auc"][_SQL["pr_auc"].index("SELECT series_id, round(least(1") :] + ") c USING (series_id)"
+)
+
+
+@query("e2e_config", _on_scores(_EVALUATED, "bt", "pr", "sg", "sy", "lin"))
 def _(s, d):
     train, test = train_and_test(points(s, d))
     config = {"data_processing": {"type": "RawWindowProcessor", "window_size": 20, "stride": 10}, "detection": {"type": "DistanceBasedDetection", "params": {"k": 5}}, "scoring": {"type": "MaxPoolingScoring"}, "postprocessing": {"threshold": {"type": "F1OptimalThreshold"}, "min_anomaly_length": 1, "merge_gap": 0}}

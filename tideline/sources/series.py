@@ -91,6 +91,11 @@ def head(points: DataFrame, count: int) -> DataFrame:
     return points.where(F.col("t") < count)
 
 
+def hashed(*key: Column) -> Column:
+    """Forty bits of the MD5 digest of some values, which any engine can compute."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key])), 1, 10), 16, 10).cast("long")
+
+
 def synthetic(spark: SparkSession, n: int = 2000, dims: int = 1, anomaly_ratio: float = 0.05, seed: int = 42) -> DataFrame:
     """A sine per dimension with deterministic noise and planted segments: ``series_id, t, x, y, split``.
 
@@ -99,7 +104,7 @@ def synthetic(spark: SparkSession, n: int = 2000, dims: int = 1, anomaly_ratio:
     """
 
     def unit(*key: Column) -> Column:
-        return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+        return hashed(*key, F.lit(seed)) / 2.0**40
 
     count = max(1, int(n * anomaly_ratio / 5))
     base = spark.range(n).select(F.col("id").cast("int").alias("t")).crossJoin(F.broadcast(spark.range(dims).select(F.col("id").cast("int").alias("d"))))
