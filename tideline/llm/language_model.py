@@ -23,9 +23,14 @@ estimate has the modified discounts (for counts of 1, 2, and 3 or more) and is
 interpolated with the estimate by one word less of context, the last of these
 with the continuation estimate of the word, and that with the uniform distribution over the vocabulary and one unknown word.
 
-Cases: a null or empty text is one end token; a null id is hashed as an empty
-string; repeated rows get equal results and count as often as they occur; with
-no training rows every token is unknown; an empty table gives an empty result.
+Cases: a null or empty text is one end token; very long texts are counted and
+scored whole; a null id is hashed as an empty string, and a row for which
+``held_out`` is null is trained on; repeated rows get equal results and count
+as often as they occur, and there are no ties to settle; with no training rows
+every token is unknown; an empty table gives an empty result, which has no
+columns of the input but the key. A vocabulary may have up to 2**32 words, and
+the numbers of bigrams and of words up to 64 bits together; beyond, fitting
+is refused.
 """
 
 from __future__ import annotations
@@ -606,7 +611,7 @@ def fold_of(doc_id: Column) -> Column:
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, model: Model | None = None, order: int = 2) -> DataFrame:
     """Scores of all rows by a model trained, at the given order, on those that are not held out (id fold 1 by default)."""
     bound_arrow(docs.sparkSession)
-    out_of = fold_of(F.col(f"`{key}`")) == 1 if held_out is None else held_out
+    out_of = fold_of(F.col(f"`{key}`")) == 1 if held_out is None else F.coalesce(held_out, F.lit(False))
     source = docs.select(F.col(f"`{key}`").alias("__key"), out_of.alias("held_out"), F.col(f"`{text}`").alias("text"))
     model = model or fit(source.where("not held_out"), order=order)
     kind = source.schema["__key"].dataType.simpleString()
