@@ -236,6 +236,27 @@ def test_language_model_of_order_3(spark):
     assert M.score_documents(one, held_out=M.F.lit(True), order=3).count() == 2
 
 
+def test_keys_of_more_than_64_bits(spark, monkeypatch):
+    from tideline.llm import language_model as M
+
+    texts = made_texts(n=40) + [None, "", "the cat sat", "the cat ran"]
+    want = {r.doc_id: r.score for r in M.score_documents(documents(spark, texts), order=3).collect()}
+    monkeypatch.setattr(M, "KEY_BITS", 4)
+    assert M.Mixing.of(500).packing.wide
+    for order in (3, 2):
+        got = {r.doc_id: r.score for r in M.score_documents(documents(spark, texts), order=order).collect()}
+        assert (got == pytest.approx(want)) == (order == 3)
+    r = np.random.default_rng(3)
+    left, right = r.integers(0, 2**40, (2, 2000))
+    wide = M.Mixing(M.Packing(41, 41, True))
+    back = wide.unmixed(wide.mixed(left, right))
+    assert (back[0] == left).all() and (back[1] == right).all()
+    cuts = wide.ranges(7)
+    keys = np.sort(wide.mixed(left, right))
+    sizes = [b - a for a, b in (M.span_of(keys, low, high) for _, low, high in cuts)]
+    assert sum(sizes) == 2000 and min(sizes) > 200
+
+
 def test_op6_scores_by_two_words_of_context(spark, sf):
     from tideline.llm import language_model as M
     from tideline.llm.queries import op6_lm_scoring

@@ -12,7 +12,8 @@ the shards' names and a few sums, never their contents.
 
 At order 3 a bigram's number is its place in the bigram table, and a trigram is
 the number of its first two words' bigram and the id of its third, in 64 bits,
-again without collisions. Bigrams then count by how many distinct words precede
+again without collisions. Where two numbers need more than 64 bits, a key is a
+complex number that holds both. Bigrams then count by how many distinct words precede
 them (at a text's start, where nothing can, by how often they occur), and each
 bigram has its followers seen once, twice and more often. Sorted runs go
 through the shared folder and are deleted as soon as they are merged, and
@@ -21,16 +22,15 @@ trigrams are counted in passes by ranges of bigrams, so a run's disk is reused.
 Workers map the arrays and look up the sorted distinct keys of a batch. An
 estimate has the modified discounts (for counts of 1, 2, and 3 or more) and is
 interpolated with the estimate by one word less of context, the last of these
-with the continuation estimate of the word, and that with the uniform distribution over the vocabulary and one unknown word.
+with the continuation estimate of the word, and that with the uniform
+distribution over the vocabulary and one unknown word.
 
 Cases: a null or empty text is one end token; very long texts are counted and
 scored whole; a null id is hashed as an empty string, and a row for which
 ``held_out`` is null is trained on; repeated rows get equal results and count
 as often as they occur, and there are no ties to settle; with no training rows
 every token is unknown; an empty table gives an empty result, which has no
-columns of the input but the key. A vocabulary may have up to 2**32 words, and
-the numbers of bigrams and of words up to 64 bits together; beyond, fitting
-is refused.
+columns of the input but the key.
 """
 
 from __future__ import annotations
@@ -53,8 +53,12 @@ U64 = np.uint64
 END = mix(np.array([0x0E4D], U64))[0]
 #: Keys that a task holds before it sends them on.
 MOST_KEYS = 2_500_000
+#: Training tokens per shard at most, on average, as a task merges a shard in memory.
+SHARD_TOKENS = 8_000_000
 #: Passes over the texts in which trigrams are counted.
 PASSES = 3
+#: Bits up to which two numbers are one key; beyond, a key is a pair of them.
+KEY_BITS = 64
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +88,91 @@ def combine(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[edge], np.add.reduceat(count, edge, axis=0) if len(edge) else count
 
 
+@dataclass(frozen=True)
+class Packing:
+    """Two numbers as one key that sorts by the first, then the second: 64 bits, or a complex number where they need more.
+
+    Complex numbers sort by their real parts first, and either part holds an
+    integer of 53 bits exactly.
+    """
+
+    first_bits: int
+    second_bits: int
+    wide: bool
+
+    @classmethod
+    def of(cls, first: int, second: int) -> Packing:
+        """For numbers up to these."""
+        a, b = (max(x, 1).bit_length() for x in (first, second))
+        if max(a, b) > 53:
+            raise ValueError("a table of more than 2**53 n-grams")
+        return cls(a, b, a + b > KEY_BITS)
+
+    @property
+    def kind(self):
+        return np.complex128 if self.wide else U64
+
+    def pack(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if not self.wide:
+            return first.astype(U64) << U64(self.second_bits) | second.astype(U64)
+        key = np.empty(len(first), np.complex128)
+        key.real, key.imag = first, second
+        return key
+
+    def unpack(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.wide:
+            return key.real.astype(np.int64), key.imag.astype(np.int64)
+        return (key >> U64(self.second_bits)).astype(np.int64), (key & U64((1 << self.second_bits) - 1)).astype(np.int64)
+
+    def least(self, first: int) -> int | complex | None:
+        """The least key with this first number; None past the last one."""
+        if first >= 1 << (64 - self.second_bits) and not self.wide:
+            return None
+        return complex(first, 0) if self.wide else first << self.second_bits
+
+
+@dataclass(frozen=True)
+class Mixing:
+    """Pairs of word ids as keys that are spread evenly, however frequent a word or pair is; one to one."""
+
+    packing: Packing
+
+    @classmethod
+    def of(cls, vocabulary: int) -> Mixing:
+        packing = Packing.of(vocabulary, vocabulary)
+        return cls(packing if packing.wide else Packing(32, 32, False))
+
+    def mixed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not self.packing.wide:
+            return mix(self.packing.pack(left, right))
+        # Each number in turn is changed by a hash of the other.
+        mask = U64((1 << self.packing.first_bits) - 1)
+        right = right.astype(U64) ^ (mix(left.astype(U64)) & mask)
+        return self.packing.pack(left.astype(U64) ^ (mix(right) & mask), right)
+
+    def unmixed(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.packing.wide:
+            return self.packing.unpack(unmix(key))
+        mask = U64((1 << self.packing.first_bits) - 1)
+        left, right = (x.astype(U64) for x in self.packing.unpack(key))
+        left = left ^ (mix(right) & mask)
+        return left.astype(np.int64), (right ^ (mix(left) & mask)).astype(np.int64)
+
+    def ranges(self, shards: int) -> list[tuple[int, int | complex, int | complex | None]]:
+        """Even ranges of keys: number, first key, and the first key past the range."""
+        if not self.packing.wide:
+            cuts = [-(-(k << 64) // shards) for k in range(shards)]
+        else:
+            cuts = [complex(-(-(k << self.packing.first_bits) // shards), 0) for k in range(shards)]
+        return [(k, cut, after) for k, (cut, after) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))]
+
+
+def span_of(keys: np.ndarray, low: int | complex, high: int | complex | None) -> tuple[int, int]:
+    """Where sorted keys from ``low`` on and below ``high`` are."""
+    a, b = (len(keys) if x is None else int(np.searchsorted(keys, np.array(x, keys.dtype))) for x in (low, high))
+    return a, b
+
+
 def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Which of some equal ranges of the 64-bit space a hash lies in."""
     return ((hashes >> U64(32)) * U64(shards)) >> U64(32)
@@ -119,7 +208,7 @@ class Table:
     folder: str
     names: list[str]
     sizes: list[int]
-    firsts: list[int]
+    firsts: list[int | complex]
     columns: list[str]
     narrow: bool = False
     _maps: list | None = None
@@ -139,7 +228,7 @@ class Table:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted distinct keys: their places in the table (-1: absent) and their values (0: absent)."""
         place, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
-        cuts = [0, *np.searchsorted(keys, np.array(self.firsts[1:], U64)).tolist(), len(keys)]
+        cuts = [0, *np.searchsorted(keys, np.array(self.firsts[1:], keys.dtype)).tolist(), len(keys)]
         before = 0
         for k, arrays in enumerate(self.maps()):
             a, b = cuts[k], cuts[k + 1]
@@ -271,17 +360,17 @@ def _sorted_runs(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], fo
     return sorted(r["name"] for r in texts.mapInArrow(tidy(run), "name string").collect())
 
 
-def _merged(spark: SparkSession, folder: str, names: list[str], shards: list[tuple[int, int, int]], work: Callable[[int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work(shard, keys, counts)`` on the sums of all runs, for shards given as number, first and last key."""
+def _merged(spark: SparkSession, folder: str, names: list[str], shards: list[tuple], work: Callable[[int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, kind=U64) -> DataFrame:
+    """``work(shard, keys, counts)`` on the sums of all runs, for shards given as number, first key and first key past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column(0).to_pylist():
                 shard, low, high = shards[number]
-                held = ([np.zeros(0, U64)], [np.zeros(0, np.int64)])
+                held = ([np.zeros(0, kind)], [np.zeros(0, np.int64)])
                 for name in names:
                     key, count = load_array(folder, f"{name}.key.npy"), Narrow(folder, f"{name}.count")
-                    a, b = int(np.searchsorted(key, U64(low))), int(np.searchsorted(key, U64(high), "right"))
+                    a, b = span_of(key, low, high)
                     if a == b:
                         continue
                     held[0].append(np.array(key[a:b]))
@@ -333,8 +422,10 @@ class Model:
     low: list[float]
     #: Words by how many distinct words precede them: one, two, three or more.
     low_counts: list[int]
-    #: At order 3: trigrams, their discounts, and per bigram its count in the lower estimate and its followers seen once, twice, more often.
+    mixing: Mixing
+    #: At order 3: trigrams and their keys, their discounts, and per bigram its count in the lower estimate and its followers seen once, twice, more often.
     trigrams: Table | None = None
+    packing: Packing | None = None
     top: list[float] | None = None
     lower: Figures | None = None
     followers: list[Figures] | None = None
@@ -370,7 +461,7 @@ class Model:
         found, back = np.unique(number[now - 1], return_inverse=True)
         weight = sum(d * f.at(found) for d, f in zip(self.top[1:], self.followers, strict=True))[back] / total
         known = ids[now] >= 0
-        key, which = np.unique(trigram_keys(number[now - 1][known], ids[now][known], self.words.size), return_inverse=True)
+        key, which = np.unique(self.packing.pack(number[now - 1][known], ids[now][known]), return_inverse=True)
         seen = np.zeros(len(now))
         seen[known] = self.trigrams.find(key)[1][which]
         out = p.copy()
@@ -400,10 +491,9 @@ class Model:
         before = np.empty_like(which)
         before[1:] = which[:-1]
         before[first[:-1]] = np.searchsorted(key, END)
-        pair = (place[before].astype(U64) << U64(32)) | ids.astype(U64)
         known = np.flatnonzero((place[before] >= 0) & (ids >= 0))
         seen, occur, number = np.zeros(len(tokens)), np.zeros(len(tokens)), np.full(len(tokens), -1)
-        hashed, back = np.unique(mix(pair[known]), return_inverse=True)
+        hashed, back = np.unique(self.mixing.mixed(place[before[known]], ids[known]), return_inverse=True)
         at, counted = self.bigrams.find(hashed)
         occur[known], number[known] = counted[back], at[back]
         seen[known] = counted[back] if self.lower is None else self._of_bigrams(self.lower, at)[back]
@@ -424,18 +514,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0, *(min(max(d, 0.05), c - 0.05) for c, d in enumerate(found, 1))]
 
 
-def trigram_keys(bigrams: np.ndarray, words: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Bigrams' numbers and words' ids, packed."""
-    return bigrams.astype(U64) << U64(max(vocabulary, 1).bit_length()) | words.astype(U64)
-
-
-def _word_figures(pair: np.ndarray, count: np.ndarray, span: int) -> pa.RecordBatch:
+def _word_figures(left: np.ndarray, right: np.ndarray, count: np.ndarray, span: int) -> pa.RecordBatch:
     """What counted pairs of word ids add to the figures of either word."""
     kind = np.minimum(count, 3) - 1
-    left, right = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
     of, back = np.unique(np.concatenate((left, right)), return_inverse=True)
-    table = np.bincount(back * 5 + np.concatenate((kind, np.full(len(pair), 3))), minlength=5 * len(of)).reshape(-1, 5)
-    table[:, 4] = np.bincount(back[: len(pair)], count, minlength=len(of))
+    table = np.bincount(back * 5 + np.concatenate((kind, np.full(len(left), 3))), minlength=5 * len(of)).reshape(-1, 5)
+    table[:, 4] = np.bincount(back[: len(left)], count, minlength=len(of))
     return _parts(of, table, of // span)
 
 
@@ -463,8 +547,8 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
     texts = texts.select(F.col("text"))
     words, n_tokens = count_words(texts, folder, shards)
     vocabulary = words.size
-    if vocabulary >= 2**32:
-        raise ValueError("the vocabulary exceeds 2**32 words")
+    mixing = Mixing.of(vocabulary)
+    shards = max(shards, -(-n_tokens // SHARD_TOKENS))
     span = max(1, -(-vocabulary // shards))
 
     def pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -476,7 +560,7 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[begins] = U64(words.find(np.array([END], U64))[0][0])
-        return mix((before << U64(32)) | ids), ids, begins
+        return mixing.mixed(before, ids), ids, begins
 
     def merge(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Store each shard; at order 2, pass on what it holds per word."""
@@ -485,12 +569,12 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
         store_narrow(folder, f"{name}.value", count)
         yield _told(shard, name, len(key), *_tallies(count))
         if order == 2:
-            yield _word_figures(unmix(key), count, span)
+            yield _word_figures(*mixing.unmixed(key), count, span)
 
     runs = new_folder(spark, "language-model-runs")
     names = _sorted_runs(texts, lambda c: pairs_of(c)[0], runs)
-    ranges = [(k, -(-(k << 64) // shards), -(-((k + 1) << 64) // shards) - 1) for k in range(shards)]
-    parts = materialize(_merged(spark, runs, names, ranges, merge, PARTS), "language-model-stats")
+    ranges = mixing.ranges(shards)
+    parts = materialize(_merged(spark, runs, names, ranges, merge, PARTS, mixing.packing.kind), "language-model-stats")
     delete_folder(spark, runs)
     rows = _heard(parts)
     bigrams = Table(folder, [r[1] for r in rows], [r[2] for r in rows], [ranges[r[0]][1] for r in rows], ["key", "value"], narrow=True)
@@ -498,7 +582,7 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
     more: dict = {}
     if order == 3:
         discard(parts)
-        parts, high, more = _fit_trigrams(texts, folder, pairs_of, vocabulary, bigrams, span)
+        parts, high, more = _fit_trigrams(texts, folder, pairs_of, vocabulary, mixing, bigrams, span)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -514,18 +598,16 @@ def fit(texts: DataFrame, shards: int | None = None, folder: str | None = None,
     discard(parts)
     low = discounts(*[sum(r[c] for r in stats) for c in ("n1", "n2", "n3", "n4")])
     low_counts = [sum(r["n1"] for r in stats), sum(r["n2"] for r in stats), sum(r["more"] for r in stats)]
-    return Model(words, bigrams, [r["name"] for r in stats], span, n_tokens, bigrams.size, high, low, low_counts, **more)
+    return Model(words, bigrams, [r["name"] for r in stats], span, n_tokens, bigrams.size, high, low, low_counts, mixing, **more)
 
 
-def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary: int, bigrams: Table, span: int) -> tuple[DataFrame, list[float], dict]:
+def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary: int, mixing: Mixing, bigrams: Table, span: int) -> tuple[DataFrame, list[float], dict]:
     """Figures per word and discounts of the lower order, and the model's fields of order 3."""
     spark = texts.sparkSession
-    if bigrams.size.bit_length() + max(vocabulary, 1).bit_length() > 64:
-        raise ValueError("the numbers of bigrams and words exceed 64 bits")
-    shift = max(vocabulary, 1).bit_length()
+    packing = Packing.of(bigrams.size, vocabulary)
     start = np.concatenate(([0], np.cumsum(bigrams.sizes))).astype(int).tolist()
     # Shards are those of the bigrams: by the first two words, or by the last two.
-    ranges = [(k, start[k] << shift, (start[k + 1] << shift) - 1) for k in range(len(bigrams.sizes)) if bigrams.sizes[k]]
+    ranges = [(k, packing.least(start[k]), packing.least(start[k + 1])) for k in range(len(bigrams.sizes)) if bigrams.sizes[k]]
 
     def numbers(pairs: np.ndarray) -> np.ndarray:
         key, back = np.unique(pairs, return_inverse=True)
@@ -542,19 +624,19 @@ def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary:
         opening = later[back < 0]
         if len(opening):
             ahead[opening] = ids[-1]
-        return trigram_keys(numbers(pairs), ahead, vocabulary)
+        return packing.pack(numbers(pairs), ahead)
 
     def lower_counts(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = (key >> U64(shift)).astype(np.int64) - start[shard]
-        each = np.where((key & U64((1 << shift) - 1)) == U64(vocabulary), count, 1)
+        number, before = packing.unpack(key)
+        at, each = number - start[shard], np.where(before == vocabulary, count, 1)
         total = np.bincount(at, each, minlength=bigrams.sizes[shard]).astype(np.int64)
         name = _new_name("lower", shard)
         store_narrow(folder, name, total)
         yield _told(shard, name, *_tallies(total))
-        yield _word_figures(unmix(np.array(bigrams.maps()[shard]["key"])), total, span)
+        yield _word_figures(*mixing.unmixed(np.array(bigrams.maps()[shard]["key"])), total, span)
 
     runs = new_folder(spark, "language-model-runs")
-    parts = materialize(_merged(spark, runs, _sorted_runs(texts, preceded, runs), ranges, lower_counts, PARTS), "language-model-stats")
+    parts = materialize(_merged(spark, runs, _sorted_runs(texts, preceded, runs), ranges, lower_counts, PARTS, packing.kind), "language-model-stats")
     delete_folder(spark, runs)
     rows = _heard(parts)
     sizes = [bigrams.sizes[r[0]] for r in rows]
@@ -562,7 +644,7 @@ def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary:
     high = discounts(*[sum(r[2 + k] for r in rows) for k in range(4)])
 
     def trigrams(shard: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = (key >> U64(shift)).astype(np.int64) - start[shard]
+        at = packing.unpack(key)[0] - start[shard]
         name = _new_name("trigrams", shard)
         store_array(folder, f"{name}.key.npy", key)
         store_narrow(folder, f"{name}.value", count)
@@ -575,23 +657,24 @@ def _fit_trigrams(texts: DataFrame, folder: str, pairs_of: Callable, vocabulary:
         some = ranges[turn * len(ranges) // PASSES : (turn + 1) * len(ranges) // PASSES]
         if not some:
             continue
-        low, high_key = bigrams.firsts[some[0][0]], bigrams.firsts[some[-1][0] + 1] if some[-1][0] + 1 < len(bigrams.firsts) else 2**64
+        # The bigrams of this pass: those of its shards.
+        cuts = [bigrams.firsts[some[0][0]], *bigrams.firsts[some[-1][0] + 1 :][:1]]
 
-        def keys_of(column: pa.Array, low: int = low, high: int = high_key) -> np.ndarray:
+        def keys_of(column: pa.Array, cuts: list = cuts) -> np.ndarray:
             pairs, ids, begins = pairs_of(column)
             later = np.flatnonzero(~begins)
             context = pairs[later - 1]
-            later, context = (x[(context >= U64(low)) & (context <= U64(high - 1))] for x in (later, context))
-            return trigram_keys(numbers(context), ids[later], vocabulary)
+            inside = np.searchsorted(np.array(cuts, context.dtype), context, "right") == 1
+            return packing.pack(numbers(context[inside]), ids[later[inside]])
 
         runs = new_folder(spark, "language-model-runs")
-        told += _heard(_merged(spark, runs, _sorted_runs(texts, keys_of, runs), some, trigrams, PARTS))
+        told += _heard(_merged(spark, runs, _sorted_runs(texts, keys_of, runs), some, trigrams, PARTS, packing.kind))
         delete_folder(spark, runs)
     told.sort()
-    table = Table(folder, [r[1] for r in told], [r[2] for r in told], [start[r[0]] << shift for r in told], ["key", "value"], narrow=True)
+    table = Table(folder, [r[1] for r in told], [r[2] for r in told], [packing.least(start[r[0]]) for r in told], ["key", "value"], narrow=True)
     followers = [Figures(folder, [f"{r[1]}.n{kind}" for r in told], [bigrams.sizes[r[0]] for r in told]) for kind in (1, 2, 3)]
     top = discounts(*[sum(r[3 + k] for r in told) for k in range(4)])
-    return parts, high, {"trigrams": table, "top": top, "lower": lower, "followers": followers}
+    return parts, high, {"trigrams": table, "packing": packing, "top": top, "lower": lower, "followers": followers}
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
