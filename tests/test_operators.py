@@ -220,3 +220,39 @@ def test_counts_up_to_a_value(spark):
             below = values[x.series_id][values[x.series_id] < x.x] if strict else values[x.series_id][values[x.series_id] <= x.x]
             assert (x.k, x.s) == (len(below), pytest.approx(below.sum()))
     assert [x.x for x in ranked(train).where("series_id = 'a'").orderBy("k").collect()] == sorted(values["a"].tolist())
+
+
+def test_published_layout(spark, tmp_path):
+    import pickle
+
+    from tideline.sources.series import load_category, read_published
+
+    r = np.random.default_rng(1)
+    for split, lengths in (("train", (40, 30)), ("eval", (20, 11))):
+        (tmp_path / "point" / split).mkdir(parents=True)
+        data = {"series": [r.normal(size=(n, 1)) for n in lengths], "anom": [[[(2, 5), (8, 9)]] for _ in lengths]}
+        (tmp_path / "point" / split / "data.pkl").write_bytes(pickle.dumps(data))
+    train, evaluation = (read_published(spark, str(tmp_path), "point", x) for x in ("train", "eval"))
+    assert [x.y for x in train.where("series_id = 'point/train/000001'").orderBy("t").collect()][:10] == [0, 0, 1, 1, 1, 0, 0, 0, 1, 0]
+    by_rows = load_category(train, evaluation, "point", "rows").groupBy("split").agg(F.count("t").alias("n"), F.sum("y").alias("y")).collect()
+    assert {(x.split, x.n, x.y) for x in by_rows} == {("train", 70, 0), ("val", 15, 4), ("test", 16, 4)}
+    assert load_category(train, evaluation, "point").where("split = 'val'").count() == 10 + 5
+    (tmp_path / "point" / "eval" / "data.pkl").write_bytes(b"cos\nsystem\n(S'true'\ntR.")
+    with pytest.raises(Exception, match="not allowed"):
+        evaluation.count()
+
+
+def test_records_and_summary(spark, tmp_path):
+    import json
+
+    from tideline.plans.report import write_summary
+
+    rows = points(spark, [0.0] * 20 + [9.0] * 5, [0] * 18 + [1] * 7).withColumn("pred", (F.col("x") > 5).cast("int"))
+    scores = spark.createDataFrame([("a", w, float(w)) for w in range(8)], "series_id string, win int, score double")
+    record = M.series_records(rows, S.extract_segments(rows), scores, signals=S.derived_signals(rows, 0.5), seconds=1.5).first()
+    assert (record["class"], record.overlap, record.seconds, len(record.top_windows)) == ("partial_match", 5, 1.5, 5)
+    assert record.max_cusum > 0 and record.argmax_cusum == 24
+    runs = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 1.0), ("b", "x", 0.25)], "config string, category string, f1 double")
+    write_summary(runs, ["f1"], str(tmp_path / "s"))
+    (part,) = (tmp_path / "s").glob("part-*.json")
+    assert json.loads(part.read_text()) == {"n_runs": 3, "n_categories": 2, "configs": [{"config": "a", "n_runs": 2, "f1": 0.75}, {"config": "b", "n_runs": 1, "f1": 0.25}]}

@@ -276,6 +276,13 @@ def trend_break(windows: DataFrame, width: int) -> DataFrame:
     return g.select(*KEY, "slope_before", "slope_after", slope.alias("slope_diff"), F.abs(F.col("b2") - F.col("b1")).alias("level_diff"), (slope > bound).alias("trend_break"))
 
 
+def shape(windows: DataFrame) -> DataFrame:
+    """Skewness and excess kurtosis of each window; null for a constant one."""
+    finite = lambda c: F.when(F.isnan(c), None).otherwise(c)
+    g = windows.groupBy(*KEY).agg(F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
+    return g.select(*KEY, *[finite(F.col(c)).alias(c) for c in ("skewness", "kurtosis")])
+
+
 # --- together -----------------------------------------------------------------
 
 # Weights of the score; they sum to 1.

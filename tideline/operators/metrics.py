@@ -84,10 +84,16 @@ def score_profile(scores: DataFrame) -> DataFrame:
     return scores.groupBy("series_id").agg(F.min("score").alias("min"), F.max("score").alias("max"), F.avg("score").alias("mean"), F.countDistinct("score").alias("n_distinct"))
 
 
-def series_records(rows: DataFrame, segments: DataFrame, window_scores: DataFrame, k: int = 5, most: int = 20) -> DataFrame:
-    """One nested record per series for a JSON log: metrics, first segments, top windows."""
+def series_records(rows: DataFrame, segments: DataFrame, window_scores: DataFrame, k: int = 5, most: int = 20, signals: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
+    """One nested record per series for a JSON log: metrics, overlap class, first segments, top windows.
+
+    With ``signals`` (of :func:`scoring.derived_signals`, labelled) also the CUSUM diagnostics, with ``seconds`` the time of the run.
+    """
     first = segments.withColumn("r", F.row_number().over(by_series().orderBy("seg_start")))
     seg = first.groupBy("series_id").agg(F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.struct("seg_start", "seg_end")))).alias("segments"), (F.count(F.lit(1)) > most).alias("more_segments"))
     ranked = window_scores.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("score").desc(), "win"))).where(F.col("r") <= k)
     top = ranked.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("r", "win", "score"))).alias("top_windows"))
-    return point_metrics(rows).join(seg, "series_id", "left").join(top, "series_id", "left")
+    out = point_metrics(rows).join(classify_ranges(segments, rows), "series_id").join(seg, "series_id", "left").join(top, "series_id", "left")
+    if signals is not None:
+        out = out.join(signal_diagnostics(signals), "series_id", "left")
+    return out if seconds is None else out.withColumn("seconds", F.lit(float(seconds)))

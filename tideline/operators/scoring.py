@@ -59,6 +59,11 @@ def smooth_gaussian(point_scores: DataFrame, sigma: float = 2.0) -> DataFrame:
     return asked.join(point_scores.select("series_id", "t", "score"), ["series_id", "t"]).groupBy("series_id", F.col("at").alias("t")).agg(F.sum(F.col("w") * F.col("score")).alias("score"))
 
 
+def percent_ranks(scores: DataFrame) -> DataFrame:
+    """Window scores with ``percent_rank``, the share of the series' other windows that score less."""
+    return scores.withColumn("percent_rank", F.percent_rank().over(by_series().orderBy("score")))
+
+
 # --- range detection ----------------------------------------------------------
 
 

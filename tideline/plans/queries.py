@@ -660,6 +660,26 @@ def _(s, d):
     return S.postprocess(p, S.fixed_threshold(p, 75.0), 2, 3)
 
 
+_MOMENTS = "SELECT series_id, win, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3, avg(power(x - mu, 4)) AS m4 FROM (SELECT *, avg(x) OVER (PARTITION BY series_id, win) AS mu FROM wp) GROUP BY 1, 2"
+
+
+@query("window_shape", sql(f"SELECT series_id, win, {r6('m3 / power(m2, 1.5)')} AS skewness, {r6('m4 / (m2 * m2) - 3')} AS kurtosis FROM ({_MOMENTS})", "wp"))
+def _(s, d):
+    return E.shape(W.window_points(points(s, d), WIDTH, STEP))
+
+
+@query("score_ranks", sql(f"SELECT series_id, win, score, {r6('percent_rank() OVER (PARTITION BY series_id ORDER BY score)')} AS percent_rank FROM (SELECT series_id, win, {r6('score')} AS score FROM ws)", "ws"))
+def _(s, d):
+    scores = window_scores(points(s, d))
+    return S.percent_ranks(scores.select("series_id", "win", (F.round("score", 6) + 0.0).alias("score")))
+
+
+@query("report_summary", sql("SELECT n_runs, n_categories, c.config, c.n AS config_runs, " + r6("c.f1") + " AS f1 FROM (SELECT count(*) AS n_runs, count(DISTINCT category) AS n_categories FROM runs), (SELECT config, count(*) AS n, avg(f1) AS f1 FROM runs GROUP BY 1) c", "runs"))
+def _(s, d):
+    one = R.summary(runs(s, d), ["f1"]).select("n_runs", "n_categories", F.explode("configs").alias("c"))
+    return one.select("n_runs", "n_categories", "c.config", F.col("c.n_runs").alias("config_runs"), "c.f1")
+
+
 # --- evaluation -------------------------------------------------------------------
 
 _CONF = "SELECT series_id, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 0 AND pred = 0) AS tn FROM pr GROUP BY 1"

@@ -41,3 +41,15 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def write_json(rows: DataFrame, path: str) -> None:
     """One JSON object per line."""
     rows.write.mode("overwrite").json(path)
+
+
+def summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row for a summary document: numbers of runs and of categories, and per configuration the means of its metrics."""
+    means = runs.groupBy("config").agg(F.count(F.lit(1)).alias("n_runs"), *[F.avg(m).alias(m) for m in metrics])
+    each = F.sort_array(F.collect_list(F.struct("config", "n_runs", *metrics))).alias("configs")
+    return means.agg(each).crossJoin(F.broadcast(runs.agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("category").alias("n_categories")))).select("n_runs", "n_categories", "configs")
+
+
+def write_summary(runs: DataFrame, metrics: list[str], path: str) -> None:
+    """The summary as one JSON document."""
+    summary(runs, metrics).coalesce(1).write.mode("overwrite").json(path)

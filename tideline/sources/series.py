@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import pickle
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,13 +67,58 @@ def split_points(points: DataFrame, train: float = 0.6, validation: float = 0.2)
     return sized.withColumn("split", split).withColumn("y", F.when(F.col("split") == "train", 0).otherwise(F.col("y")))
 
 
-def load_category(train: DataFrame, evaluation: DataFrame, category: str) -> DataFrame:
-    """A category's points as one dataset: training labels 0, the evaluation part halved by row into ``val`` and ``test``."""
-    half = evaluation.join(series_lengths(evaluation), "series_id")
-    halves = half.withColumn("split", F.when(F.col("t") < F.floor(F.col("n") / 2), "val").otherwise("test")).drop("n")
+def load_category(train: DataFrame, evaluation: DataFrame, category: str, by: str = "series") -> DataFrame:
+    """A category's points as one dataset: training labels 0, the evaluation part halved into ``val`` and ``test``.
+
+    ``by="series"`` halves each series; ``by="rows"`` all of its rows, series after series in order of their ids.
+    """
+    lengths = series_lengths(evaluation)
+    if by == "series":
+        place, half = F.col("t"), F.floor(F.col("n") / 2)
+    elif by == "rows":
+        # One row per series is put in order, not one per point.
+        ahead = Window.orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1)
+        total = lengths.agg(F.floor(F.sum("n") / 2).alias("half"))
+        lengths = lengths.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).crossJoin(F.broadcast(total))
+        place, half = F.col("ahead") + F.col("t"), F.col("half")
+    else:
+        raise ValueError(by)
+    halves = evaluation.join(lengths, "series_id").withColumn("split", F.when(place < half, "val").otherwise("test")).select(*evaluation.columns, "split")
     return train.withColumn("y", F.lit(0)).withColumn("split", F.lit("train")).unionByName(halves).withColumn("category", F.lit(category))
 
 
+class _ArraysOnly(pickle.Unpickler):
+    """Reads arrays, lists, tuples, dicts and numbers; a file that names anything else is refused."""
+
+    def find_class(self, module: str, name: str) -> Any:
+        if (module.split(".")[0], name) in {("numpy", "ndarray"), ("numpy", "dtype"), ("numpy", "scalar"), ("numpy", "_reconstruct"), ("numpy", "_frombuffer")}:
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} is not allowed")
+
+
+def read_published(spark: SparkSession, base: str, category: str, split: str) -> DataFrame:
+    """Points of the published layout ``<category>/<split>/data.pkl``: a dict of ``series`` (arrays of points by dimensions) and ``anom`` (half-open segments per dimension).
+
+    A dimension is a series ``<category>/<split>/<number>[/<dimension>]``; a point is labelled if a segment of any dimension holds it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for raw in batch["content"]:
+                data = _ArraysOnly(io.BytesIO(raw)).load()
+                for number, (values, segments) in enumerate(zip(data["series"], data["anom"], strict=True)):
+                    values = np.asarray(values, float).reshape(len(values), -1)
+                    y = np.zeros(len(values), np.int32)
+                    for start, end in (s for own in segments for s in own):
+                        y[int(start) : int(end)] = 1
+                    for d in range(values.shape[1]):
+                        name = f"{category}/{split}/{number:06d}" + (f"/{d}" if values.shape[1] > 1 else "")
+                        yield pd.DataFrame({"series_id": name, "t": np.arange(len(values), dtype=np.int32), "x": values[:, d], "y": y})
+
+    files = spark.read.format("binaryFile").load(f"{base}/{category}/{split}/data.pkl").select("content")
+    return files.mapInPandas(run, "series_id string, t int, x double, y int")
+
+
 def load_series(spark: SparkSession, path: str, category: str, split: str) -> DataFrame:
     """Points of one category and split from a dataset partitioned by both, as :func:`write_series` leaves it."""
     return spark.read.parquet(path).where((F.col("category") == category) & (F.col("split") == split)).drop("category", "split")
