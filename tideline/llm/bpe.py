@@ -8,7 +8,8 @@ queued is stale and is skipped. The work is close to linear in the length, so
 one pre-token of megabytes is no special case.
 
 Cases: a null or empty text has no tokens; rows are encoded one by one, so
-repeated rows get equal results; an empty table gives an empty result; other
+repeated rows get equal results; very long texts are encoded whole; of equal
+ranks in a pre-token the leftmost is merged first; an empty table gives an empty result; other
 columns pass through unless their name is one of the results'. No string is
 treated as a special token.
 """

@@ -11,8 +11,8 @@ The trie belongs to a worker, lives across batches and starts anew beyond
 longer than ``MOST_DEPTH`` bytes run through the same recurrence without
 being inserted. There is no shuffle.
 
-Cases: a null or empty text has no pre-tokens and no tokens; repeated rows get
-equal results; ties between segmentations go to the one with fewer pieces; an
+Cases: a null or empty text has no pre-tokens and no tokens; very long texts are
+counted whole; repeated rows get equal results; ties between segmentations go to the one with fewer pieces; an
 empty table gives an empty result; other columns pass through unless their
 name is one of the results'.
 """

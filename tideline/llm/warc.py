@@ -12,7 +12,9 @@ names only those of tasks that were committed, so leftovers are never read.
 Cases: a null payload is empty; a null URL leaves out the target header; a
 null id is never the response of a group that has an id, and a group of null
 ids only are all responses; rows that repeat the smallest id are all
-responses; an empty table gives an empty index; other columns are not stored.
+responses, so ties need no settling; very long payloads are one record each; an
+empty table gives an empty index; other columns, whatever their names, are not
+stored.
 """
 
 from __future__ import annotations
