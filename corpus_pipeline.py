@@ -4,7 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``, with ``n_chars`` kept true.
 
-Null ids are never dropped as copies or leaks, since nothing can name them;
+Very long texts go through whole, columns of any name pass unchanged, and an
+empty table gives an empty result. Null ids are never dropped as copies or leaks, since nothing can name them;
 null texts fail the quality rules. Of rows that repeat both id and words one
 stays after the near-duplicate stage; other texts under a repeated id stay.
 """
