@@ -169,3 +169,25 @@ def test_long_series_are_asked_about_in_parts(spark):
 
     found = [[(r.start, r.end) for r in x.ranges] for x in parse_ranges(ask_ranges(prompts, Echo(), 0.5)).orderBy("part").collect()]
     assert found == [[(25, 30)], [(30, 35)]]
+
+
+def test_answered_prompts_are_not_asked_again(spark, tmp_path):
+    from tideline.reasoning.backends import ask_cached
+
+    calls = str(tmp_path / "calls")
+
+    class Counting:
+        def generate(self, system, user, temperature):
+            with open(calls, "a") as f:
+                f.write(user + "\n")
+            if user == "bad":
+                raise RuntimeError("busy")
+            return user.upper()
+
+    def run(*texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "series_id int, prompt string")
+        return [(r.prompt, r.reply, r.error) for r in ask_cached(df, Counting(), "s", str(tmp_path / "cache"), attempts=1).orderBy("series_id").collect()]
+
+    assert run("a", "b", "a", "bad") == [("a", "A", None), ("b", "B", None), ("a", "A", None), ("bad", None, "busy")]
+    assert run("b", "c", "bad") == [("b", "B", None), ("c", "C", None), ("bad", None, "busy")]
+    assert sorted(open(calls).read().split()) == ["a", "b", "bad", "bad", "c"]

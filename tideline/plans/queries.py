@@ -674,6 +674,22 @@ def _(s, d):
     return S.percent_ranks(scores.select("series_id", "win", (F.round("score", 6) + 0.0).alias("score")))
 
 
+_RANKED = "SELECT config, v, rank() OVER (PARTITION BY category ORDER BY v) + (count(*) OVER (PARTITION BY category, v) - 1) / 2.0 AS r FROM (SELECT category, config, avg(f1) AS v FROM runs GROUP BY 1, 2)"
+
+
+@query("friedman", sql(f"SELECT config, {r6('m')} AS mean_rank, n, {r6('12 * n / 30.0::DOUBLE * sum(power(m - 3, 2)) OVER ()')} AS chi2 FROM (SELECT config, CAST(avg(r) AS DOUBLE) AS m, count(*) AS n FROM ({_RANKED}) GROUP BY 1)", "runs"))
+def _(s, d):
+    return R.friedman(runs(s, d), "f1")
+
+
+_SIGNED = "SELECT d, CAST(rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS DOUBLE) AS r FROM (SELECT avg(f1) FILTER (config = '1-URGENT') - avg(f1) FILTER (config = '5-LOW') AS d FROM runs GROUP BY category) WHERE d <> 0"
+
+
+@query("wilcoxon", sql(f"SELECT n, p AS w_plus, m AS w_minus, {r6('(p - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)')} AS z FROM (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS p, coalesce(sum(r) FILTER (d < 0), 0) AS m FROM ({_SIGNED}))", "runs"))
+def _(s, d):
+    return R.wilcoxon(runs(s, d), "f1", "1-URGENT", "5-LOW")
+
+
 @query("report_summary", sql("SELECT n_runs, n_categories, c.config, c.n AS config_runs, " + r6("c.f1") + " AS f1 FROM (SELECT count(*) AS n_runs, count(DISTINCT category) AS n_categories FROM runs), (SELECT config, count(*) AS n, avg(f1) AS f1 FROM runs GROUP BY 1) c", "runs"))
 def _(s, d):
     one = R.summary(runs(s, d), ["f1"]).select("n_runs", "n_categories", F.explode("configs").alias("c"))

@@ -15,10 +15,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.reasoning.prompts import RANGE_SYSTEM, WINDOW_SYSTEM
+from tideline.sources.tables import settle
 
 
 class Backend(Protocol):
@@ -122,6 +124,21 @@ def ask(prompts: DataFrame, backend: Backend, system: str | None = None, tempera
     return prompts.mapInPandas(run, schema)
 
 
+def ask_cached(prompts: DataFrame, backend: Backend, system: str, cache: str, temperature: float = 0.0, attempts: int = 3) -> DataFrame:
+    """As :func:`ask`, but prompts that were answered before take the reply from the table at ``cache``, and new replies are added to it."""
+    spark = prompts.sparkSession
+    keyed = prompts.withColumn("__key", F.sha2(F.concat_ws("\0", F.lit(system), F.col("prompt"), F.lit(str(temperature))), 256))
+    try:
+        known = spark.read.schema("__key string, reply string").parquet(cache).groupBy("__key").agg(F.min("reply").alias("reply"))
+    except AnalysisException:  # nothing was answered yet
+        known = spark.createDataFrame([], "__key string, reply string")
+    old = settle(keyed.join(known, "__key"), "known-replies")
+    new = settle(ask(keyed.join(known, "__key", "left_anti").dropDuplicates(["__key"]).select("__key", "prompt"), backend, system, temperature, attempts), "new-replies")
+    new.where("reply is not null").select("__key", "reply").write.mode("append").parquet(cache)
+    fresh = keyed.join(new.select("__key", "reply", "error"), "__key")
+    return old.withColumn("error", F.lit(None).cast("string")).unionByName(fresh).drop("__key")
+
+
 def ask_windows(prompts: DataFrame, backend: Backend, temperature: float = 0.0) -> DataFrame:
     return ask(prompts, backend, WINDOW_SYSTEM, temperature)
 
