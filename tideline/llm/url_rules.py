@@ -21,6 +21,7 @@ results'.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
@@ -33,7 +34,7 @@ from tideline.llm.store import materialize
 #: Rules (their longest part is the pattern) and matched URLs up to which they are broadcast.
 BROADCAST_RULES, BROADCAST_URLS = 100_000, 500_000
 RESULT_NAMES = ["host", "path", "rule", "verdict"]
-RULE_COLUMNS = "name string, pattern string, verdict string, tokens array<string>, where string, rank int"
+RULE_COLUMNS = "name: string, pattern: string, verdict: string, tokens: array<string>, `where`: string, `rank`: int"
 _TOKEN = r"[^a-z0-9]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,8 +102,9 @@ def default_rules() -> list[UrlRule]:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[UrlRule]) -> DataFrame:
-    names = [x.split()[0] for x in RULE_COLUMNS.split(", ")]
-    return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in map(asdict(r).get, names)) for r in rules], RULE_COLUMNS)
+    """The rules as a table, read from one JSON text by the engine."""
+    text = json.dumps([asdict(r) for r in rules])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{RULE_COLUMNS}>>")))
 
 
 def host_of(url: Column) -> Column:
