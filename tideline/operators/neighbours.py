@@ -11,14 +11,20 @@ step.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.sources.tables import settle
 
+# What a cell calls travels with it, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows of a block of queries and of references, and queries of one matrix product.
 QUERY_BLOCK, REFERENCE_BLOCK, PRODUCT_ROWS = 4096, 8192, 512
 #: Pairs whose distances are computed anew at once.
