@@ -344,9 +344,8 @@ def test_many_url_rules(spark, monkeypatch):
             return best, sites[best]
         return None, "block" if re.search(r"[0-9]{3}\.t", url.lower()) else "allow"
 
-    for most in (10**6, 0):
-        monkeypatch.setattr(U, "BROADCAST_RULES", most)
-        monkeypatch.setattr(U, "BROADCAST_URLS", most)
+    for most in (10**9, 0):
+        monkeypatch.setattr(U, "BROADCAST_BYTES", most)
         rows = U.filter_urls(df, [U.site_rule(s, v) for s, v in sites.items()], extra).collect()
         assert {x.page_id: (x.rule, x.verdict) for x in rows} == {i: expected(u) for i, u in enumerate(urls)}
 

@@ -8,7 +8,7 @@ the longest, then a block rule before an allow rule. Rules without a literal
 token are filed under the empty token, which every URL has.
 
 The rules are a table, of any size. Distinct URLs give their tokens, tokens
-join the index (broadcast up to ``BROADCAST_RULES`` rules, else by shuffle, where
+join the index (broadcast up to ``BROADCAST_BYTES`` bytes, else by shuffle, where
 a very common token is split among tasks), and each URL's best match joins the
 rows. Everything is DataFrame code.
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.store import materialize
 
-#: Rules (their longest part is the pattern) and matched URLs up to which they are broadcast.
-BROADCAST_RULES, BROADCAST_URLS = 100_000, 500_000
+#: Bytes of rules, or of matched URLs, up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 RESULT_NAMES = ["host", "path", "rule", "verdict"]
 RULE_COLUMNS = "name: string, pattern: string, verdict: string, tokens: array<string>, `where`: string, `rank`: int"
 _TOKEN = r"[^a-z0-9]+"
@@ -129,13 +129,18 @@ def index_of(rules: DataFrame, tokens: DataFrame) -> DataFrame:
     return each.join(held, "token", "left").groupBy("name", "pattern", "verdict", "where", "rank").agg(rarest).select("*", F.col("rarest.token").alias("token")).drop("rarest")
 
 
+def _small(rows: DataFrame, *texts: str) -> DataFrame:
+    """A table for the small side of a join: broadcast if its texts, and some bytes a row, are within the bound."""
+    size = rows.agg(F.sum(sum((F.octet_length(t) for t in texts), F.lit(100)))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
 def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``url`` and ``won`` (its best rule) of the distinct URLs that any rule matches."""
     urls = urls.where("url is not null").distinct()
     tokens = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
     index = materialize(index_of(rules, tokens), "url-rules")
-    few = index.count() <= BROADCAST_RULES
-    fetched = tokens.join(F.broadcast(index) if few else index, "token")
+    fetched = tokens.join(_small(index, "name", "pattern", "token"), "token")
     text = F.when(F.col("where") == "site", F.concat(host_of(F.col("url")), path_of(F.col("url")))).otherwise(F.translate("url", _UPPER, _LOWER))
     matched = fetched.where(F.call_function("rlike", text, F.col("pattern")))
     order = F.struct("rank", F.char_length("name").alias("length"), (F.col("verdict") == "block").alias("block"), "name", "verdict", "where")
@@ -151,9 +156,8 @@ def filter_urls(pages: DataFrame, site_rules: DataFrame | list[UrlRule], rules:
     spark = pages.sparkSession
     both = [r if isinstance(r, DataFrame) else rule_table(spark, r) for r in (site_rules, default_rules() if rules is None else rules)]
     won = materialize(best_rules(pages.select(F.col(f"`{url}`").alias("url")), both[0].unionByName(both[1])), "url-verdicts")
-    few = won.count() <= BROADCAST_URLS
     own = [(i, c) for i, c in enumerate(pages.columns) if c.lower() not in RESULT_NAMES]
-    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in own], F.col(f"`{url}`").alias("url")).join(F.broadcast(won) if few else won, "url", "left")
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in own], F.col(f"`{url}`").alias("url")).join(_small(won, "url", "won.name"), "url", "left")
     return rows.select(
         *[F.col(f"c{i}").alias(c) for i, c in own],
         host_of(F.col("url")).alias("host"),
