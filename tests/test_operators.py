@@ -190,6 +190,49 @@ def test_hashed_search_finds_most_neighbours(spark):
     assert np.mean([near[w] <= exact[w] + 1e-9 for w in exact]) >= 0.9
 
 
+def test_hashed_search_compares_what_shares_a_bucket(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    import tideline.operators.neighbours as N
+
+    monkeypatch.setattr(N, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(N, "REFERENCE_BLOCK", 50)
+    r = np.random.default_rng(8)
+    # Few windows of the first series share a bucket, most of the second do: one is searched by bucket, one as a whole.
+    rows = [(s, i, (size * r.normal(size=6)).tolist()) for s, size in (("far", 20.0), ("near", 2.0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_id string, win int, values array<double>")
+    test, train = df.where("win % 4 = 0"), df.where("win % 4 <> 0")
+    vectors = df.withColumn("features", array_to_vector("values"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=4.0, numHashTables=2, seed=3).fit(vectors)
+    h = {(x.series_id, x.win): [v[0] for v in x.h] for x in model.transform(vectors).collect()}
+    values = {(s, i): v for s, i, v in rows}
+    got = {(x.series_id, x.win): (x.score, x.k) for x in N.lsh_knn_scores(test, train, 3, width=4.0, tables=2).collect()}
+    assert len(got) == 200
+    for s, i in got:
+        other = [j for t, j in values if t == s and j % 4]
+        shared = [j for j in other if any(a == b for a, b in zip(h[s, i], h[s, j], strict=True))]
+        d = sorted(math.dist(values[s, i], values[s, j]) for j in (shared if len(shared) >= 3 else other))[:3]
+        assert got[s, i] == (pytest.approx(sum(d) / 3), 3)
+
+
+def test_hashed_search_in_wide_buckets_makes_no_rows_of_pairs(spark):
+    from tideline.operators.neighbours import lsh_knn_scores
+
+    r = np.random.default_rng(9)
+    rows = [("s", i, r.normal(size=20).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "series_id string, win int, values array<double>")
+    test, train = df.where("win % 5 = 0"), df.where("win % 5 <> 0")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    exact = {x.win: x.score for x in knn_scores(test, train, 3).collect()}
+    before = written()
+    near = {x.win: x.score for x in lsh_knn_scores(test, train, 3, width=1e6).collect()}
+    # 1.4 million pairs; the windows themselves are half a megabyte.
+    assert written() - before < 20_000_000
+    # Windows on either side of 0 may share no bucket, but hardly in all tables.
+    assert near.keys() == exact.keys() and np.mean([near[w] <= exact[w] + 1e-9 for w in exact]) >= 0.9
+
+
 @pytest.mark.parametrize("lags", [5, 40])
 def test_autocorrelation_of_stretches(spark, monkeypatch, lags):
     from tideline.operators import evidence

@@ -50,8 +50,11 @@ def _exact(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return -(q * r).sum(axis=1) / np.sqrt((q * q).sum(axis=1) * (r * r).sum(axis=1))
 
 
-def nearest_in(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of ``r`` for each row of ``q`` (ties to the smaller id): row of q, row of r, distance."""
+def nearest_in(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, metric: str, hashes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of ``r`` for each row of ``q`` (ties to the smaller id): row of q, row of r, distance.
+
+    ``hashes``: of both; only rows that agree in some column of them are compared.
+    """
     if metric == "euclidean":
         # Distances do not change with the origin, and small numbers round less.
         centre = r.mean(axis=0)
@@ -66,8 +69,11 @@ def nearest_in(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, metric: st
         some = slice(low, low + PRODUCT_ROWS)
         near = aa[some, None] + bb[None, :] - (2 if metric == "euclidean" else 1) * (a[some] @ b.T)
         spare = 1e-9 * (1 + aa[some, None] + bb.max(initial=0))
+        if hashes is not None:
+            apart = np.logical_and.reduce([x[some, None] != y[None, :] for x, y in zip(hashes[0].T, hashes[1].T, strict=True)])
+            near[apart] = np.inf
         last = np.partition(near, min(k, len(r)) - 1, axis=1)[:, [min(k, len(r)) - 1]]
-        qs, rs = np.nonzero(near <= last + spare)
+        qs, rs = np.nonzero((near <= last + spare) & (near < np.inf) if hashes is not None else near <= last + spare)
         d = np.concatenate([_exact(q[low + qs[x : x + _PAIRS]], r[rs[x : x + _PAIRS]], metric) for x in range(0, len(qs), _PAIRS)])
         order = np.lexsort((ids[rs], d, qs))
         qs, rs, d = qs[order], rs[order], d[order]
@@ -77,15 +83,16 @@ def nearest_in(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, metric: st
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str], query_id: str, reference_id: str, metric: str = "euclidean") -> DataFrame:
+def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str], query_id: str, reference_id: str, metric: str = "euclidean", hashes: str | None = None) -> DataFrame:
     """The k nearest references (``values``) of each query: group, ``qid``, ``rid``, distance ``d``, ``rank``. Ties go to the smaller reference id.
 
     ``metric``: ``euclidean``, or ``cosine`` (then ``d`` is less the similarity).
-    Vectors of a group have one size; a null vector is left out.
+    Vectors of a group have one size; a null vector is left out. ``hashes``: a
+    column of arrays; a query is compared only with references that agree with it at some place of them.
     """
 
     def dealt(rows: DataFrame, key: str, name: str, most: int) -> DataFrame:
-        rows = settle(rows.where("values is not null").select(*group, F.col(key).alias(name), F.col("values")), "vectors")
+        rows = settle(rows.where("values is not null").select(*group, F.col(key).alias(name), "values", *([F.col(hashes).alias("hashes")] if hashes else [])), "vectors")
         sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
         return rows, sizes
 
@@ -104,7 +111,8 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, group: list[str],
             return empty.append_column("rid", right.slice(0, 0)["rid"]).append_column("d", pa.array([], pa.float64()))
         ids = right["rid"].combine_chunks()
         order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-        qs, rs, d = nearest_in(_matrix(left["values"]), _matrix(right["values"]), order, k, metric)
+        agree = tuple(_matrix(x["hashes"]).astype(np.int64) for x in (left, right)) if hashes else None
+        qs, rs, d = nearest_in(_matrix(left["values"]), _matrix(right["values"]), order, k, metric, agree)
         return left.select(names).take(pa.array(qs)).append_column("rid", ids.take(pa.array(rs))).append_column("d", pa.array(d))
 
     cells = [*group, "i", "j"]
@@ -120,22 +128,45 @@ def knn_scores(test: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
 
 
 def lsh_knn_scores(test: DataFrame, train: DataFrame, k: int = 5, width: float = 4.0, tables: int = 8, seed: int = 3) -> DataFrame:
-    """Approximate scores: only windows that share a random-projection bucket in some table are compared.
+    """Approximate scores: only windows that share a random-projection bucket in some table are candidates.
 
-    A query that meets fewer than k training windows is searched exactly.
+    A series is searched bucket by bucket; where its buckets are so wide that
+    they hold more pairs than the series, each pair of it is looked at once
+    instead, and those without a shared bucket are left out. Pairs are never
+    rows, so wide buckets cost no more than the exact search. A query that
+    meets fewer than k training windows is searched exactly.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    test, train = (settle(df.where("values is not null").select("series_id", "win", "values"), "windows") for df in (test, train))
     vector = lambda df: df.withColumn("features", array_to_vector("values"))
+    if train.isEmpty():
+        return knn_scores(test, train, k)
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(vector(train))
-    buckets = lambda df: model.transform(vector(df)).select("series_id", "win", "values", F.posexplode("h").alias("table", "b")).withColumn("b", F.col("b").cast("string"))
-    a, b = buckets(test), buckets(train).select("series_id", F.col("win").alias("rid"), F.col("values").alias("r"), "table", "b")
-    pairs = a.join(b, ["series_id", "table", "b"]).dropDuplicates(["series_id", "win", "rid"])
-    d = pairs.select("series_id", "win", "rid", F.sqrt(squared_distance(F.col("values"), F.col("r"))).alias("d"))
+    hashed = F.array(*[vector_to_array(F.col("h")[i])[0].cast("long") for i in range(tables)])
+    a, b = (settle(model.transform(vector(df)).select("series_id", "win", "values", hashed.alias("hashes")), "hashed") for df in (test, train))
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        # The whole series is bucket 0 of table -1.
+        every = df.select("series_id", F.posexplode("hashes").alias("table", "b")).unionByName(df.select("series_id", F.lit(-1).alias("table"), F.lit(0).cast("long").alias("b")))
+        return every.groupBy("series_id", "table", "b").agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    pairs = sizes(a, "nq").join(sizes(b, "nr"), ["series_id", "table", "b"]).withColumn("n", F.col("nq") * F.col("nr"))
+    whole = pairs.groupBy("series_id").agg((F.sum(F.when(F.col("table") >= 0, F.col("n"))) > F.sum(F.when(F.col("table") < 0, F.col("n")))).alias("whole"))
+    whole = settle(whole, "whole")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        some = df.join(whole, "series_id")
+        by_bucket = some.where("not whole").select("series_id", "win", "values", "hashes", F.posexplode("hashes").alias("table", "b"))
+        return by_bucket.unionByName(some.where("whole").select("series_id", "win", "values", "hashes", F.lit(-1).alias("table"), F.lit(0).cast("long").alias("b")))
+
+    found = nearest(dealt(a), dealt(b), k, ["series_id", "table", "b"], "win", "win", hashes="hashes")
+    # The nearest of all candidates are among the nearest in each of their buckets; a pair may share several.
+    d = found.groupBy("series_id", F.col("qid").alias("win"), "rid").agg(F.min("d").alias("d"))
     order = Window.partitionBy("series_id", "win").orderBy("d", "rid")
     near = d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    scores = near.groupBy("series_id", "win").agg(F.avg("d").alias("score"), F.count("d").alias("k")).where(F.col("k") == k)
+    scores = settle(near.groupBy("series_id", "win").agg(F.avg("d").alias("score"), F.count("d").alias("k")).where(F.col("k") == k), "scores")
     lacking = test.join(scores, ["series_id", "win"], "left_anti")
     return scores.unionByName(knn_scores(lacking, train, k))
 
