@@ -107,3 +107,31 @@ def test_near_duplicates_of_long_texts(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
     half = len(base[: len(base) // 2].split())
     assert got == [(2, 59_997, 2), (5, half - 4, 5), (7, 1, 7), (7, 1, 7), (9, 59_996, 2)]
+
+
+def test_workers_keep_no_caches_between_stages(monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    from tideline.llm import bpe, store, words
+
+    monkeypatch.setattr(store, "PAUSE", 0.2)
+    bpe._loaded.clear()
+    for _ in range(2):
+        with bpe.lent_codec() as own:
+            assert own.encode("a b") and bpe._loaded
+        with bpe.lent_codec() as again:  # a task that follows at once finds it
+            assert again is own
+            time.sleep(0.5)
+            assert bpe._loaded
+        time.sleep(0.6)
+        assert not bpe._loaded
+        assert len(own.encode("a b")) == 2
+
+    def run(batches):
+        for batch in batches:
+            yield words.words_of(batch).hashes()
+
+    assert len(next(store.tidy(run)([pa.array(["a b c"])]))) == 3
+    assert sum(x.nbytes for x in words._powers.values()) == 0

@@ -19,13 +19,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import bound_arrow, tidy
+from tideline.llm.store import bound_arrow, lent, tidy
 
 #: Bits of a word of the bitmap's lower level.
 _WORD = 512
@@ -182,7 +183,7 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}  # kept between tasks: most pre-tokens come again
+_loaded: dict[tuple[str, str], ByteBPE] = {}  # kept between tasks: most pre-tokens come again; but not for other stages
 
 
 def codec(path: str | None = None, pattern: str | None = None) -> ByteBPE:
@@ -195,6 +196,13 @@ def codec(path: str | None = None, pattern: str | None = None) -> ByteBPE:
     return _loaded[key]
 
 
+@contextmanager
+def lent_codec(path: str | None = None, pattern: str | None = None) -> Iterator[ByteBPE]:
+    """The worker's encoder for a task; here, not in the task, as a task's own names are copies."""
+    with lent(_loaded):
+        yield codec(path, pattern)
+
+
 def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Ids of each text (``ids``), their number, and digests of the ids and of the bytes decoded from them.
 
@@ -208,7 +216,10 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     schema = ", ".join([*fields, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        with lent_codec(path, pattern) as own:
+            yield from encoded(own, batches)
+
+    def encoded(own: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = own.encode_all([x or "" for x in batch.column(len(keep)).to_pylist()])
             decoded = [hashlib.sha256(own.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in packed]

@@ -49,7 +49,9 @@ from tideline.llm.words import slices
 
 BLOCK_CHARS = 2_000_000
 #: Shared q-grams, and cells of alignments, that are worked on together.
-_HITS, _CELLS = 2_000_000, 1 << 22
+_HITS, _CELLS = 500_000, 1 << 20
+#: Bytes of text that are searched together; a longer text is searched whole.
+_TEXT_BYTES = 1 << 19
 _SEPARATOR = 0x10FFFF
 U64 = np.uint64
 
@@ -353,7 +355,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         for batch in batches:
             for name in blocks:
                 index, ids = block(name)
-                for part in slices(batch, "__text", 2 << 20):
+                for part in slices(batch, "__text", _TEXT_BYTES):
                     found = find_leaks_in(part.column(1).to_pylist(), index)
                     doc, item, start, end, edits = zip(*found, strict=True) if found else ([],) * 5
                     columns = [part.column(0).take(pa.array(doc, pa.int64())), ids.take(pa.array(item, pa.int64())), *[pa.array(x, pa.int32()) for x in (start, end, edits)]]
