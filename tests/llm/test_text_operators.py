@@ -236,6 +236,62 @@ def test_language_model_of_order_3(spark):
     assert M.score_documents(one, held_out=M.F.lit(True), order=3).count() == 2
 
 
+def test_texts_are_read_once_per_count(spark):
+    """Words, pairs and each part of the triples take a reading; what precedes a pair is counted from the triples."""
+    from tideline.llm import language_model as M
+
+    texts, read = made_texts(n=40), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    M.fit(documents(spark, texts).select("text").mapInArrow(seen, "text string"), order=3)
+    assert read.value == (2 + M.PASSES) * len(texts)
+
+
+def test_trigrams_in_many_runs(spark, monkeypatch):
+    from tideline.llm import language_model as M
+
+    texts = made_texts(n=40) + [None, "", *["a b", "c a b"] * 300]
+    want = {r.doc_id: r.score for r in M.score_documents(documents(spark, texts), order=3).collect()}
+    monkeypatch.setattr(M, "MOST_KEYS", 50)
+    got = {r.doc_id: r.score for r in M.score_documents(documents(spark, texts), order=3).collect()}
+    assert got == want
+
+
+def test_a_shard_is_one_file(spark, tmp_path, monkeypatch):
+    """A worker maps the files of all shards: of words, their figures, pairs, triples, what follows and what precedes a pair."""
+    import pyarrow.fs
+
+    from tideline.llm import language_model as M
+
+    model = M.fit(documents(spark, made_texts(n=40)), shards=5, folder=str(tmp_path), order=3)
+    assert len([p for p in tmp_path.iterdir() if p.suffix != ".crc"]) == 6 * 5 == len(model.words.names) * 6
+    arrays = [np.arange(n, dtype=kind) for n, kind in ((3, np.uint8), (0, np.int64), (5, np.uint32), (2, np.complex128), (7, np.uint64))]
+    for folder in (str(tmp_path), f"file://{tmp_path}", "elsewhere"):
+        if folder == "elsewhere":
+            monkeypatch.setattr(M.Files, "__init__", lambda files, _: vars(files).update(store=pyarrow.fs.LocalFileSystem(), root=f"{tmp_path}/other"))
+        M.store(folder, "arrays", *arrays)
+        for got, want in zip(M.load(folder, "arrays"), arrays, strict=True):
+            assert got.dtype == want.dtype and (got == want).all()
+
+
+def test_narrow_counts(tmp_path):
+    from tideline.llm import language_model as M
+
+    r = np.random.default_rng(7)
+    rows = r.choice([0, 1, 254, 255, 256, 10**6], (40, 3))
+    M.store(str(tmp_path), "rows", *M.narrow(rows.ravel()))
+    flat = M.Narrow(*M.load(str(tmp_path), "rows"))
+    for a, b in ((0, 120), (7, 7), (11, 90), (119, 120)):
+        assert (flat.span(a, b) == rows.ravel()[a:b]).all()
+    places = np.array([0, 3, 4, 39])
+    figures = M.Figures(str(tmp_path), ["rows"], [40], 3)
+    assert (figures.at(places) == rows[places]).all() and figures.at(places[:0]).shape == (0, 3)
+
+
 def test_keys_of_more_than_64_bits(spark, monkeypatch):
     from tideline.llm import language_model as M
 
