@@ -53,6 +53,98 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+def settled(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("most", [4, 1000])
+def test_components_over_many_tasks(spark, monkeypatch, most):
+    from tideline.llm import components as C
+
+    # A task may contract whole parts at once, or only a few edges.
+    monkeypatch.setattr(C, "MOST_EDGES", most)
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(150)] + [(-k, -7) for k in range(200, 230)] + [(1000 + r.randrange(90), 1000 + r.randrange(90)) for _ in range(80)]
+    edges += [(5000 - k, 5001 - k) for k in range(0, 80, 2)] + [(2**62, -(2**62)), (3000, 3000)]
+    r.shuffle(edges)
+    got = C.components(spark.createDataFrame(edges, "u long, v long").repartition(24)).collect()
+    assert len(got) == len({x.node for x in got})
+    assert {x.node: x.root for x in got} == settled(edges)
+
+
+def test_stars_by_hash():
+    import numpy as np
+
+    from tideline.llm.components import stars
+
+    edges = [(k, k + 1) for k in range(50)] + [(100, 90), (95, 90), (7, 7), (200, 200)]
+    u, v = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+    same = collections.defaultdict(set)
+    for node, first in zip(*(x.tolist() for x in stars(u, v, 12345)), strict=True):
+        same[first].add(node)
+    assert sorted(map(sorted, same.values())) == [list(range(51)), [90, 95, 100], [200]]
+    assert all(first in group for first, group in same.items()) and set(same) != {0, 90, 200}
+
+
+def tasks_of(spark, run):
+    """Tasks of the jobs of ``run``, with 16 partitions in each exchange."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    context, group = spark.sparkContext, f"tasks-{random.random()}"
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    context.setJobGroup(group, group)
+    try:
+        out = run()
+        seen = context.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for i in map(seen.getStageInfo, stages) if i)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, x in old.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def test_components_take_few_exchanges(spark):
+    from tideline.llm.components import components
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 200)]
+    got, n = tasks_of(spark, lambda: components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect())
+    assert {x.node: x.root for x in got} == settled(edges)
+    assert n <= 550
+
+
+def test_rounds_end_when_they_gain_nothing(spark):
+    from tideline.llm.near_dedup import near_duplicates
+
+    # Chains of copies that drift, and unlike texts that share buckets: each round finds some links, all of them few.
+    r = random.Random(8)
+    texts = []
+    for k in range(12):
+        words = [f"c{k}w{i}" for i in range(60)]
+        for step in range(8):
+            texts.append(" ".join(words))
+            words[5 + 6 * step] = f"c{k}x{step}"
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts += [f"{shared} " + " ".join(f"d{k}v{i}" for i in range(25)) for k in range(40)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, n = tasks_of(spark, lambda: {x.doc_id: x.component_id for x in near_duplicates(docs).collect()})
+    assert got == {i: i // 8 * 8 if i < 96 else i for i, _ in rows}
+    assert n <= 700
+
+
 def test_near_duplicates(spark):
     from tideline.llm.near_dedup import near_duplicates
 

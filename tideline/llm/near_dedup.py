@@ -15,7 +15,9 @@ are not yet in its component; as a document is in many buckets, this joins
 nearly all of a group of copies. Only members that are still outside their
 bucket's largest component are then compared with the rest of the bucket, so
 no candidate link between components is left out and no group of copies is
-expanded into all its pairs. That last comparison is dealt out in blocks of
+expanded into all its pairs. Rounds end early once that last comparison is
+light or a round has hardly made it lighter, as it finds whatever further
+rounds would. That last comparison is dealt out in blocks of
 ``BLOCK_ROWS`` members, however large a bucket is.
 
 Sets are compared as 52-bit hashes of their shingles: two shingles of a pair
@@ -31,6 +33,7 @@ key. Ids must fit a long.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +53,8 @@ BROADCAST_ROWS = 2_000_000
 BUCKET_ROWS = 500_000
 #: Members of a bucket that a task compares with as many others at once.
 BLOCK_ROWS = 512
+#: Comparisons of sketches (2 to 3 microseconds each), per member of a bucket, up to which the last step is begun without further rounds.
+LIGHT = 100
 _WORDS = 32  # 64-bit words of a sketch
 
 
@@ -62,7 +67,7 @@ class NearRules:
     #: The most differing bits of two sketches of 2,048 bits. At a similarity of
     #: 0.75 about 62 differ, with a deviation of 9; unrelated sets differ in 226.
     most_bits: int = 106
-    #: Rounds of comparisons with one pivot per bucket, before the exhaustive one.
+    #: The most rounds of comparisons with one pivot per bucket, before the exhaustive one.
     rounds: int = 3
 
 
@@ -154,6 +159,7 @@ def _alike(a: str, b: str, rules: NearRules) -> Column:
 def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, rules: NearRules) -> DataFrame:
     """The pairs (``u``, ``v``; of documents with set fingerprints ``fu``, ``fv``) whose full sets are similar enough."""
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    ids = materialize(ids, "near-ids")
     few = ids.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
     right = pairs.join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v")
@@ -179,7 +185,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, rules: Near
                 at = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([u.take(at), v.take(at)], names=["u", "v"])
 
-    return both.mapInArrow(tidy(run), "u long, v long")
+    links = materialize(both.mapInArrow(tidy(run), "u long, v long"), "near-links")
+    discard(ids)
+    return links
 
 
 def set_prints(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -210,53 +218,69 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     buckets = materialize(member.join(full, "band"), "near-buckets")
     facts = classes.select("rep", "f1", F.struct("n", "sketch", "parity").alias("tell"))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Confirmed links among pairs of classes (``u``, ``fu``, ``v``, ``fv``)."""
-        a = facts.select(F.col("rep").alias("u"), F.col("f1").alias("fu"), F.col("tell").alias("a"))
-        b = facts.select(F.col("rep").alias("v"), F.col("f1").alias("fv"), F.col("tell").alias("b"))
-        likely = pairs.join(b, ["v", "fv"]).join(a, ["u", "fu"]).where(_alike("a", "b", rules)).select("u", "fu", "v", "fv")
+    def confirmed(likely: DataFrame) -> DataFrame:
+        """The links among pairs of classes (``u``, ``fu``, ``v``, ``fv``) whose sketches are alike."""
         likely = materialize(likely, "near-pairs")
-        links = materialize(_confirm(likely, docs, key, text, rules), "near-links")
+        links = _confirm(likely, docs, key, text, rules)
         discard(likely)
         return links
 
     # Rows that repeat an id join the classes that they are in.
-    classes_of = named.select("id", "f1", "f2", "n").distinct().join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
-    repeated = classes_of.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    roots = components(classes_of.join(repeated.select("id", "u"), "id").select("u", F.col("rep").alias("v")))
-
-    def rooted(least_size: int) -> DataFrame:
-        """Members of the buckets with the component that each is in so far."""
-        known = roots.select(F.col("node").alias("rep"), "root")
-        return buckets.where(F.col("size") >= least_size).join(known, "rep", "left").select("band", "rep", "f1", F.coalesce("root", "rep").alias("root"))
+    kinds = F.struct("f1", "f2", "n")
+    repeated = materialize(named.groupBy("id").agg(F.min(kinds).alias("a"), F.max(kinds).alias("b")).where("a <> b").select("id"), "near-repeated")
+    roots = None
+    if not repeated.isEmpty():
+        classes_of = named.select("id", "f1", "f2", "n").join(repeated, "id", "left_semi").distinct().join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
+        least = classes_of.groupBy("id").agg(F.min("rep").alias("u"))
+        roots = components(classes_of.join(least, "id").select("u", F.col("rep").alias("v")))
+    discard(repeated)
+
+    def known(rows: DataFrame) -> DataFrame:
+        """Rows of classes with the component, ``root``, that each is in so far."""
+        if roots is None:
+            return rows.withColumn("root", F.col("rep"))
+        return rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
     def with_links(links: DataFrame) -> DataFrame:
-        joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
-        discard(links, roots)
+        joined = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        discard(links, *[x for x in (roots,) if x is not None])
         return joined
 
-    # A bucket's pivot, another one each round, is compared with the members that are not yet with it.
-    for turn in range(rules.rounds):
-        members = rooted(2 if turn == 0 else 3)
+    n_members, idle, before = buckets.count(), False, math.inf
+    for turn in range(rules.rounds + 1):
+        members = known(buckets.where(F.col("size") >= (2 if turn == 0 else 3))).select("band", "rep", "f1", "root")
         chosen = F.min(F.struct(F.xxhash64("band", "rep", F.lit(turn)).alias("h"), "rep", "f1", "root")).alias("p")
-        pivots = members.groupBy("band").agg(chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "p")
-        pivots = materialize(pivots, "near-pivots")
+        if turn == 0 < rules.rounds:
+            pivots = members.groupBy("band").agg(chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "p")
+            pivots = materialize(pivots, "near-pivots")
+        else:
+            members = materialize(members, "near-members")
+            parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), chosen).groupBy("band")
+            parts = parts.agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"), F.sum("c").alias("n"), F.min("p").alias("p"))
+            parts = materialize(parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main"), (F.col("n") - F.col("largest.c")).alias("n_loose"), "n", "p"), "near-parts")
+            meet = parts.agg(F.sum(F.col("n_loose").cast("double") * F.col("n"))).first()[0] or 0
+            if idle or turn == rules.rounds or meet <= LIGHT * n_members or 2 * meet > before:
+                break
+            before = meet
+            pivots = parts.select("band", "p")
+        # A bucket's pivot, another one each round, is compared with the members that are not yet with it.
         apart = members.join(_small(pivots), "band").where(F.col("root") != F.col("p.root"))
-        pairs = apart.select(F.col("p.rep").alias("u"), F.col("p.f1").alias("fu"), F.col("rep").alias("v"), F.col("f1").alias("fv")).distinct()
-        links = checked(pairs)
-        discard(pivots)
-        if links.isEmpty():
-            break
-        roots = with_links(links)
+        pairs = apart.select(F.col("p.rep").alias("u"), F.col("p.f1").alias("fu"), F.col("rep").alias("v"), F.col("f1").alias("fv"))
+        # Dealt by one side, equal pairs meet as well and the first join needs no further exchange of them.
+        pairs = pairs.repartition("v", "fv").distinct()
+        a = facts.select(F.col("rep").alias("u"), F.col("f1").alias("fu"), F.col("tell").alias("a"))
+        b = facts.select(F.col("rep").alias("v"), F.col("f1").alias("fv"), F.col("tell").alias("b"))
+        links = confirmed(pairs.join(b, ["v", "fv"]).join(a, ["u", "fu"]).where(_alike("a", "b", rules)).select("u", "fu", "v", "fv"))
+        discard(*((pivots,) if turn == 0 else (members, parts)))
+        idle = links.isEmpty()
+        if not idle:
+            roots = with_links(links)
 
     # What is still outside its bucket's largest component meets the rest of the bucket.
-    members = materialize(rooted(3), "near-members")
     # Both sides are cut into blocks by hash and each pair of blocks is a task's key, so large buckets are spread out.
-    parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("n_parts"), F.sum("c").alias("n"))
     blocks = lambda rows: F.floor((rows - 1) / F.lit(BLOCK_ROWS)).cast("int")
-    parts = parts.where("n_parts > 1").select("band", F.col("largest.root").alias("main"), blocks(F.col("n") - F.col("largest.c")).alias("last_x"), blocks(F.col("n")).alias("last_y"))
-    parts = materialize(parts, "near-parts")
-    rest = members.join(_small(parts), "band").withColumn("loose", F.col("root") != F.col("main"))
+    cut = parts.select("band", "main", blocks(F.col("n_loose")).alias("last_x"), blocks(F.col("n")).alias("last_y"))
+    rest = members.join(_small(cut), "band").withColumn("loose", F.col("root") != F.col("main"))
     rest = materialize(rest.join(facts, ["rep", "f1"]), "near-rest")
     dealt = lambda last: F.pmod(F.xxhash64("rep", "f1"), F.col(last) + 1).cast("int")
     every = lambda last: F.explode(F.sequence(F.lit(0), F.col(last)))
@@ -264,13 +288,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     x = rest.where("loose").withColumn("i", dealt("last_x")).withColumn("j", every("last_y")).repartition(*cells).alias("x")
     y = rest.withColumn("j", dealt("last_y")).withColumn("i", every("last_x")).repartition(*cells).alias("y")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.loose") | (F.col("x.rep") < F.col("y.rep")))
-    second = x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(F.col("x.rep").alias("u"), F.col("x.f1").alias("fu"), F.col("y.rep").alias("v"), F.col("y.f1").alias("fv")).distinct()
-    links = checked(second)
+    links = confirmed(x.join(y, meet & _alike("x.tell", "y.tell", rules)).select(F.col("x.rep").alias("u"), F.col("x.f1").alias("fu"), F.col("y.rep").alias("v"), F.col("y.f1").alias("fv")).distinct())
     discard(buckets, members, parts, rest)
     if not links.isEmpty():
         roots = with_links(links)
 
-    of_class = classes.select("f1", "f2", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("root"))
+    of_class = known(classes.select("f1", "f2", "n", "rep")).select("f1", "f2", "n", "root")
     out = signed.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     kind = docs.schema[key].dataType
